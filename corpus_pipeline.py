@@ -1,10 +1,15 @@
-"""The corpus pipeline: stages over `documents`, each written and read again."""
+"""The corpus pipeline: stages over `documents`, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import line_dedup, quality_rules
+from quillspark.llm import best_fit_packing, jaccard_join, line_dedup, quality_rules, source_mixing
 from quillspark.llm._shared import staged, table
 
 
@@ -14,15 +19,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in one of them."""
-    from pyspark.sql import functions as F
-
+    """Lines that at least three documents share stay in one of them."""
     out = line_dedup.line_dedup(docs).drop("n_lines", "n_dropped")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return jaccard_join.keep_representatives(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay as often as target weights of the labelled domains ask for."""
+    return source_mixing.mix_documents(docs, source_mixing.domain_labels(table(spark, sf_dir, "labels")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequences."""
+    return best_fit_packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("source_mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
+#: Classifier, thresholds and packing have no SQL; tests/llm holds run() against its parts.
 ORACLE_SQL = None
 
 

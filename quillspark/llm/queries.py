@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from quillspark.llm import chat_formatting, fingerprints, hilbert_sharding, line_dedup, quality_rules
+from quillspark.llm import (
+    best_fit_packing,
+    chat_formatting,
+    fingerprints,
+    hilbert_sharding,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    quality_rules,
+    source_mixing,
+    substring_dedup,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_language_id": language_id.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_best_fit_packing": best_fit_packing.query,
+    "op5_source_mixing": source_mixing.query,
     "op6_hilbert_sharding": hilbert_sharding.query,
+    "op7_substring_dedup": substring_dedup.query,
     "op8_chat_formatting": chat_formatting.query,
     "op9_fingerprints": fingerprints.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE}
