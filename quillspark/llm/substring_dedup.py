@@ -115,16 +115,47 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         yield hashes, keys, positions
 
 
-def _by_key(keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """One row for each key (sorted), its values as bytes."""
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(keys)).astype(np.int64)
-    columns = [pa.array([_blob(v[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()) for v in values]
-    return pa.RecordBatch.from_arrays([pa.array(keys[starts]), *columns], names=["key", "a", "b"][: 1 + len(values)])
+def _return(keys: np.ndarray, values: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, keys, times, values): one row for each part of the keys; keys are sorted."""
+    part = np.mod(keys, parts)
+    by = np.argsort(part, kind="stable")
+    part, keys, values = part[by], keys[by], values[by]
+    ends = np.searchsorted(part, np.arange(parts + 1))
+    rows = []
+    for p in range(parts):
+        a, b = ends[p], ends[p + 1]
+        if a < b:
+            new = np.flatnonzero(np.append(True, keys[a + 1 : b] != keys[a : b - 1]))
+            rows.append((p, _blob(keys[a:b][new]), _blob(np.diff(np.append(new, b - a)).astype(np.uint32)), _blob(values[a:b])))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], names=["part", "keys", "times", "packed"])
+
+
+def by_key(returned: DataFrame, parts: int) -> DataFrame:
+    """(key, found): one row for each key with all its 64-bit values as bytes, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, list] = {}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                groups.setdefault(row[0], []).append(row[1:])
+        for rows in groups.values():
+            keys = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.uint32)) for r in rows])
+            values = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+            by = np.lexsort((values, keys))
+            keys, values = keys[by], values[by]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            ends = np.append(starts[1:], len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array([_blob(values[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["key", "found"])
+
+    return returned.repartitionById(parts, "part").mapInArrow(run, "key long, found binary")
+
+
+_RETURNED = "part int, keys binary, times binary, packed binary"
 
 
 def repeated_anchors(docs: DataFrame, parts: int, window: int) -> DataFrame:
-    """(key, a): for each text key the anchors of it that occur twice in the corpus."""
+    """(key, found): for each text key the anchors of it that occur twice in the corpus."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts, positions=False)
@@ -149,17 +180,16 @@ def repeated_anchors(docs: DataFrame, parts: int, window: int) -> DataFrame:
             by = np.lexsort((hashes, keys))
             hashes, keys = hashes[by], keys[by]
             once = np.append(True, (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-            yield _by_key(keys[once], hashes[once])
+            yield from _return(keys[once], hashes[once], parts)
 
     packed = docs.select("text", "__key").mapInArrow(emit, Packer.schema)
-    found = packed.repartitionById(parts, "part").mapInArrow(reduce, "key long, a binary")
-    return found.groupBy("key").agg(F.collect_list("a").alias("anchors"))
+    return by_key(packed.repartitionById(parts, "part").mapInArrow(reduce, _RETURNED), parts)
 
 
 def repeated_seeds(keyed: DataFrame, anchors: DataFrame, parts: int, window: int) -> DataFrame:
-    """(key, seeds): for each text key the positions of its windows that also start
-    elsewhere, and the alignment of each to its reference (32 bits of a hash of the
-    reference block and of the distance to it)."""
+    """(key, found): for each text key the positions of its windows that also start
+    elsewhere, each with its alignment to the reference (32 bits of a hash of the
+    reference block and of the distance to it) in the lower half."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts, positions=True)
@@ -177,7 +207,7 @@ def repeated_seeds(keyed: DataFrame, anchors: DataFrame, parts: int, window: int
                 for d in range(b - a):
                     known = batch.column(3)[a + d]
                     if known.is_valid and first[d] < first[d + 1]:
-                        wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in known.as_py()]))
+                        wanted = np.frombuffer(known.as_buffer(), np.uint64)
                         chosen[first[d] : first[d + 1]] = hits(wanted, anchor[first[d] : first[d + 1]])
                 doc = words.doc[at[chosen]]
                 packer.add(keys[a + doc], at[chosen] - words.first[doc], h[chosen])
@@ -196,16 +226,15 @@ def repeated_seeds(keyed: DataFrame, anchors: DataFrame, parts: int, window: int
             # the reference of a window is the first other place where it starts
             ref = np.repeat(starts, sizes)
             ref = np.where((ref == np.arange(len(ref))) & twice, np.minimum(ref + 1, len(ref) - 1), ref)
-            align = (mix(keys[ref].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (positions[ref] - positions).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+            align = (mix(keys[ref].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (positions[ref] - positions).astype(np.uint64)) >> np.uint64(32))
             keys, positions, align = keys[twice], positions[twice], align[twice]
             by = np.lexsort((positions, keys))
             keys, positions, align = keys[by], positions[by], align[by]
             once = np.append(True, (keys[1:] != keys[:-1]) | (positions[1:] != positions[:-1])) if len(keys) else np.zeros(0, bool)
-            yield _by_key(keys[once], positions[once].astype(np.uint32), align[once])
+            yield from _return(keys[once], (positions[once].astype(np.uint64) << np.uint64(32)) | align[once], parts)
 
-    rows = keyed.join(anchors, keyed["__key"] == anchors["key"], "left").select("doc_id", "text", "__key", "anchors").where("anchors is not null")
-    found = rows.mapInArrow(emit, Packer.schema).repartitionById(parts, "part").mapInArrow(reduce, "key long, a binary, b binary")
-    return found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("seeds"))
+    rows = keyed.join(anchors, keyed["__key"] == anchors["key"], "left").select("doc_id", "text", "__key", "found").where("found is not null")
+    return by_key(rows.mapInArrow(emit, Packer.schema).repartitionById(parts, "part").mapInArrow(reduce, _RETURNED), parts)
 
 
 def parse(n_words: int, positions: np.ndarray, align: np.ndarray, window: int) -> np.ndarray:
@@ -228,7 +257,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     # both joins deal docs out by __key alike, so the texts are shuffled once
     found = repeated_seeds(keyed, anchors, parts, window)
-    joined = keyed.join(found, keyed["__key"] == found["key"], "left").select(*[keyed[c] for c in names], "seeds")
+    joined = keyed.join(found, keyed["__key"] == found["key"], "left").select(*[keyed[c] for c in names], "found")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +272,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     known = found[a + d]
                     factors = np.zeros((0, 2), np.int64)
                     if known.is_valid:
-                        known = known.as_py()
-                        p = np.concatenate([np.frombuffer(x["a"], np.uint32) for x in known]).astype(np.int64)
-                        q = np.concatenate([np.frombuffer(x["b"], np.uint32) for x in known])
-                        by = np.argsort(p)
-                        factors = parse(j - i, p[by], q[by], window)
+                        seed = np.frombuffer(known.as_buffer(), np.uint64)
+                        factors = parse(j - i, (seed >> np.uint64(32)).astype(np.int64), seed.astype(np.uint32), window)
                     gone = np.zeros(j - i + 1, np.int64)
                     np.add.at(gone, factors[:, 0], 1)
                     np.add.at(gone, factors[:, 0] + factors[:, 1], -1)
