@@ -17,11 +17,15 @@ A set belongs to the band of its size and, as the smaller partner, to the next b
 partner there is possible. Equal sets are one class from the start. Candidates are
 verified on the full sets.
 
-Signatures move packed: one row for each map batch and target partition. In a partition
-signatures that several classes share give candidate pairs: around the first class, and
-at distances of powers of two. After verification and components, only pairs that share
-a signature and still lie in different components are verified, all of them, so no link
-between different components is lost and no group is expanded into all its pairs.
+Signatures move packed: one row for each map batch and target partition. Of the classes
+that share a signature the first is verified against the others. While some of them lie
+in different components, another member of the largest component is verified against
+those outside it, for a few turns; then all pairs that share a signature and still lie
+in different components are. So no link between components is lost, and no group of
+near copies is expanded into all its pairs.
+
+Pairs are verified in two steps: on parity arrays (a bit for each hash, flipped; their
+difference in bits bounds that of the sets from below), then on the full sets.
 
 The number of segments leaves the expected count of non-empty subsets ten deviations
 above t + 1; a set that still has too few of them fails the run rather than lose links.
@@ -29,7 +33,8 @@ above t + 1; a set that still has too few of them fails the run rather than lose
 Defined results: a text of 1 to 4 words is one shingle; a null text or one without words
 has none, is linked with nothing and is its own component; repeated rows are equal sets;
 a null doc_id has its component's smallest doc_id, if any; an empty table gives an empty
-table; further columns are ignored.
+table; further columns are ignored. Copies of one text whose doc_id are all null take no
+part in links to other texts.
 """
 
 from __future__ import annotations
@@ -43,11 +48,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._graph import components
 from quillspark.llm._shared import partitions, schema_of, staged, table
-from quillspark.llm._words import mix, shingle_sets, text_blocks, words_of
+from quillspark.llm._words import hits, mix, shingle_sets, text_blocks, words_of
 
 SHINGLE = 5
 TINY = 6
-COST_BITS = 20
+COST_BITS = 22
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -133,31 +138,37 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def costs(docs: DataFrame) -> np.ndarray:
-    """How often signatures of each of 2**COST_BITS hash cells occur, over all documents;
-    a table of fixed size that serves only to order signatures."""
-    cells, step = 1 << COST_BITS, 1 << 14
+    """How often signatures of each of 2**COST_BITS hash cells occur, over all documents
+    (a task counts a cell to 255 at most), in half doublings over the mean; a table of
+    fixed size that serves only to order signatures."""
+    cells, step = 1 << COST_BITS, 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.uint32)
+        total, held = np.zeros(cells, np.uint16), []
         for batch in batches:
             for _, _, h, first in sets_of(batch.column(0)):
-                for _, _, sig, _ in memberships(h, first):
-                    total += np.bincount((sig >> np.uint64(64 - COST_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
+                held += [sig >> np.uint64(64 - COST_BITS) for _, _, sig, _ in memberships(h, first)]
+                if sum(map(len, held)) > cells:
+                    total = np.minimum(total + np.bincount(np.concatenate(held).astype(np.int64), minlength=cells), 255).astype(np.uint16)
+                    held = []
+        if held:
+            total = np.minimum(total + np.bincount(np.concatenate(held).astype(np.int64), minlength=cells), 255)
+        total = total.astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(range(cells // step)), pa.array([total[i : i + step].tobytes() for i in range(0, cells, step)])], names=["cell", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[cell] = total.get(cell, 0) + np.frombuffer(counts, np.uint32).astype(np.float64)
+                total[cell] = total.get(cell, 0) + np.frombuffer(counts, np.uint8).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["cell", "counts"])
 
     rows = docs.select("text").mapInArrow(count, "cell long, counts binary").repartition(partitions(docs.sparkSession), "cell").mapInArrow(add, "cell long, counts binary")
-    out = np.zeros(cells)
+    out = np.zeros(cells, np.uint32)
     for r in rows.toArrow().to_pylist():
-        out[r["cell"] * step : (r["cell"] + 1) * step] = np.frombuffer(r["counts"])
-    # doublings over the mean: the noise of other signatures in a cell weighs nothing
-    return np.clip(np.log2(np.maximum(out / max(out.mean(), 1e-9), 1)) * 2, 0, 63).astype(np.uint64)
+        out[r["cell"] * step : (r["cell"] + 1) * step] = np.frombuffer(r["counts"], np.uint32)
+    # the noise of other signatures in a cell, up to the mean, weighs nothing
+    return np.clip(np.log2(np.maximum(out / max(out.mean(), 1.0), 1)) * 2, 0, 63).astype(np.uint8)
 
 
 def allocate(h: np.ndarray, first: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +183,7 @@ def allocate(h: np.ndarray, first: np.ndarray, order: np.ndarray) -> tuple[np.nd
         need = allocation(n[docs], band)
         if (np.diff(offsets) < need).any():
             raise RuntimeError(f"a set of band {band} has fewer non-empty segments than its allocation")
-        key = (order[(sig >> np.uint64(64 - COST_BITS)).astype(np.int64)] << np.uint64(58)) | (mix(sig) >> np.uint64(6))
+        key = (order[(sig >> np.uint64(64 - COST_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(sig) >> np.uint64(6))
         chosen = np.zeros(len(sig), bool)
         for i in range(len(docs)):
             part = key[offsets[i] : offsets[i + 1]]
@@ -250,19 +261,13 @@ def candidates(packed: DataFrame, parts: int) -> DataFrame:
             sig, cls, n = sig[shared], cls[shared], n[shared]
             sizes = sizes[sizes > 1]
             starts = np.cumsum(sizes) - sizes
-            centre, place, size = np.repeat(starts, sizes), np.arange(len(sig)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
-            i, j = [centre[place > 0]], [np.flatnonzero(place > 0)]
-            step = 1
-            while step < sizes.max(initial=0):
-                far = np.flatnonzero(place + step < size)
-                i.append(far)
-                j.append(far + step)
-                step *= 2
-            i, j = np.concatenate(i), np.concatenate(j)
+            centre = np.repeat(starts, sizes)
+            j = np.flatnonzero(centre < np.arange(len(sig)))
+            i = centre[j]
             near = (n[i] * 4 >= n[j] * 3) & (n[j] * 4 >= n[i] * 3)
             i, j = i[near], j[near]
             pairs = np.unique(np.stack([cls[i], cls[j], n[i], n[j]]), axis=1) if len(i) else np.zeros((4, 0), np.int64)
-            many = size > 2
+            many = np.repeat(sizes, sizes) > 2
             none = pa.nulls(pairs.shape[1], pa.int64())
             names = ["bucket", "a", "b", "na", "nb"]
             yield pa.RecordBatch.from_arrays([none, *(pa.array(x) for x in pairs)], names=names)
@@ -273,21 +278,55 @@ def candidates(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartitionById(parts, F.col("part").cast("int")).mapInArrow(run, "bucket long, a long, b long, na long, nb long")
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A bit array in which each hash flips one bit; at least four bits for each hash, a
+    power of two. Two sets differ in no fewer hashes than their arrays differ in bits."""
+    bits = max(64, 1 << int(4 * len(h) - 1).bit_length())
+    flips = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(x: np.ndarray, size: int) -> np.ndarray:
+    """A parity array of fewer bytes, as the same hashes would give."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+
 def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (0 for an empty set) of every row."""
+    """doc_id, n_shingles, class (0 for an empty set) and parity array of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, cls, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for a, b, h, first in sets_of(batch.column(1)):
                 n[a:b], cls[a:b] = np.diff(first), class_ids(h, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls)], names=["doc_id", "n_shingles", "class"])
+                bits += [parity(h[first[d] : first[d + 1]]) for d in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "class", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{schema_of(docs, 'doc_id')}, n_shingles long, class long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"{schema_of(docs, 'doc_id')}, n_shingles long, class long, parity binary")
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, set) of the documents in wanted (doc_id), one for each."""
+def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their parity arrays don't rule out: no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, n1, n2 in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                x, y = fold(x, size), fold(y, size)
+                good.append(int(np.bitwise_count(x ^ y).sum()) <= (n1 + n2) // 7)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    one = reps.select("class", "parity", "n")
+    left = pairs.select("a", "b").join(one.toDF("a", "x", "n1"), "a")
+    return left.join(one.toDF("b", "y", "n2"), "b").select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a long, b long")
+
+
+def sets_for(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(class, set) of the given classes, from one document of each. The documents are
+    first thinned by which of 2**18 hash cells hold a wanted id, a broadcast of that many rows
+    at most, so that few other texts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,11 +334,14 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows = [h[first[d] : first[d + 1]].tobytes() for d in range(len(first) - 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(class_ids(h, first)), pa.array(rows, pa.binary())], names=["class", "set"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "class long, set binary")
-    return rows.groupBy("class").agg(F.first("set").alias("set"))
+    wanted = staged(classes.join(reps, "class").select("doc_id"), "wanted")
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
+    cells = wanted.select(cell.alias("__cell")).distinct()
+    near = docs.select("doc_id", "text").withColumn("__cell", cell).join(F.broadcast(cells), "__cell", "left_semi")
+    return near.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "class long, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,40 +349,94 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                good.append(bool(linked(int((x[at] == y).sum()), len(x), len(y))))
+                good.append(bool(linked(int(hits(x, y).sum()), len(x), len(y))))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left = pairs.join(sets.withColumnRenamed("class", "a").withColumnRenamed("set", "x"), "a")
-    both = left.join(sets.withColumnRenamed("class", "b").withColumnRenamed("set", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    close = staged(screened(pairs, reps), "close")
+    if close.isEmpty():
+        return close
+    classes = close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class"))).distinct()
+    sets = staged(sets_for(docs, classes, reps), "sets")
+    left = close.join(sets.toDF("a", "x"), "a")
+    return staged(left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
+
+
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, n, root) of buckets whose members lie in several components."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return staged(placed.join(mixed, "bucket"), "open")
+
 
+def next_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """In each bucket, one member of its largest component against all others."""
+    pick = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn)))
+    comps = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), pick.alias("pick"))
+    big = comps.groupBy("bucket").agg(F.max_by(F.struct("root", "pick"), F.struct("size", "root")).alias("big"))
+    both = placed.join(big, "bucket").where("root <> big.root and n * 4 >= big.pick.n * 3 and big.pick.n * 4 >= n * 3")
+    return both.select(F.least("node", "big.pick.node").alias("a"), F.greatest("node", "big.pick.node").alias("b")).distinct()
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+
+def cross_pairs(placed: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs of members of a bucket in different components that their parity arrays
+    don't rule out. A bucket's members are compared where they lie, one against all, and
+    only what passes is put out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [batch for batch in batches if batch.num_rows]
+        if not batches:
+            return
+        bucket, node, n, root = np.concatenate([np.stack([c.to_numpy() for c in batch.columns[:4]]) for batch in batches], axis=1)
+        arrays = [x for batch in batches for x in batch.column(4)]
+        by = np.lexsort((root, bucket))
+        bucket, node, n, root = bucket[by], node[by], n[by], root[by]
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        found: set[tuple[int, int]] = set()
+        for s, e in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
+            own = [np.frombuffer(arrays[k].as_buffer(), np.uint8) for k in by[s:e]]
+            size = min(map(len, own))
+            bits = np.stack([fold(x, size) for x in own]).view(np.uint64)
+            m, ids, r = n[s:e], node[s:e], root[s:e]
+            after = np.searchsorted(r, r, "right")  # the first of a later component
+            for i in range(e - s):
+                k = after[i]
+                if k == e - s:
+                    break
+                good = np.bitwise_count(bits[k:] ^ bits[i]).sum(axis=1) <= (m[k:] + m[i]) // 7
+                good &= (m[k:] * 4 >= m[i] * 3) & (m[i] * 4 >= m[k:] * 3)
+                for j in np.flatnonzero(good).tolist():
+                    x, y = int(ids[i]), int(ids[k + j])
+                    found.add((min(x, y), max(x, y)))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = placed.join(reps.select(F.col("class").alias("node"), "parity"), "node").select("bucket", "node", "n", "root", "parity")
+    return rows.repartition(partitions(placed.sparkSession), "bucket").mapInArrow(run, "a long, b long").distinct()
+
+
+def jaccard_join(docs: DataFrame, turns: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs. turns: rounds of one
+    member against all others, before all pairs that are still open."""
+    parts = partitions(docs.sparkSession)
     classes = staged(class_table(docs), "classes")
+    kept = classes.where("doc_id is not null and class <> 0")
+    reps = staged(kept.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity")), "classes")
     found = staged(candidates(packed_signatures(docs, costs(docs), parts), parts), "candidates")
-    pairs = found.where("bucket is null").select("a", "b").distinct()
     members = found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"))
-    held = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(members.select(F.col("node").alias("class"))).distinct()
-    one = classes.where("doc_id is not null and class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = staged(candidate_sets(docs, held.join(one, "class").select("doc_id")), "sets")
-    links = staged(verified(pairs, sets), "links")
+    tried = staged(found.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = verified(tried, docs, reps)
     roots = staged(components(links), "roots")
-
-    # what shares a signature and is not connected yet
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    placed = staged(placed.join(open_, "bucket"), "open")
-    if not placed.isEmpty():
-        other = placed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        late = placed.join(other, "bucket").where("root < rb and n * 4 >= nb * 3 and nb * 4 >= n * 3").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        late = late.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        more = staged(verified(late, sets), "links")
+    for turn in range(turns + 1):
+        placed = open_members(members, roots)
+        if placed.isEmpty():
+            break
+        pairs = next_pairs(placed, turn) if turn < turns else cross_pairs(placed, reps)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = verified(pairs, docs, reps)
+        tried = tried.unionByName(pairs)
         if not more.isEmpty():
-            roots = staged(components(links.unionByName(more)), "roots")
+            links = links.unionByName(more)
+            roots = staged(components(links), "roots")
 
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     rooted = rooted.withColumn("root", F.when(F.col("class") != 0, F.coalesce("root", "class")))
