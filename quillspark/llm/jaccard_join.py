@@ -361,6 +361,14 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return staged(left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def distinct_buckets(members: DataFrame) -> DataFrame:
+    """members with one bucket of those that have the same members, as a passage or a
+    group of near copies gives many of."""
+    content = members.groupBy("bucket").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y"))
+    one = content.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return staged(members.join(one, "bucket"), "members")
+
+
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(bucket, node, n, root) of buckets whose members lie in several components."""
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -422,7 +430,7 @@ def jaccard_join(docs: DataFrame, turns: int = 3) -> DataFrame:
     kept = classes.where("doc_id is not null and class <> 0")
     reps = staged(kept.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity")), "classes")
     found = staged(candidates(packed_signatures(docs, costs(docs), parts), parts), "candidates")
-    members = found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"))
+    members = distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n")))
     tried = staged(found.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verified(tried, docs, reps)
     roots = staged(components(links), "roots")
