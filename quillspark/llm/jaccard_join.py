@@ -144,16 +144,23 @@ def costs(docs: DataFrame) -> np.ndarray:
     cells, step = 1 << COST_BITS, 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(cells, np.uint16), []
+        total, held = np.zeros(cells, np.uint8), []
+
+        def flush() -> None:
+            more = np.bincount(np.concatenate(held), minlength=cells)
+            more += total
+            np.minimum(more, 255, out=more)
+            total[:] = more
+            held.clear()
+
         for batch in batches:
             for _, _, h, first in sets_of(batch.column(0)):
-                held += [sig >> np.uint64(64 - COST_BITS) for _, _, sig, _ in memberships(h, first)]
-                if sum(map(len, held)) > cells:
-                    total = np.minimum(total + np.bincount(np.concatenate(held).astype(np.int64), minlength=cells), 255).astype(np.uint16)
-                    held = []
+                for _, _, sig, _ in memberships(h, first):
+                    held.append((sig >> np.uint64(64 - COST_BITS)).astype(np.int32))
+                    if sum(map(len, held)) > cells >> 2:
+                        flush()
         if held:
-            total = np.minimum(total + np.bincount(np.concatenate(held).astype(np.int64), minlength=cells), 255)
-        total = total.astype(np.uint8)
+            flush()
         yield pa.RecordBatch.from_arrays([pa.array(range(cells // step)), pa.array([total[i : i + step].tobytes() for i in range(0, cells, step)])], names=["cell", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +171,16 @@ def costs(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["cell", "counts"])
 
     rows = docs.select("text").mapInArrow(count, "cell long, counts binary").repartition(partitions(docs.sparkSession), "cell").mapInArrow(add, "cell long, counts binary")
-    out = np.zeros(cells, np.uint32)
-    for r in rows.toArrow().to_pylist():
-        out[r["cell"] * step : (r["cell"] + 1) * step] = np.frombuffer(r["counts"], np.uint32)
-    # the noise of other signatures in a cell, up to the mean, weighs nothing
-    return np.clip(np.log2(np.maximum(out / max(out.mean(), 1.0), 1)) * 2, 0, 63).astype(np.uint8)
+    counts: dict[int, np.ndarray] = {}
+    for batch in rows.toArrow().to_batches():
+        for cell, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts[cell] = np.frombuffer(c.as_buffer(), np.uint32)
+    mean = max(sum(int(c.sum(dtype=np.int64)) for c in counts.values()) / cells, 1.0)
+    out = np.zeros(cells, np.uint8)
+    for cell, c in counts.items():
+        # the noise of other signatures in a cell, up to the mean, weighs nothing
+        out[cell * step : (cell + 1) * step] = np.clip(np.log2(np.maximum(c / mean, 1)) * 2, 0, 63)
+    return out
 
 
 def allocate(h: np.ndarray, first: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -443,8 +455,8 @@ def jaccard_join(docs: DataFrame, turns: int = 3) -> DataFrame:
         more = verified(pairs, docs, reps)
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = staged(components(links), "roots")
+            stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = staged(components(stars.unionByName(more)), "roots")
 
     rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     rooted = rooted.withColumn("root", F.when(F.col("class") != 0, F.coalesce("root", "class")))
