@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import DEFAULT
+from quillspark.operators import assist
+from quillspark.sources.staging import cut
 
 
 def ordered_distinct(order: str, value: str):
@@ -38,10 +40,10 @@ def contract(edges: DataFrame, members: DataFrame) -> DataFrame:
     return both.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum(F.col("weight") * 2).alias("weight"))
 
 
-def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(community, a, b, weight): the edges with both ends in one community."""
+def induced(edges: DataFrame, members: DataFrame, *more: str) -> DataFrame:
+    """(community, a, b, weight, more columns): the edges with both ends in one community."""
     m = members.select("node", "community")
-    return edges.join(m.toDF("a", "ca"), "a").join(m.toDF("b", "cb"), "b").where("ca = cb").select(F.col("ca").alias("community"), "a", "b", "weight")
+    return edges.join(m.toDF("a", "ca"), "a").join(m.toDF("b", "cb"), "b").where("ca = cb").select(F.col("ca").alias("community"), "a", "b", "weight", *more)
 
 
 def evidence(edges: DataFrame, seeds: DataFrame, cap: int = DEFAULT.graph_chunk_cap) -> DataFrame:
@@ -59,22 +61,135 @@ def evidence(edges: DataFrame, seeds: DataFrame, cap: int = DEFAULT.graph_chunk_
     return found.orderBy(F.desc("score"), F.desc("freq"), "chunk").limit(cap)
 
 
-def communities(edges: DataFrame, rounds: int = 5, max_size: int = DEFAULT.community_max) -> DataFrame:
-    """(node, community): weighted label propagation with ties to the smallest label,
-    then communities over max_size are cut in slices. Results of a round are
-    checkpointed where a checkpoint folder is set."""
-    both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    labels = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-    for _ in range(rounds):
-        votes = both.join(labels.toDF("b", "label"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label"))
-        if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            labels = labels.checkpoint()
-    slice_ = F.floor((F.row_number().over(Window.partitionBy("label").orderBy("node")) - 1) / max_size)
-    return labels.select("node", F.concat_ws("_", F.col("label").cast("string"), slice_.cast("string")).alias("community"))
-
-
 def searchable(summaries: DataFrame) -> DataFrame:
     """summaries (level, ...) below the three highest levels."""
     top = summaries.agg((F.max("level") + 1).alias("levels"))
     return summaries.crossJoin(F.broadcast(top)).where(F.col("level") < F.col("levels") - 3).drop("levels")  # one row
+
+
+def sliced(rows: DataFrame, size: int, bucket: int = 50_000) -> DataFrame:
+    """rows (node, community, n) with slice: every community of n nodes in slices of at
+    most size. Nodes are numbered within hash buckets of about `bucket` nodes, to which the
+    totals of the buckets before are added, so no task numbers a whole large community."""
+    b = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket)).alias("b")
+    rows = rows.select("*", b)
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("community").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = rows.groupBy("community", "b").agg(F.count("*").alias("c")).select("community", "b", before.alias("before"))
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("community", "b").orderBy("node")) - 1).join(totals, ["community", "b"])
+    return numbered.withColumn("slice", F.floor((F.col("before") + F.col("i")) / size)).drop("b", "i", "before")
+
+
+def partition(edges: DataFrame, nodes: DataFrame, max_size: int, step: float, max_resolution: float, rounds: int = 2) -> DataFrame:
+    """(node, community) of nodes (node) and edges (a, b, weight): communities of at most
+    max_size nodes, each named by its smallest node. Weighted modularity moves, half of
+    the nodes by turns; then only communities over max_size are divided again, with a
+    resolution raised by step (twice step where a division did nothing) up to
+    max_resolution, and after that cut in slices. A node without edges stays alone."""
+    both = edges.where("a <> b").select("a", "b", "weight")
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    work = nodes.select("node", F.lit("").alias("parent"), F.lit(1.0).alias("resolution"), F.lit(-1).cast("long").alias("whole")).distinct()
+    done = None
+    while True:
+        labels = _moves(both, work, rounds)
+        sizes = labels.groupBy("parent", "label").agg(F.count("*").alias("n"), F.min("node").alias("community"))
+        named = cut(labels.join(sizes, ["parent", "label"]).drop("label"))
+        large, spent = F.col("n") > max_size, F.col("resolution") >= max_resolution
+        slices = sliced(named.where(large & spent), max_size)
+        heads = slices.groupBy("community", "slice").agg(F.min("node").alias("head"))
+        cuts = slices.join(heads, ["community", "slice"]).select("node", F.col("head").alias("community"))
+        fine = named.where(~large).select("node", "community").unionByName(cuts)
+        done = fine if done is None else done.unionByName(fine)
+        rest = named.where(large & ~spent)
+        if rest.isEmpty():
+            return cut(done)
+        # one division of the whole set counts as useless where all nodes stayed together
+        useless = F.col("n") == F.when(F.col("whole") < 0, nodes.count()).otherwise(F.col("whole"))
+        raised = F.col("resolution") + F.lit(step) * F.when(useless, 2).otherwise(1)
+        work = rest.select("node", F.col("community").alias("parent"), raised.alias("resolution"), F.col("n").alias("whole"))
+
+
+def _moves(both: DataFrame, work: DataFrame, rounds: int) -> DataFrame:
+    """work (node, parent, resolution, whole) with label: every node starts alone and, in
+    its turn, joins the neighbouring label of its parent with the largest modularity gain;
+    ties go to the smallest label."""
+    part = work.select("node", "parent")
+    inside = cut(both.join(part.toDF("a", "parent"), "a").join(part.toDF("b", "pb"), "b").where("parent = pb").select("parent", "a", "b", "weight"))
+    degree = inside.groupBy("parent", F.col("a").alias("node")).agg(F.sum("weight").cast("double").alias("k"))
+    total = degree.groupBy("parent").agg(F.sum("k").alias("m2"))
+    scale = (F.col("resolution") / F.col("m2")).alias("g")
+    state = cut(degree.join(total, "parent").join(work, ["parent", "node"]).select("parent", "node", "k", scale, F.col("node").alias("label")))
+    for turn in range(rounds * 2):
+        mass = state.groupBy("parent", "label").agg(F.sum("k").alias("kl"))
+        seen = state.select("parent", F.col("node").alias("b"), "label")
+        votes = inside.join(seen, ["parent", "b"]).groupBy("parent", F.col("a").alias("node"), "label").agg(F.sum("weight").cast("double").alias("w"))
+        # its own label is an option too
+        options = votes.unionByName(state.select("parent", "node", "label", F.lit(0.0).alias("w"))).groupBy("parent", "node", "label").agg(F.sum("w").alias("w"))
+        me = state.select("parent", "node", "k", "g", F.col("label").alias("now"))
+        scored = options.join(me, ["parent", "node"]).join(mass, ["parent", "label"])
+        others = F.col("kl") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("g") * F.col("k") * others, 9)
+        best = scored.groupBy("parent", "node").agg(
+            F.min_by("label", F.struct((-gain).alias("x"), F.col("label").alias("y"))).alias("best"), F.first("k").alias("k"), F.first("g").alias("g"), F.first("now").alias("now")
+        )
+        turns = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
+        state = cut(best.select("parent", "node", "k", "g", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("label")))
+    return work.join(state.select("parent", "node", "label"), ["parent", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+
+
+#: Largest community, step and highest resolution of level 0 and of the levels above.
+LEVELS = ((800, 0.2, 3.0), (500, 0.01, 1.5))
+
+
+def hierarchy(edges: DataFrame, nodes: DataFrame, levels: tuple = LEVELS, rounds: int = 2) -> DataFrame:
+    """(level, community_id, member): level 0 holds the nodes, every further level the
+    communities below it, contracted. It ends with one community or where the number of
+    nodes no longer falls; a graph of one node is one community, an empty one has none."""
+    edges = edges.where("a is not null and b is not null").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("weight").cast("double").alias("weight"))
+    nodes = cut(nodes.where("node is not null").select(F.col("node").cast("string").alias("node")).distinct())
+    out = nodes.select(F.lit(0).alias("level"), F.col("node").alias("community_id"), F.col("node").alias("member")).limit(0)
+    level, count = 0, nodes.count()
+    while count:
+        size, step, highest = levels[min(level, len(levels) - 1)]
+        parts = partition(edges, nodes, size, step, highest, rounds) if count > 1 else nodes.select("node", F.col("node").alias("community"))
+        # a community is named by its smallest node, whose own level is taken off the name
+        root = F.regexp_replace("community", "^C_\\d+_", "") if level else F.col("community")
+        parts = cut(parts.select("node", F.concat(F.lit(f"C_{level}_"), root).alias("community")))
+        out = out.unionByName(parts.select(F.lit(level).alias("level"), F.col("community").alias("community_id"), F.col("node").alias("member")))
+        heads = parts.select(F.col("community").alias("node")).distinct()
+        fewer = heads.count()
+        if fewer <= 1 or fewer >= count:
+            break
+        edges, nodes, level, count = cut(contract(edges, parts)), heads, level + 1, fewer
+    return out
+
+
+def summaries(hierarchy: DataFrame, nodes: DataFrame, edges: DataFrame, model=assist.models.rules) -> DataFrame:
+    """(community_id, level, summary), bottom-up: level 0 reads its entities (node, type,
+    description) and the edges (a, b, weight, relations) inside, a further level the
+    summaries of its members. Communities are bounded, so are their inputs."""
+    tree = cut(hierarchy)
+    levels = tree.agg(F.max("level")).first()[0]  # one row
+    keys = tree.where("level = 0").select("community_id", F.col("member").alias("node"))
+    named = nodes.select(F.col("node").cast("string").alias("node"), F.concat_ws(" ", F.col("node").cast("string"), F.coalesce("type", F.lit(assist.UNKNOWN_TYPE)), F.coalesce("description", F.lit(""))).alias("line"))
+    ties = induced(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "weight", "relations"), keys.withColumnRenamed("community_id", "community"), "relations")
+    ties = ties.select(F.col("community").alias("community_id"), F.concat_ws(" ", "a", F.array_join("relations", ","), "b").alias("line"))
+    lines = keys.join(named, "node", "left").select("community_id", F.lit(0).alias("o"), F.coalesce("line", "node").alias("line")).unionByName(ties.select("community_id", F.lit(1).alias("o"), "line"))
+    out = None
+    for level in range((levels if levels is not None else -1) + 1):
+        if level:
+            below = out.select(F.col("community_id").alias("member"), F.concat_ws(" ", "community_id", "summary").alias("line"))
+            lines = tree.where(F.col("level") == level).join(below, "member").select("community_id", F.lit(0).alias("o"), "line")
+        content = lines.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda s: s["line"]).alias("content"))
+        made = cut(assist.summarize(content, model).withColumn("level", F.lit(level)))
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        return tree.select("community_id", "level", F.lit("").alias("summary"))
+    return out.select("community_id", "level", "summary")
+
+
+def community_tables(hierarchy: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, level, summary) and vertical edges (src, relation, dst) to be written:
+    entities belong to communities of level 0, those are sub-communities of the next."""
+    nodes = summaries.select(F.col("community_id").alias("id"), "level", "summary")
+    relation = F.when(F.col("level") == 0, "BELONGS_TO").otherwise("SUBCOMMUNITY_OF")
+    return nodes, hierarchy.select(F.col("member").alias("src"), relation.alias("relation"), F.col("community_id").alias("dst"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import models
 from quillspark.functions import text as T
-from quillspark.operators import chunking, graph, memory, retrieval
+from quillspark.operators import assist, chunking, graph, memory, retrieval, webhook
 from quillspark.sources.readers import table
 
 QUERIES: dict = {}
@@ -404,11 +405,6 @@ def json_parse_tolerant(spark, d):
     return rows.select("i", F.size("g.nodes").alias("nodes"), F.size("g.edges").alias("edges"), F.coalesce(F.get(F.col("g.nodes.type"), F.lit(0)), F.lit("")).alias("type"))
 
 
-@register("community_labels")
-def community_labels(spark, d):
-    return graph.communities(und_edges(spark, d), rounds=3)
-
-
 @register("summary_gate", "SELECT i AS level FROM range(5) t(i) WHERE i < 2")
 def summary_gate(spark, d):
     return graph.searchable(spark.range(5).select(F.col("id").alias("level")))
@@ -422,3 +418,141 @@ def memory_summary_clean(spark, d):
 @register("message_events", "SELECT event_id, CASE WHEN json_extract_string(props, '$.page') IS NULL THEN '' ELSE json_extract_string(props, '$.page') END AS page FROM events")
 def message_events(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.lit("")).alias("page"))
+
+
+def parts_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, type, description) and edges of customers and parts."""
+    e = und_edges(spark, d)
+    ends = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return ends.select("node", F.when(F.col("node") < 10_000_000, "customer").otherwise("part").alias("type"), F.lit("").alias("description")), e
+
+
+@register("community_hierarchy")
+def community_hierarchy(spark, d):
+    nodes, edges = parts_edges(spark, d)
+    return graph.hierarchy(edges, nodes)
+
+
+@register("community_summaries")
+def community_summaries(spark, d):
+    nodes, edges = parts_edges(spark, d)
+    tree = graph.hierarchy(edges, nodes)
+    return graph.searchable(graph.summaries(tree, nodes, edges))
+
+
+@register(
+    "hierarchy_slices",
+    "SELECT community, slice, count(*) AS nodes FROM (SELECT c_nationkey AS community, CAST(floor((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) / 7) AS BIGINT) AS slice FROM customer) GROUP BY ALL",
+)
+def hierarchy_slices(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("community"))
+    n = c.groupBy("community").agg(F.count("*").alias("n"))
+    return graph.sliced(c.join(n, "community"), 7, 3).groupBy("community", "slice").agg(F.count("*").alias("nodes"))
+
+
+FIRST_LINE = "substr(trim(split_part(text, chr(10), 1), ' '), 1, 60)"
+
+
+@register(
+    "enrich_chunks",
+    f"""SELECT doc_id, prefix AS context_prefix, CASE WHEN trim(text) = '' THEN sha256('') ELSE sha256('【上下文背景】：' || prefix || chr(10) || text) END AS enriched FROM (
+  SELECT doc_id, text, CASE WHEN trim(text) = '' THEN '空文本' WHEN trim({FIRST_LINE}) = '' THEN '人物与场景不明，待补全文。' ELSE trim({FIRST_LINE}) END AS prefix FROM documents)""",
+)
+def enrich_chunks(spark, d):
+    out = assist.enrich(docs(spark, d).select("id", F.col("text").alias("document"), F.col("text").alias("original_text")))
+    return out.select(F.col("id").alias("doc_id"), "context_prefix", F.sha2("enriched_text", 256).alias("enriched"))
+
+
+NAMES = "list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,}'))"
+
+
+@register("extract_graph", f"SELECT doc_id, len({NAMES}) AS nodes, greatest(len({NAMES}) - 1, 0) AS edges FROM documents")
+def extract_graph(spark, d):
+    out = assist.extract(docs(spark, d))
+    return out.select(F.col("id").alias("doc_id"), F.size("graph.nodes").cast("long").alias("nodes"), F.size("graph.edges").cast("long").alias("edges"))
+
+
+@register(
+    "profile_write_back",
+    f"""WITH {EDGE_ROWS}, firsts AS (SELECT src AS id, description, min(seq) AS s FROM triples GROUP BY ALL)
+SELECT id, string_agg(description, '；' ORDER BY s) AS description, 1 AS with_vector, true AS cleared FROM firsts GROUP BY id""",
+)
+def profile_write_back(spark, d):
+    mentions = triples(spark, d).select(F.col("src").alias("id"), F.lit("customer").alias("type"), "description", "seq")
+    entities = graph.merge_nodes(mentions).withColumn("description", F.lit(""))
+    out = assist.write_profiles(entities, assist.profiles(entities), clear=True)
+    norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3)
+    return out.select("id", "description", norm.cast("int").alias("with_vector"), F.col("all_descriptions").isNull().alias("cleared"))
+
+
+@register(
+    "user_graph_recall",
+    """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+sims AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS score FROM embeddings),
+near AS (SELECT id, score FROM sims ORDER BY score DESC, id LIMIT 8),
+refs AS (SELECT event_id % 400 AS id, max(score) AS s FROM events JOIN near ON near.id = CAST(floor(value) AS BIGINT) WHERE user_id % 3 = 0 GROUP BY ALL ORDER BY s DESC, id LIMIT 24)
+SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT sims.id, sims.score FROM sims SEMI JOIN refs ON refs.id = sims.id ORDER BY score DESC, id LIMIT 3)""",
+)
+def user_graph_recall(spark, d):
+    v = vectors(spark, d)
+    e = table(spark, d, "events").select(
+        F.when(F.col("user_id") % 3 == 0, "u").otherwise("other").alias("user"), F.floor("value").cast("long").alias("target"), F.lit("Agent_Memory").alias("created_by"), F.array(F.col("event_id") % 400).alias("evidence")
+    )
+    memories = v.select("id", "vector", F.concat(F.lit("m"), "id").alias("summary"))
+    return retrieval.user_graph_recall(e, memories, probe(spark, d), v, "u").select("id", "rank")
+
+
+@register(
+    "dispatch_local",
+    f"""WITH {DENSE.format(where='', k=60)} SELECT * FROM (
+  SELECT 0 AS section_no, 'chunks' AS section, rank AS pos, id::VARCHAR AS text FROM dense WHERE rank < 10 UNION ALL SELECT 1, 'user_graph', rank, 'm' || id FROM dense WHERE rank < 3)""",
+)
+def dispatch_local(spark, d):
+    def search(prefix):
+        return lambda k: dense_topk(spark, d).where(F.col("rank") < k).select(F.col("rank").alias("pos"), F.concat(F.lit(prefix), F.col("id").cast("string")).alias("text"))
+
+    return retrieval.dispatch("local", ["[当前用户]"], {"local": search(""), "user_graph": search("m")})
+
+
+@register(
+    "route_questions",
+    r"""SELECT conv_id, turn, CASE WHEN trim(lower(text), ' .!?。！？') IN ('hello', 'hi', 'thanks', '你好', '谢谢') THEN 'DIRECT'
+  WHEN regexp_matches(lower(text), 'remember|earlier|last time|记得|上次|之前') THEN 'MEMORY'
+  WHEN regexp_matches(lower(text), 'overall|summary|summarize|theme|总体|主题|概括') THEN 'GLOBAL' ELSE 'LOCAL' END AS mode,
+  least(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,}'))), 8) AS entities FROM conversations WHERE role = 'user'""",
+)
+def route_questions(spark, d):
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), F.lit("").alias("history"))
+    return assist.route(asked).select("conv_id", "turn", "route.mode", F.size("route.entities").cast("long").alias("entities"))
+
+
+@register("embed_texts")
+def embed_texts(spark, d):
+    return docs(spark, d).select(F.col("id").alias("doc_id"), models.embed(F.col("text")).alias("vector"))
+
+
+@register("turn_summaries")
+def turn_summaries(spark, d):
+    c = table(spark, d, "conversations")
+    asked = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    said = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    return assist.summarize_turns(asked.join(said, ["conv_id", "turn"])).select("conv_id", "turn", "summary")
+
+
+@register(
+    "webhook_events",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'message' WHEN 1 THEN 'message' WHEN 2 THEN 'not_text' WHEN 3 THEN 'encrypted' ELSE 'command' END AS status,
+CASE WHEN event_id % 5 = 3 THEN NULL ELSE 'u' || user_id END AS user_id, CASE WHEN event_id % 5 = 4 THEN '12' END AS command FROM events""",
+)
+def webhook_events(spark, d):
+    def new(kind: str, text: str):
+        content = F.to_json(F.struct(F.concat(F.lit(text), F.lit(" "), "event_type").alias("text"))) if text[:1] != "删" else F.to_json(F.struct(F.lit(text).alias("text")))
+        message = F.struct(F.lit(kind).alias("message_type"), F.col("event_id").cast("string").alias("message_id"), content.alias("content"))
+        sender = F.struct(F.struct(F.concat(F.lit("u"), "user_id").alias("open_id")).alias("sender_id"))
+        return F.to_json(F.struct(F.struct(F.lit(webhook.RECEIVE).alias("event_type")).alias("header"), F.struct(message.alias("message"), sender.alias("sender")).alias("event")))
+
+    old = F.to_json(F.struct(F.struct(F.lit("message").alias("type"), F.concat(F.lit("u"), "user_id").alias("open_id"), F.concat(F.lit("@ou_x1 "), "event_type").alias("text")).alias("event")))
+    kind = F.col("event_id") % 5
+    body = F.when(kind == 0, new("text", "@_user_1 ask")).when(kind == 1, old).when(kind == 2, new("image", "x")).when(kind == 3, F.lit('{"encrypt":"x"}')).otherwise(new("text", "删除记忆：21"))
+    out = webhook.parse(table(spark, d, "events").select("event_id", "user_id", body.alias("payload")).withColumnRenamed("user_id", "u"))
+    return out.select("event_id", "status", "user_id", "command")
