@@ -50,7 +50,7 @@ def keywords(text: Column, most: int = 8) -> Column:
 
 def entity_keywords(entities: Column, text: Column, user: str, most: int = 8) -> Column:
     """The usable entities if there are any, else the keywords of the text."""
-    usable = F.array_distinct(F.filter(F.transform(entities, F.trim), lambda x: (x != "") & (x != user)))
+    usable = F.array_distinct(F.filter(F.transform(entities, lambda x: F.trim(x)), lambda x: (x != "") & (x != user)))
     return F.when(F.size(usable) > 0, F.slice(usable, 1, most)).otherwise(keywords(text, most))
 
 
@@ -82,7 +82,7 @@ def parse_graph(text: Column, unknown: str = "未知") -> Column:
 def clean_summary(text: Column, most: int = 4) -> Column:
     """Quotes off, white space collapsed, the first distinct sentences."""
     flat = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[`\"'“”]", ""), "(?U)\\s+", " ")
-    parts = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^。！？!?；;.]+[。！？!?；;.]*"), F.lit(0)), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^。！？!?；;.]+[。！？!?；;.]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.slice(F.array_distinct(parts), 1, most), " ")
 
 
