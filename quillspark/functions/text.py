@@ -79,11 +79,29 @@ def parse_graph(text: Column, unknown: str = "未知") -> Column:
     return F.struct(nodes.alias("nodes"), edges.alias("edges"))
 
 
+#: Answers that stand for no summary, and words of answers that decline one.
+NO_SUMMARY = ["无", "暂无", "无内容", "空", "空字符串", "none", "null", "n/a", "na", "skip", "无有效信息", "纯闲聊"]
+DECLINED = ["闲聊", "无需记录", "不需要记录", "跳过", "无长期记忆价值"]
+
+
 def clean_summary(text: Column, most: int = 4) -> Column:
-    """Quotes off, white space collapsed, the first distinct sentences."""
-    flat = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[`\"'“”]", ""), "(?U)\\s+", " ")
-    parts = F.filter(F.transform(F.regexp_extract_all(flat, F.lit("[^。！？!?；;.]+[。！？!?；;.]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(F.slice(F.array_distinct(parts), 1, most), " ")
+    """Wrapping quotes off, white space collapsed, then the first `most` sentences that
+    differ by more than white space, as they stood. Null or blank: empty."""
+    space = lambda c, by: F.regexp_replace(c, "(?U)\\s+", by)
+    bare = F.regexp_replace(F.trim(space(F.coalesce(text, F.lit("")), " ")), "^[\"'`“”‘’]+|[\"'`“”‘’]+$", "")
+    parts = F.regexp_extract_all(F.trim(bare), F.lit("[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$"), F.lit(0))
+    parts = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    keys = F.transform(parts, lambda x: space(x, ""))
+    firsts = F.filter(parts, lambda x, i: F.array_position(keys, space(x, "")) == i + 1)
+    return F.array_join(F.slice(firsts, 1, most), "")
+
+
+def no_memory(summary: Column) -> Column:
+    """Whether a cleaned summary is blank, a marker of emptiness or a refusal."""
+    declined = F.lit(False)
+    for word in DECLINED:
+        declined = declined | summary.contains(word)
+    return (F.coalesce(summary, F.lit("")) == "") | F.lower(summary).isin(*NO_SUMMARY) | declined
 
 
 def relation_name(text: Column) -> Column:

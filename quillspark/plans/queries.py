@@ -410,7 +410,13 @@ def summary_gate(spark, d):
     return graph.searchable(spark.range(5).select(F.col("id").alias("level")))
 
 
-@register("memory_summary_clean")
+@register(
+    "memory_summary_clean",
+    r"""WITH flat AS (SELECT conv_id, turn, trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^["''`“”‘’]+|["''`“”‘’]+$', '', 'g')) AS t FROM conversations),
+seg AS (SELECT conv_id, turn, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(t, '[^。！？!?；;]*[。！？!?；;]|[^。！？!?；;]+$') AS l FROM flat)),
+firsts AS (SELECT conv_id, turn, trim(arg_min(s, i)) AS s, min(i) AS i FROM seg WHERE trim(s) <> '' GROUP BY conv_id, turn, regexp_replace(s, '\s+', '', 'g'))
+SELECT conv_id, turn, string_agg(s, '' ORDER BY i) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS r FROM firsts) WHERE r <= 4 GROUP BY conv_id, turn""",
+)
 def memory_summary_clean(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.clean_summary(F.col("text")).alias("summary")).where("summary <> ''")
 

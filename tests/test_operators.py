@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
 from quillspark.operators import assist, graph, memory, retrieval, webhook
 from quillspark.streaming import state
 
@@ -115,6 +116,21 @@ def test_community_summary_placeholders(spark):
     assert got(failing)[0] == assist.FAILED_SUMMARY and got(blank)[0] == assist.NO_SUMMARY
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [(' "one two! onetwo! 2" ', "one two!2"), ("a。a。b！c？d；e", "a。b！c？d；"), ("a!!", "a!!"), ("x.5 y", "x.5 y"), ("", ""), (None, ""), ("“”", "")],
+)
+def test_clean_summary(spark, text, want):
+    assert spark.range(1).select(T.clean_summary(F.lit(text)).alias("s")).first()["s"] == want
+
+
+def test_no_memory_and_entities(spark):
+    df = spark.createDataFrame([(t,) for t in ["None", "无", "这是闲聊", "", None, "kept"]], "t string")
+    assert [r["n"] for r in df.select(T.no_memory(F.col("t")).alias("n")).collect()] == [True, True, True, True, True, False]
+    one = spark.range(1).select(T.entity_keywords(F.array(F.lit(" 1a "), F.lit("1a"), F.lit("me")), F.lit("txt"), "me").alias("k"))
+    assert one.first()["k"] == ["1a"]
+
+
 @pytest.mark.parametrize("text, want", [("删除记忆", "help"), ("清空记忆 ： 2", "2"), ("删除记忆21", "12"), ("删除记忆3", None), ("", None)])
 def test_memory_command(spark, text, want):
     assert spark.range(1).select(webhook.memory_command(F.lit(text)).alias("c")).first()["c"] == want
