@@ -397,41 +397,69 @@ def next_pairs(placed: DataFrame, turn: int) -> DataFrame:
     return both.select(F.least("node", "big.pick.node").alias("a"), F.greatest("node", "big.pick.node").alias("b")).distinct()
 
 
+def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of each bucket (column 0), one bucket after the other, from batches that
+    are sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and bucket[s] != now:
+                yield held
+                held = []
+            now = bucket[s]
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield held
+
+
 def cross_pairs(placed: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs of members of a bucket in different components that their parity arrays
     don't rule out. A bucket's members are compared where they lie, one against all, and
-    only what passes is put out."""
+    only what passes is put out. A task holds one bucket at a time and a bounded number of
+    pairs, among which repeated ones go."""
+    most = 1 << 20
+
+    def distinct(pairs: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(pairs, axis=1)
+        both = both[:, np.lexsort(both)]
+        return both[:, np.append(True, (both[:, 1:] != both[:, :-1]).any(axis=0))] if both.shape[1] else both
+
+    def within(parts: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        node, n, root = (np.concatenate([x.column(c).to_numpy() for x in parts]) for c in (1, 2, 3))
+        by = np.argsort(root, kind="stable")
+        node, n, root = node[by], n[by], root[by]
+        arrays = [x for part in parts for x in part.column(4)]
+        own = [np.frombuffer(arrays[k].as_buffer(), np.uint8) for k in by]
+        size = min(map(len, own))
+        bits = np.stack([fold(x, size) for x in own]).view(np.uint64)
+        after = np.searchsorted(root, root, "right")  # the first of a later component
+        for i, k in enumerate(after.tolist()):
+            if k == len(node):
+                break
+            good = np.bitwise_count(bits[k:] ^ bits[i]).sum(axis=1) <= (n[k:] + n[i]) // 7
+            good &= (n[k:] * 4 >= n[i] * 3) & (n[i] * 4 >= n[k:] * 3)
+            others = node[k:][good]
+            yield np.stack([np.minimum(others, node[i]), np.maximum(others, node[i])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [batch for batch in batches if batch.num_rows]
-        if not batches:
-            return
-        bucket, node, n, root = np.concatenate([np.stack([c.to_numpy() for c in batch.columns[:4]]) for batch in batches], axis=1)
-        arrays = [x for batch in batches for x in batch.column(4)]
-        by = np.lexsort((root, bucket))
-        bucket, node, n, root = bucket[by], node[by], n[by], root[by]
-        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        found: set[tuple[int, int]] = set()
-        for s, e in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
-            own = [np.frombuffer(arrays[k].as_buffer(), np.uint8) for k in by[s:e]]
-            size = min(map(len, own))
-            bits = np.stack([fold(x, size) for x in own]).view(np.uint64)
-            m, ids, r = n[s:e], node[s:e], root[s:e]
-            after = np.searchsorted(r, r, "right")  # the first of a later component
-            for i in range(e - s):
-                k = after[i]
-                if k == e - s:
-                    break
-                good = np.bitwise_count(bits[k:] ^ bits[i]).sum(axis=1) <= (m[k:] + m[i]) // 7
-                good &= (m[k:] * 4 >= m[i] * 3) & (m[i] * 4 >= m[k:] * 3)
-                for j in np.flatnonzero(good).tolist():
-                    x, y = int(ids[i]), int(ids[k + j])
-                    found.add((min(x, y), max(x, y)))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        kept, fresh, size = np.zeros((2, 0), np.int64), [], 0
+        for parts in bucket_runs(batches):
+            for pairs in within(parts):
+                fresh.append(pairs)
+                size += pairs.shape[1] + 1
+                if size >= most:
+                    kept, fresh, size = distinct([kept, *fresh]), [], 0
+                    if kept.shape[1] >= 4 * most:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["a", "b"])
+                        kept = kept[:, :0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in distinct([kept, *fresh])], names=["a", "b"])
 
     rows = placed.join(reps.select(F.col("class").alias("node"), "parity"), "node").select("bucket", "node", "n", "root", "parity")
-    return rows.repartition(partitions(placed.sparkSession), "bucket").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions(placed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, turns: int = 3) -> DataFrame:
