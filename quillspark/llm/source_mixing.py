@@ -9,9 +9,11 @@ state of the descent is a short list of coefficient vectors, each document's rat
 recomputed from its posterior, and an iteration is one pass over a narrow table that
 returns one number for each domain. Nothing is shuffled and no text is read again.
 
-Unless a budget is given it is the largest total that needs no domain more than once, so
-rates stay near 1 or below. Rates become whole copies: the integer part, and one more
-with the probability of the rest, decided by a hash of the row.
+Unless a budget is given it is the largest total that needs no wanted domain more than
+once, so rates stay near 1 or below; the targets of UNWANTED domains are ceilings beside
+it, and one that holds less keeps what it has and costs the others nothing. A given
+budget is met in the given shares. Rates become whole copies: the integer part, and one
+more with the probability of the rest, decided by a hash of the row.
 
 Defined results: a null or empty text has no tokens, the prior as posterior, and its
 rate decides about it as about any other; a null or missing label teaches nothing;
@@ -37,6 +39,8 @@ from quillspark.llm._words import text_blocks, words_of
 BITS = 18
 #: Target share of expected tokens for each domain of the labels table.
 TARGETS = {"clean": 0.96, "low_quality": 0.02, "toxic": 0.02}
+#: Domains that bound no budget: as much of them as the target allows, not as it asks for.
+UNWANTED = {"low_quality", "toxic"}
 
 
 def present(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -180,8 +184,12 @@ def solve(rows: DataFrame, domains: list[str], targets: dict[str, float], budget
     if not have.sum() or not want.sum():
         return Solution(domains, have, have, [])
     want = want / want.sum()
-    total = budget if budget is not None else min(have[i] / want[i] for i in range(k) if want[i])
+    asked = [i for i in range(k) if want[i]]
+    wanted = [i for i in asked if domains[i] not in UNWANTED] or asked
+    total = budget if budget is not None else min(have[i] / want[i] for i in wanted)
     target, step = want * total, 1 / np.linalg.eigvalsh(gram)[-1]
+    if budget is None:
+        target = np.minimum(target, have)
     history: list[tuple[np.ndarray, float]] = []
     at_r = at_y = have
     t = 1.0

@@ -166,6 +166,19 @@ def test_source_mixing(spark, sf):
     assert source_mixing.source_mixing(docs.limit(0), labelled).count() == 0
 
 
+@pytest.mark.parametrize("toxic, low", [(10, 40), (5, 40), (40, 10), (40, 5), (5, 5), (0, 100)])
+def test_scarce_unwanted_domains_cost_no_clean_document(spark, toxic, low):
+    domains, n = ["clean", "low_quality", "toxic"], [1000 - toxic - low, low, toxic]
+    hot = [[float(i == k) for i in range(3)] for k in range(3)]
+    rows = spark.createDataFrame([(7, hot[k]) for k in range(3) for _ in range(n[k])], "tokens long, posterior array<double>")
+    solution = source_mixing.solve(rows, domains, source_mixing.TARGETS)
+    clean, *rest = solution.rates(np.array(hot))
+    assert clean > 0.98
+    for rate, have in zip(rest, n[1:], strict=True):  # all of a scarce domain, no more than the ceiling of a large one
+        most = n[0] * 0.02 / 0.96
+        assert abs(rate * have - min(have, most)) < 0.1 * most
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
