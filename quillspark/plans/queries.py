@@ -98,6 +98,44 @@ def bm25_topk(spark, d):
     return retrieval.bm25_topk(docs(spark, d), query_words(spark, d), 60)
 
 
+#: The registered query sets: every row whose id is divisible by 20, against all rows.
+EACH = 20
+
+
+@register(
+    "dense_topk_each",
+    f"""SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM (
+  SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % {EACH} = 0)) WHERE rank < 60""",
+)
+def dense_topk_each(spark, d):
+    queries = vectors(spark, d).where(F.col("id") % EACH == 0).select(F.col("id").alias("query"), "vector")
+    return retrieval.dense_topk_each(vectors(spark, d), queries, 60)
+
+
+@register(
+    "bm25_topk_each",
+    rf"""WITH words AS (
+  SELECT DISTINCT query, lower(w) AS w FROM (
+    SELECT query, w, row_number() OVER (PARTITION BY query ORDER BY p) AS r FROM (
+      SELECT query, w, min(p) AS p FROM (
+        SELECT query, unnest(l) AS w, generate_subscripts(l, 1) AS p
+        FROM (SELECT doc_id AS query, regexp_extract_all(text, '[\x{{4e00}}-\x{{9fff}}]{{2,}}|[A-Za-z0-9_]{{2,}}') AS l FROM documents WHERE doc_id % {EACH} = 0))
+      GROUP BY query, w)) WHERE r <= 8),
+toks AS (SELECT doc_id AS id, {TERMS} AS t FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY id, dl, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (
+  SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM words JOIN tf ON w = term JOIN df USING (term) CROSS JOIN stats GROUP BY query, id)
+SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM scored) WHERE rank < 60""",
+)
+def bm25_topk_each(spark, d):
+    queries = docs(spark, d).where(F.col("id") % EACH == 0).select(F.col("id").alias("query"), T.keywords(F.col("text"), 8).alias("words"))
+    return retrieval.bm25_topk_each(docs(spark, d), queries, 60)
+
+
 @register("text_match_any", f"WITH {FIRST_WORDS} SELECT doc_id AS id FROM documents WHERE list_has_any({TERMS}, (SELECT list(w) FROM words))")
 def text_match_any(spark, d):
     return retrieval.text_match(docs(spark, d), query_words(spark, d))

@@ -1,6 +1,7 @@
 """Operators without SQL: invariants, fallbacks, worked examples and streams."""
 
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -223,3 +224,22 @@ def test_sessions_keep_the_last_messages_and_reset(spark, tmp_path):
     got = {(r["user"], r["seq"]): [t for _, t in json.loads(r["history"])] for r in finish(state.sessions(stream), tmp_path).collect()}
     assert got[("u", 0)] == [] and got[("u", 8)] == [f"m{i}" for i in range(2, 8)]
     assert got[("u", 9)] == [f"m{i}" for i in range(3, 9)] and got[("u", 10)] == [] and got[("v", 0)] == []
+
+
+def test_topk_of_every_query_is_that_of_each_alone(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "TERM_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SLICE", 2)
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)], " ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.randrange(6)))) for i in range(20)]
+    rows += [(20, None, None), (21, [0.0, 0.0, 0.0], "zz"), (22, rows[0][1], rows[0][2]), (23, [1.0, 2.0], "AB ab cd")]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, text string")
+    asked = df.where("id % 3 = 0 or id > 19")
+    words = asked.selectExpr("id as query", "split(coalesce(text, ''), ' ') as words")
+    dense = retrieval.dense_topk_each(df.select("id", "vector"), asked.selectExpr("id as query", "vector"), 4).collect()
+    sparse = retrieval.bm25_topk_each(df.select("id", "text"), words, 4).collect()
+    cells = lambda found: sorted((r["rank"], r["id"], r["score"]) for r in found)
+    for i, w in ((r["query"], r["words"]) for r in words.collect()):
+        assert cells(r for r in dense if r["query"] == i) == cells(retrieval.dense_topk(df.select("id", "vector"), df.where(f"id = {i}"), 4).collect())
+        assert cells(r for r in sparse if r["query"] == i) == cells(retrieval.bm25_topk(df.select("id", "text"), w, 4).collect())
