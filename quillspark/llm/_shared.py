@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the
-    context's checkpoint folder. Only where neither is set (tests, local mode) a
-    fresh temporary folder is made and becomes the checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the
+    context's checkpoint folder. In local mode, where neither is set, a fresh folder of this
+    machine becomes the checkpoint folder; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    made = tempfile.mkdtemp(prefix="quillspark-")
-    spark.sparkContext.setCheckpointDir("file://" + made)
-    return "file://" + made
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -48,3 +48,12 @@ def sha256_hex(c: Column) -> Column:
 def schema_of(df: DataFrame, *names: str) -> str:
     """DDL of the named columns of df, for the output of mapInArrow."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name made of name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

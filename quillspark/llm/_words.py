@@ -72,13 +72,13 @@ class Words:
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of blocks of a string column; a
+    """(first row, row after the last, bytes, offsets) of blocks of a string or binary column; a
     null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_utf8())
+        column = column.fill_null(b"")
     n = len(column)
     if not n:
         return

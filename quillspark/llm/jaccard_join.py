@@ -2,58 +2,67 @@
 
 Documents are sets of distinct five-word shingle hashes; two link when their Jaccard
 similarity is at least 0.75, so sets of n1 and n2 shingles differ in at most
-t = floor((n1 + n2) / 7) of them. The universe of hashes is cut into m equal segments, m
-by size band. What a set holds of one segment is a subset, hashed to one signature. A
-pair that differs in t shingles differs in at most t subsets, so:
-
-* if every set allocates the first t + 1 of its non-empty subsets under one common order,
-  any linked pair has an allocated signature in common. The order is by cost: subsets
-  that many documents have come last (counts over all documents, in a table of fixed
-  size). A common passage therefore makes no candidates where rarer subsets suffice.
-* sets of up to 6 shingles, where t is at most 1, have one segment, and allocate it with
-  its one-deletion neighbourhood: the set itself and every set of one shingle less.
-
-A set belongs to the band of its size and, as the smaller partner, to the next band if a
-partner there is possible. Equal sets are one class from the start. Candidates are
-verified on the full sets.
-
-Signatures move packed: one row for each map batch and target partition. Of the classes
-that share a signature the first is verified against the others. While some of them lie
-in different components, another member of the largest component is verified against
-those outside it, for a few turns; then all pairs that share a signature and still lie
-in different components are. So no link between components is lost, and no group of
-near copies is expanded into all its pairs.
+t = floor((n1 + n2) / 7) of them. Sizes fall into bands that double. In every band the
+universe of hashes is cut into m equal segments, m = t + 1 for the largest pair of the
+band and a quarter more; what a set holds of one segment is a subset (maybe empty). A
+set belongs to the band of its size and, as the smaller partner, to the next band if a
+partner there is possible.
+
+Index: every subset of every set, and of its one-deletion neighbourhoods (the subset less
+one shingle) all those that somebody asks for. Allocation: a set gives each segment a
+level, 0 (not asked), 1 (its subset is looked up among the subsets: finds partners that
+agree there) or 2 (its neighbourhood too: finds partners that differ by one shingle). The
+levels add up to t + 1 at least, so a partner that is found nowhere differs by t + 1
+shingles. Levels are chosen set by set at least cost: what a look-up would meet, by counts
+over all documents in a table of fixed size. A common passage therefore makes no
+candidates where rarer subsets or neighbourhoods suffice. m >= t + 1, so an allocation
+always exists.
+
+Plan: shingles are hashed once into a stored table (class, set); equal sets are one class
+and go on once from each task. Signatures move packed, one row for each map batch and
+target partition. A signature that very many sets have is dealt out by class over many
+partitions. Of the classes that share a signature the first that asks is verified against
+the others. While some lie in different components, another member of the largest
+component is verified against those outside it, for a few turns; then all pairs of which
+one asks and that still lie in different components are, in blocks of members. So no link
+between components is lost, and no group of near copies is expanded into all its pairs.
 
 Pairs are verified in two steps: on parity arrays (a bit for each hash, flipped; their
-difference in bits bounds that of the sets from below), then on the full sets.
-
-The number of segments leaves the expected count of non-empty subsets ten deviations
-above t + 1; a set that still has too few of them fails the run rather than lose links.
+difference in bits bounds that of the sets from below), then on the full sets of 64-bit
+shingle hashes.
 
 Defined results: a text of 1 to 4 words is one shingle; a null text or one without words
 has none, is linked with nothing and is its own component; repeated rows are equal sets;
-a null doc_id has its component's smallest doc_id, if any; an empty table gives an empty
-table; further columns are ignored. Copies of one text whose doc_id are all null take no
-part in links to other texts.
+a null doc_id takes part like any other and has its component's smallest doc_id, if any;
+an empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._graph import components
-from quillspark.llm._shared import partitions, schema_of, staged, table
+from quillspark.llm._shared import partitions, schema_of, staged, table, unused
 from quillspark.llm._words import hits, mix, shingle_sets, text_blocks, words_of
 
 SHINGLE = 5
-TINY = 6
-COST_BITS = 22
+CELL_BITS = 20
+SIG_BITS = 45
+#: Signatures that occur more often than this, and than 16 times the mean of a cell, are dealt out over several partitions.
+HOT = 4096
+#: Members of a signature that one task compares with as many others at most.
+BLOCK = 2048
 _ODD = np.uint64(0x9FB21C651E98DF25)
+_LOW = np.uint64((1 << SIG_BITS) - 1)
+_CELL = np.uint64((1 << CELL_BITS) - 1)
 
 
 def linked(common: np.ndarray | int, n1: np.ndarray | int, n2: np.ndarray | int):
@@ -61,28 +70,19 @@ def linked(common: np.ndarray | int, n1: np.ndarray | int, n2: np.ndarray | int)
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
-    """Band 0: up to TINY; 1: 7 to 15; then doublings."""
-    return np.where(n <= TINY, 0, np.maximum(1, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 2))
-
-
-def band_end(band: int) -> int:
-    """The first size beyond the band."""
-    return TINY + 1 if band == 0 else 1 << (band + 3)
+    """Band b holds the sizes from 2**b up to the next power of two."""
+    return np.frexp(np.maximum(n, 1))[1].astype(np.int64) - 1
 
 
 def segments(band: int) -> int:
-    """How many segments the universe is cut into: single hashes (2**32 segments) where
-    sets are small, and fewer for each shingle the larger they are."""
-    end = band_end(band)
-    for least, share in ((8192, 0.35), (2048, 0.4), (1024, 0.45), (512, 0.6), (256, 0.75)):
-        if end >= least:
-            return int(share * end)
-    return 1 << 32
+    """m: t + 1 of the largest pair in the band, and a quarter more to choose from."""
+    need = 2 * ((2 << band) - 1) // 7 + 1
+    return need + need // 4
 
 
 def allocation(n: np.ndarray, band: int) -> np.ndarray:
     """t + 1 for sets of n shingles and their largest possible partner in the band."""
-    return (n + np.minimum(band_end(band) - 1, n * 4 // 3)) // 7 + 1
+    return (n + np.minimum((2 << band) - 1, n * 4 // 3)) // 7 + 1
 
 
 def class_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -95,150 +95,218 @@ def class_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(1)).astype(np.int64)
 
 
-def band_signatures(h: np.ndarray, first: np.ndarray, docs: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, offsets) of the non-empty subsets of the given documents."""
-    n = np.diff(first)[docs]
-    at = np.repeat(first[docs] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    x = h[at]
-    doc = np.repeat(np.arange(len(docs)), n)
-    seg = ((x >> np.uint64(32)) * np.uint64(segments(band))) >> np.uint64(32)
-    new = np.ones(len(x), bool)
-    new[1:] = (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])
-    starts = np.flatnonzero(new)
-    total = np.add.reduceat(mix(x * _ODD), starts) if len(x) else np.zeros(0, np.uint64)
-    sig = mix(total ^ np.uint64((band + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
-    return sig, np.searchsorted(doc[starts], np.arange(len(docs) + 1))
-
-
-def tiny_signatures(h: np.ndarray, first: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each whole set and its one-deletion neighbourhood."""
-    out, ends = [], [0]
-    for d in docs:
-        x = mix(h[first[d] : first[d + 1]] * _ODD)
-        total = x.sum(dtype=np.uint64)
-        out.append(mix(np.append(total - x, total) ^ _ODD) if len(x) > 1 else mix(np.array([total], np.uint64) ^ _ODD))
-        ends.append(ends[-1] + len(out[-1]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(ends)
-
-
-def memberships(h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-    """(documents, band, signatures, offsets) for every band that documents belong to."""
+def parity(h: np.ndarray) -> bytes:
+    """A bit array in which each hash flips one bit; at least four bits for each hash, a
+    power of two. Two sets differ in no fewer hashes than their arrays differ in bits."""
+    bits = max(64, 1 << int(4 * len(h) - 1).bit_length())
+    flips = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(x: np.ndarray, size: int) -> np.ndarray:
+    """A parity array of fewer bytes, as the same hashes would give."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+
+def set_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles and class (0 for an empty set) of every
+    row; parity array and set of the first row of each class in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = {0}
+        for batch in batches:
+            for a, b, data, offsets in text_blocks(batch.column(1)):
+                h, first = shingle_sets(words_of(data, offsets, lower=True), SHINGLE)
+                cls, bits, sets = class_ids(h, first), [], []
+                for d, c in enumerate(cls.tolist()):
+                    own = None if c in seen else h[first[d] : first[d + 1]]
+                    seen.add(c)
+                    bits.append(None if own is None else parity(own))
+                    sets.append(None if own is None else own.tobytes())
+                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(first)), pa.array(cls), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles", "class", "parity", "set"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, f"{schema_of(docs, 'doc_id')}, key long, n_shingles long, class long, parity binary, set binary")
+
+
+def set_blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hashes, offsets) of blocks of stored sets."""
+    for a, b, data, offsets in text_blocks(column, 8 * limit):
+        yield a, b, data.view(np.uint64), offsets // 8
+
+
+@dataclass
+class Costs:
+    """How often the signatures of each of 2**CELL_BITS cells occur, in half doublings, and
+    the mean: a table of one megabyte at any size of the corpus. It serves to choose among
+    allocations and to deal out, never to leave something out."""
+
+    doublings: np.ndarray
+    mean: float
+    hot: int = HOT
+
+    def count(self, sig: np.ndarray) -> np.ndarray:
+        return np.exp2(np.arange(256, dtype=np.float32) / 2)[self.doublings[(sig & _CELL).astype(np.int64)]]
+
+    def meets(self, sig: np.ndarray) -> np.ndarray:
+        """How many others a look-up meets. The noise of a cell's other signatures, up to twice the mean, weighs nothing."""
+        return np.maximum(self.count(sig) - np.float32(2 * self.mean), 0)
+
+    def shares(self, sig: np.ndarray) -> np.ndarray:
+        """Over how many partitions a signature is dealt out."""
+        limit = max(self.hot, 16 * self.mean)
+        return np.maximum(1, np.ceil(self.count(sig) / limit)).astype(np.int64)
+
+
+class Members:
+    """The sets of a block that belong to one band, cut into segments: S has the signature
+    of each subset (row after row, `m` of each set), D those of the neighbourhoods."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, docs: np.ndarray, band: int) -> None:
+        self.docs, self.m = docs, segments(band)
+        self.n = np.diff(first)[docs]
+        at = np.repeat(first[docs] - np.concatenate([[0], np.cumsum(self.n)[:-1]]), self.n) + np.arange(self.n.sum())
+        x = h[at]
+        seg = (((x >> np.uint64(32)) * np.uint64(self.m)) >> np.uint64(32)).astype(np.int64)
+        self.of = np.repeat(np.arange(len(docs)) * self.m, self.n) + seg
+        value = mix(x * _ODD)
+        starts = np.flatnonzero(np.append(True, self.of[1:] != self.of[:-1]))
+        total = np.zeros(len(docs) * self.m, np.uint64)
+        total[self.of[starts]] = np.add.reduceat(value, starts)
+        salt = mix(np.arange(self.m, dtype=np.uint64) + np.uint64((band + 1) << 32))
+        self.S = mix(total ^ np.tile(salt, len(docs)))
+        self._rest = (total, value, salt, seg)
+        self.size = np.zeros(len(total), np.int64)
+        self.size[self.of[starts]] = np.diff(np.append(starts, len(x)))
+        self.need = allocation(self.n, band)
+
+    @cached_property
+    def D(self) -> np.ndarray:
+        total, value, salt, seg = self._rest
+        return mix((total[self.of] - value) ^ salt[seg])
+
+    def levels(self, costs: Costs) -> np.ndarray:
+        """0, 1 or 2 for each segment of each set; they add up to `need`. The second step of a
+        segment counts as no cheaper than its first, so the cheapest steps can be taken
+        one by one."""
+        jitter = (self.S & np.uint64(0xFFFFF)).astype(np.float32) * np.float32(1e-8)
+        one = costs.meets(self.S) + 1.0 / (1 + self.size) + jitter
+        two = 1.0 + np.bincount(self.of, costs.meets(self.D) + 1.0 / self.size[self.of], len(one)) + jitter
+        two = np.maximum(np.where(self.size > 0, two, 4 * one + 1), one).reshape(-1, self.m)
+        one = one.reshape(-1, self.m)
+        last = np.take_along_axis(np.sort(one, axis=1), self.need[:, None] - 1, axis=1)
+        out = (one <= last).astype(np.int64)
+        for d in np.flatnonzero((two < last).any(axis=1)):  # sets for which a neighbourhood is worth it
+            steps = np.argsort(np.concatenate([one[d], two[d]]), kind="stable")[: self.need[d]]
+            out[d] = np.bincount(steps % self.m, minlength=self.m)
+        return out.ravel()
+
+
+def memberships(h: np.ndarray, first: np.ndarray) -> Iterator[Members]:
     n = np.diff(first)
     own = band_of(n)
     for band in np.unique(np.concatenate([own[n > 0], own[n > 0] + 1])).tolist():
-        end_before = band_end(band - 1) if band else 0
-        docs = np.flatnonzero((n > 0) & ((own == band) | ((own == band - 1) & (n * 4 // 3 >= end_before))))
+        docs = np.flatnonzero((n > 0) & ((own == band) | ((own == band - 1) & (n * 4 // 3 >= 1 << band))))
         if len(docs):
-            yield docs, band, *(tiny_signatures(h, first, docs) if band == 0 else band_signatures(h, first, docs, band))
+            yield Members(h, first, docs, band)
 
 
-def sets_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for a, b, data, offsets in text_blocks(column):
-        yield a, b, *shingle_sets(words_of(data, offsets, lower=True), SHINGLE)
+def _sliced(sets: DataFrame, zero: np.ndarray, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], merge: np.ufunc) -> np.ndarray:
+    """A table of fixed size over all sets: every task fills one, slices of it are merged
+    in as many tasks, and the driver puts the slices together."""
+    slices, kind = 16, zero.dtype
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = zero.copy()
+        for batch in batches:
+            for _, _, h, first in set_blocks(batch.column(0)):
+                add(total, h, first)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices)), pa.array([x.tobytes() for x in np.split(total, slices)])], names=["slice", "found"])
 
-def costs(docs: DataFrame) -> np.ndarray:
-    """How often signatures of each of 2**COST_BITS hash cells occur, over all documents
-    (a task counts a cell to 255 at most), in half doublings over the mean; a table of
-    fixed size that serves only to order signatures."""
-    cells, step = 1 << COST_BITS, 1 << 16
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), kind)
+                held[i] = merge(x, held[i]) if i in held else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "found"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(cells, np.uint8), []
+    rows = sets.mapInArrow(fill, "slice long, found binary").repartition(slices, "slice").mapInArrow(join, "slice long, found binary").toArrow()
+    out = np.split(zero.copy(), slices)
+    for i, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[i] = np.frombuffer(x, kind)
+    return np.concatenate(out)
 
-        def flush() -> None:
-            more = np.bincount(np.concatenate(held), minlength=cells)
-            more += total
-            np.minimum(more, 255, out=more)
-            total[:] = more
-            held.clear()
 
-        for batch in batches:
-            for _, _, h, first in sets_of(batch.column(0)):
-                for _, _, sig, _ in memberships(h, first):
-                    held.append((sig >> np.uint64(64 - COST_BITS)).astype(np.int32))
-                    if sum(map(len, held)) > cells >> 2:
-                        flush()
-        if held:
-            flush()
-        yield pa.RecordBatch.from_arrays([pa.array(range(cells // step)), pa.array([total[i : i + step].tobytes() for i in range(0, cells, step)])], names=["cell", "counts"])
+def costs(sets: DataFrame, hot: int = HOT) -> Costs:
+    cells = 1 << CELL_BITS
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[cell] = total.get(cell, 0) + np.frombuffer(counts, np.uint8).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["cell", "counts"])
-
-    rows = docs.select("text").mapInArrow(count, "cell long, counts binary").repartition(partitions(docs.sparkSession), "cell").mapInArrow(add, "cell long, counts binary")
-    counts: dict[int, np.ndarray] = {}
-    for batch in rows.toArrow().to_batches():
-        for cell, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts[cell] = np.frombuffer(c.as_buffer(), np.uint32)
-    mean = max(sum(int(c.sum(dtype=np.int64)) for c in counts.values()) / cells, 1.0)
-    out = np.zeros(cells, np.uint8)
-    for cell, c in counts.items():
-        # the noise of other signatures in a cell, up to the mean, weighs nothing
-        out[cell * step : (cell + 1) * step] = np.clip(np.log2(np.maximum(c / mean, 1)) * 2, 0, 63)
-    return out
-
-
-def allocate(h: np.ndarray, first: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, signature) rows: every document's allocated signatures."""
-    docs_out, sigs_out = [], []
-    n = np.diff(first)
-    for docs, band, sig, offsets in memberships(h, first):
-        if band == 0:
-            docs_out.append(np.repeat(docs, np.diff(offsets)))
-            sigs_out.append(sig)
-            continue
-        need = allocation(n[docs], band)
-        if (np.diff(offsets) < need).any():
-            raise RuntimeError(f"a set of band {band} has fewer non-empty segments than its allocation")
-        key = (order[(sig >> np.uint64(64 - COST_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(sig) >> np.uint64(6))
-        chosen = np.zeros(len(sig), bool)
-        for i in range(len(docs)):
-            part = key[offsets[i] : offsets[i + 1]]
-            k = need[i] - 1
-            chosen[offsets[i] : offsets[i + 1]] = part <= np.partition(part, k)[k]
-        docs_out.append(np.repeat(docs, np.diff(offsets))[chosen])
-        sigs_out.append(sig[chosen])
-    if not docs_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs_out), np.concatenate(sigs_out)
-
-
-def packed_signatures(docs: DataFrame, order: np.ndarray, parts: int) -> DataFrame:
-    """(part, low, high, class, n, times): signatures of one part in the order of their
-    classes, 40 bits of each; class and n repeat as often as times says."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    def add(total: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
+        for part in memberships(h, first):
+            np.add.at(total, (part.S & _CELL).astype(np.int64), np.uint32(1))
+
+    counts = _sliced(sets, np.zeros(cells, np.uint32), add, np.add)
+    mean = max(1.0, counts.sum(dtype=np.int64) / cells)
+    return Costs(np.ceil(np.log2(np.maximum(counts, 1)) * 2).astype(np.uint8), mean, hot)
+
+
+def wanted_neighbours(sets: DataFrame, shared: Broadcast) -> np.ndarray:
+    """A bit for each cell of 2**(CELL_BITS + 3), set if a subset in it is looked up among
+    neighbourhoods: only those in such cells have to be indexed."""
+
+    def add(total: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
+        for part in memberships(h, first):
+            cell = part.S[part.levels(shared.value) == 2] >> np.uint64(61 - CELL_BITS)
+            np.bitwise_or.at(total, (cell >> np.uint64(3)).astype(np.int64), np.left_shift(1, (cell & np.uint64(7))).astype(np.uint8))
+
+    return _sliced(sets, np.zeros(1 << CELL_BITS, np.uint8), add, np.bitwise_or)
+
+
+def entries(h: np.ndarray, first: np.ndarray, costs: Costs, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, signatures, flags): the index and the look-ups of the sets of a block.
+    Flags: the level of the segment, and 4 for a neighbourhood."""
+    for part in memberships(h, first):
+        level = part.levels(costs).astype(np.uint64)
+        yield np.repeat(part.docs, part.m), part.S, level
+        cell = part.D >> np.uint64(61 - CELL_BITS)
+        own = level[part.of]
+        some = (own == 2) | ((wanted[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        if some.any():
+            yield part.docs[part.of[some] // part.m], part.D[some], own[some] | np.uint64(4)
+
+
+def packed_entries(sets: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
+    """(part, low, high, class, n, times): entries of one part in the order of their
+    classes, SIG_BITS of each signature and the flags; class and n repeat as often as
+    times says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        known, wanted = shared.value
 
         def flush() -> pa.RecordBatch:
-            cls, n, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = ((sig >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            cls, n, sig = cls[by], n[by], sig[by]
-            ends = np.searchsorted(part[by], np.arange(parts + 1))
+            cls, n, sig, flag = (np.concatenate(x) for x in zip(*held, strict=True))
+            salt = np.mod(cls, known.shares(sig)).astype(np.uint64)
+            part = (((sig >> np.uint64(SIG_BITS)) + salt) % np.uint64(parts)).astype(np.uint32 if parts >> 16 else np.uint16)
+            word = ((sig & _LOW) << np.uint64(3)) | flag
+            by = np.lexsort((cls, part))
+            cls, n, word, part = cls[by], n[by], word[by], part[by]
+            ends = np.searchsorted(part, np.arange(parts + 1))
             out = []
             for p in range(parts):
                 a, b = ends[p], ends[p + 1]
                 if a < b:
                     new = np.flatnonzero(np.append(True, cls[a + 1 : b] != cls[a : b - 1]))
-                    out.append((p, sig[a:b].astype(np.uint32).tobytes(), (sig[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), cls[a:b][new].tobytes(), n[a:b][new].astype(np.int32).tobytes(), np.diff(np.append(new, b - a)).astype(np.int32).tobytes()))
+                    out.append((p, word[a:b].astype(np.uint32).tobytes(), (word[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), cls[a:b][new].tobytes(), n[a:b][new].astype(np.int32).tobytes(), np.diff(np.append(new, b - a)).astype(np.uint16 if b - a < 1 << 16 else np.int32).tobytes()))
             names = ["part", "low", "high", "class", "n", "times"]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
         for batch in batches:
-            for _, _, h, first in sets_of(batch.column(0)):
-                doc, sig = allocate(h, first, shared.value)
-                if len(sig):
-                    by = np.argsort(doc, kind="stable")
-                    doc = doc[by]
-                    held.append((class_ids(h, first)[doc], np.diff(first)[doc], sig[by]))
+            cls = batch.column(1).to_numpy()
+            for a, _, h, first in set_blocks(batch.column(0)):
+                for doc, sig, flag in entries(h, first, known, wanted):
+                    held.append((cls[a + doc], np.diff(first)[doc].astype(np.int32), sig, flag))
                     size += len(sig)
                 if size >= 1 << 21:
                     yield flush()
@@ -246,78 +314,99 @@ def packed_signatures(docs: DataFrame, order: np.ndarray, parts: int) -> DataFra
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part long, low binary, high binary, class binary, n binary, times binary")
+    return sets.mapInArrow(run, "part long, low binary, high binary, class binary, n binary, times binary")
 
 
-def candidates(packed: DataFrame, parts: int) -> DataFrame:
-    """(bucket, a, b, na, nb): candidate pairs (bucket null), and for every signature of
-    three classes and more its members (b null)."""
+def candidates(packed: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
+    """(bucket, a, b, na, nb, asks): candidate pairs (bucket null), and the members of every
+    signature that more than two classes have, or that was dealt out (b null). asks: 1
+    for members that look the signature up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list] = {}
+        known = shared.value[0]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 groups.setdefault(row[0], []).append(row[1:])
-        for part, rows in groups.items():
-            sig = np.concatenate([np.frombuffer(r[0], np.uint32).astype(np.uint64) | (np.frombuffer(r[1], np.uint8).astype(np.uint64) << np.uint64(32)) for r in rows])
-            times = [np.frombuffer(r[4], np.int32) for r in rows]
+        while groups:
+            part, rows = groups.popitem()
+            word = np.concatenate([np.frombuffer(r[0], np.uint32).astype(np.uint64) | (np.frombuffer(r[1], np.uint16).astype(np.uint64) << np.uint64(32)) for r in rows])
+            sizes = [len(r[0]) // 4 for r in rows]
+            times = [np.frombuffer(r[4], np.uint16 if size < 1 << 16 else np.int32) for r, size in zip(rows, sizes, strict=True)]
             cls = np.concatenate([np.repeat(np.frombuffer(r[2], np.int64), t) for r, t in zip(rows, times, strict=True)])
-            n = np.concatenate([np.repeat(np.frombuffer(r[3], np.int32), t) for r, t in zip(rows, times, strict=True)]).astype(np.int64)
-            by = np.lexsort((cls, sig))
-            sig, cls, n = sig[by], cls[by], n[by]
-            keep = np.append(True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]))
-            sig, cls, n = sig[keep], cls[keep], n[keep]
-            starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            sizes = np.diff(np.append(starts, len(sig)))
-            shared = np.repeat(sizes, sizes) > 1
-            sig, cls, n = sig[shared], cls[shared], n[shared]
-            sizes = sizes[sizes > 1]
-            starts = np.cumsum(sizes) - sizes
-            centre = np.repeat(starts, sizes)
-            j = np.flatnonzero(centre < np.arange(len(sig)))
+            n = np.concatenate([np.repeat(np.frombuffer(r[3], np.int32), t) for r, t in zip(rows, times, strict=True)])
+            del rows, times
+            by = np.argsort(word)
+            sig = word[by] >> np.uint64(3)
+            hot = known.shares(sig) > 1
+            again = sig[1:] == sig[:-1]
+            some = np.append(False, again) | np.append(again, False) | hot
+            by, sig, hot = by[some], sig[some], hot[some]
+            cls, n, flag = cls[by], n[by].astype(np.int64), (word[by] & np.uint64(7)).astype(np.int64)
+            del word
+
+            def groups_of(sig: np.ndarray) -> np.ndarray:
+                new = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
+                return np.cumsum(new) - 1
+
+            # neighbourhoods count where some subset is looked up among them, or they look up subsets
+            group = groups_of(sig)
+            deep = np.bincount(group, (flag & 3) == 2) > 0 if len(group) else np.zeros(0, bool)
+            keep = (flag < 4) | deep[group] | hot
+            sig, cls, n, flag, hot = sig[keep], cls[keep], n[keep], flag[keep], hot[keep]
+            asks = (flag & 3) > 0
+            by = np.lexsort((cls, ~asks, sig))
+            sig, cls, n, asks, hot = sig[by], cls[by], n[by], asks[by], hot[by]
+            once = np.append(True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])) if len(sig) else np.zeros(0, bool)
+            sig, cls, n, asks, hot = sig[once], cls[once], n[once], asks[once], hot[once]
+            group = groups_of(sig)
+            sizes = np.bincount(group)
+            first = np.cumsum(sizes) - sizes
+            good = (((sizes > 1) & asks[first])[group] | hot) if len(group) else np.zeros(0, bool)
+            centre = first[group]
+            j = np.flatnonzero(good & asks[centre] & (centre < np.arange(len(sig))))
             i = centre[j]
             near = (n[i] * 4 >= n[j] * 3) & (n[j] * 4 >= n[i] * 3)
             i, j = i[near], j[near]
+            names = ["bucket", "a", "b", "na", "nb", "asks"]
+            swap = cls[i] > cls[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
             pairs = np.unique(np.stack([cls[i], cls[j], n[i], n[j]]), axis=1) if len(i) else np.zeros((4, 0), np.int64)
-            many = np.repeat(sizes, sizes) > 2
             none = pa.nulls(pairs.shape[1], pa.int64())
-            names = ["bucket", "a", "b", "na", "nb"]
-            yield pa.RecordBatch.from_arrays([none, *(pa.array(x) for x in pairs)], names=names)
-            m = int(many.sum())
-            bucket = (sig[many] * np.uint64(parts) + np.uint64(part)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cls[many]), pa.nulls(m, pa.int64()), pa.array(n[many]), pa.nulls(m, pa.int64())], names=names)
-
-    return packed.repartitionById(parts, F.col("part").cast("int")).mapInArrow(run, "bucket long, a long, b long, na long, nb long")
-
-
-def parity(h: np.ndarray) -> bytes:
-    """A bit array in which each hash flips one bit; at least four bits for each hash, a
-    power of two. Two sets differ in no fewer hashes than their arrays differ in bits."""
-    bits = max(64, 1 << int(4 * len(h) - 1).bit_length())
-    flips = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
-
-
-def fold(x: np.ndarray, size: int) -> np.ndarray:
-    """A parity array of fewer bytes, as the same hashes would give."""
-    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
-
-
-def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (0 for an empty set) and parity array of every row."""
+            yield pa.RecordBatch.from_arrays([none, *(pa.array(x) for x in pairs), none], names=names)
+            many = good & ((sizes > 2)[group] | hot)
+            bucket = np.where(hot[many], -1 - sig[many].astype(np.int64), sig[many].astype(np.int64) * parts + part)
+            none = pa.nulls(len(bucket), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cls[many]), none, pa.array(n[many]), none, pa.array(asks[many].astype(np.int64))], names=names)
+
+    return packed.repartitionById(parts, F.col("part").cast("int")).mapInArrow(run, "bucket long, a long, b long, na long, nb long, asks long")
+
+
+def thin_sets(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """(class, n, parity, set) once for each class that found names. sets is first thinned by
+    a bitmap of 2**21 hash cells, of which the driver sees 64 rows, so that few other
+    sets are shuffled."""
+    bits = 21
+    wanted = found.select(F.col("a").alias("class")).unionByName(found.where("b is not null").select(F.col("b").alias("class")))
+    cell = F.col("class").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = wanted.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+    known = np.zeros(((1 << bits) // 32768 + 2, 4096), np.uint8)
+    for r in rows.collect():
+        known[r["at"]] = np.frombuffer(r["bits"], np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
-            for a, b, h, first in sets_of(batch.column(1)):
-                n[a:b], cls[a:b] = np.diff(first), class_ids(h, first)
-                bits += [parity(h[first[d] : first[d + 1]]) for d in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "class", "parity"])
+            c = batch.column(0).to_numpy() & ((1 << bits) - 1)
+            # bucket k holds the cells from (k - 1) * 32768 + 1 on; cell 0 is in bucket 0
+            at, place = np.where(c > 0, 1 + (c - 1) // 32768, 0), np.where(c > 0, (c - 1) % 32768, 0)
+            yield batch.filter(pa.array(((known[at, place >> 3] >> (place & 7)) & 1).astype(bool)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{schema_of(docs, 'doc_id')}, n_shingles long, class long, parity binary")
+    near = sets.select("class", "n_shingles", "parity", "set").mapInArrow(run, "class long, n_shingles long, parity binary, set binary")
+    near = near.join(wanted.distinct(), "class", "left_semi").dropDuplicates(["class"])
+    return staged(near.withColumnRenamed("n_shingles", "n"), "thin")
 
 
-def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def screened(pairs: DataFrame, thin: DataFrame) -> DataFrame:
     """The pairs (a, b) that their parity arrays don't rule out: no link is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,30 +419,12 @@ def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 good.append(int(np.bitwise_count(x ^ y).sum()) <= (n1 + n2) // 7)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    one = reps.select("class", "parity", "n")
+    one = thin.select("class", "parity", "n").hint("merge")
     left = pairs.select("a", "b").join(one.toDF("a", "x", "n1"), "a")
     return left.join(one.toDF("b", "y", "n2"), "b").select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a long, b long")
 
 
-def sets_for(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """(class, set) of the given classes, from one document of each. The documents are
-    first thinned by which of 2**18 hash cells hold a wanted id, a broadcast of that many rows
-    at most, so that few other texts are shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, h, first in sets_of(batch.column(0)):
-                rows = [h[first[d] : first[d + 1]].tobytes() for d in range(len(first) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(h, first)), pa.array(rows, pa.binary())], names=["class", "set"])
-
-    wanted = staged(classes.join(reps, "class").select("doc_id"), "wanted")
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
-    cells = wanted.select(cell.alias("__cell")).distinct()
-    near = docs.select("doc_id", "text").withColumn("__cell", cell).join(F.broadcast(cells), "__cell", "left_semi")
-    return near.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(run, "class long, set binary")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, thin: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,28 +435,26 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                 good.append(bool(linked(int(hits(x, y).sum()), len(x), len(y))))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    close = staged(screened(pairs, reps), "close")
-    if close.isEmpty():
-        return close
-    classes = close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class"))).distinct()
-    sets = staged(sets_for(docs, classes, reps), "sets")
-    left = close.join(sets.toDF("a", "x"), "a")
-    return staged(left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
+    close = staged(screened(pairs, thin), "close")
+    one = thin.select("class", "set").hint("merge")
+    left = close.join(one.toDF("a", "x"), "a")
+    return staged(left.join(one.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
-    """members with one bucket of those that have the same members, as a passage or a
-    group of near copies gives many of."""
-    content = members.groupBy("bucket").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y"))
-    one = content.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return staged(members.join(one, "bucket"), "members")
+    """members (bucket, node, n, asks) with one bucket of those that have the same members,
+    as a passage or a group of near copies gives many of. A member of it asks if it does
+    in any of them."""
+    content = members.groupBy("bucket").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y")).where("size > 1")
+    one = content.select("bucket", F.xxhash64("size", "x", "y").alias("same"))
+    return staged(members.join(one.hint("merge"), "bucket").groupBy(F.col("same").alias("bucket"), "node").agg(F.max("n").alias("n"), F.max("asks").alias("asks")), "members")
 
 
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, n, root) of buckets whose members lie in several components."""
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return staged(placed.join(mixed, "bucket"), "open")
+    """(bucket, node, n, asks, root) of buckets whose members lie in several components."""
+    placed = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("asks").alias("some")).where("lo <> hi and some = 1").select("bucket")
+    return staged(placed.join(mixed.hint("merge"), "bucket").select("bucket", "node", "n", "asks", "root"), "open")
 
 
 def next_pairs(placed: DataFrame, turn: int) -> DataFrame:
@@ -393,34 +462,36 @@ def next_pairs(placed: DataFrame, turn: int) -> DataFrame:
     pick = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn)))
     comps = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), pick.alias("pick"))
     big = comps.groupBy("bucket").agg(F.max_by(F.struct("root", "pick"), F.struct("size", "root")).alias("big"))
-    both = placed.join(big, "bucket").where("root <> big.root and n * 4 >= big.pick.n * 3 and big.pick.n * 4 >= n * 3")
+    both = placed.join(big.hint("merge"), "bucket").where("root <> big.root and n * 4 >= big.pick.n * 3 and big.pick.n * 4 >= n * 3")
     return both.select(F.least("node", "big.pick.node").alias("a"), F.greatest("node", "big.pick.node").alias("b")).distinct()
 
 
-def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """The slices of each bucket (column 0), one bucket after the other, from batches that
-    are sorted by it."""
+def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first three columns, one after the other, from batches
+    that are sorted by them."""
     now, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        bucket = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and bucket[s] != now:
-                yield held
+            this = tuple(key[:, s].tolist())
+            if held and this != now:
+                yield pa.Table.from_batches(held)
                 held = []
-            now = bucket[s]
+            now = this
             held.append(batch.slice(s, e - s))
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
 
 
-def cross_pairs(placed: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs of members of a bucket in different components that their parity arrays
-    don't rule out. A bucket's members are compared where they lie, one against all, and
-    only what passes is put out. A task holds one bucket at a time and a bounded number of
-    pairs, among which repeated ones go."""
+def cross_pairs(placed: DataFrame, thin: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pairs of members of a bucket in different components, one of which asks, that
+    their parity arrays don't rule out. Members are dealt into blocks of about `block`, and
+    each two blocks of a bucket are compared in a task of their own, one member against all;
+    only what passes is put out. A task holds two blocks at a time and a bounded number
+    of pairs, among which repeated ones go."""
     most = 1 << 20
 
     def distinct(pairs: list[np.ndarray]) -> np.ndarray:
@@ -428,27 +499,26 @@ def cross_pairs(placed: DataFrame, reps: DataFrame) -> DataFrame:
         both = both[:, np.lexsort(both)]
         return both[:, np.append(True, (both[:, 1:] != both[:, :-1]).any(axis=0))] if both.shape[1] else both
 
-    def within(parts: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        node, n, root = (np.concatenate([x.column(c).to_numpy() for x in parts]) for c in (1, 2, 3))
-        by = np.argsort(root, kind="stable")
-        node, n, root = node[by], n[by], root[by]
-        arrays = [x for part in parts for x in part.column(4)]
-        own = [np.frombuffer(arrays[k].as_buffer(), np.uint8) for k in by]
-        size = min(map(len, own))
-        bits = np.stack([fold(x, size) for x in own]).view(np.uint64)
-        after = np.searchsorted(root, root, "right")  # the first of a later component
-        for i, k in enumerate(after.tolist()):
-            if k == len(node):
-                break
-            good = np.bitwise_count(bits[k:] ^ bits[i]).sum(axis=1) <= (n[k:] + n[i]) // 7
-            good &= (n[k:] * 4 >= n[i] * 3) & (n[i] * 4 >= n[k:] * 3)
-            others = node[k:][good]
-            yield np.stack([np.minimum(others, node[i]), np.maximum(others, node[i])])
+    def within(rows: pa.Table) -> Iterator[np.ndarray]:
+        own, node, n, asks, root = (rows.column(c).to_numpy() for c in ("own", "node", "n", "asks", "root"))
+        low, high = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        arrays = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("parity")]
+        size = min(map(len, arrays))
+        bits = np.stack([fold(x, size) for x in arrays]).view(np.uint64)
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        for i in left.tolist():
+            good = (root[right] != root[i]) & ((asks[right] | asks[i]) > 0) & (n[right] * 4 >= n[i] * 3) & (n[i] * 4 >= n[right] * 3)
+            if low == high:
+                good &= right > i
+            others = right[good]
+            if len(others):
+                others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= (n[others] + n[i]) // 7]
+                yield np.stack([np.minimum(node[others], node[i]), np.maximum(node[others], node[i])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, fresh, size = np.zeros((2, 0), np.int64), [], 0
-        for parts in bucket_runs(batches):
-            for pairs in within(parts):
+        for rows in block_runs(batches):
+            for pairs in within(rows):
                 fresh.append(pairs)
                 size += pairs.shape[1] + 1
                 if size >= most:
@@ -458,51 +528,82 @@ def cross_pairs(placed: DataFrame, reps: DataFrame) -> DataFrame:
                         kept = kept[:, :0]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in distinct([kept, *fresh])], names=["a", "b"])
 
-    rows = placed.join(reps.select(F.col("class").alias("node"), "parity"), "node").select("bucket", "node", "n", "root", "parity")
-    return rows.repartition(partitions(placed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
-
-
-def jaccard_join(docs: DataFrame, turns: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs. turns: rounds of one
-    member against all others, before all pairs that are still open."""
-    parts = partitions(docs.sparkSession)
-    classes = staged(class_table(docs), "classes")
-    kept = classes.where("doc_id is not null and class <> 0")
-    reps = staged(kept.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity")), "classes")
-    found = staged(candidates(packed_signatures(docs, costs(docs), parts), parts), "candidates")
-    members = distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n")))
-    tried = staged(found.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = verified(tried, docs, reps)
-    roots = staged(components(links), "roots")
+    blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    rows = placed.join(blocks.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "asks", "root")
+    rows = rows.join(thin.select(F.col("class").alias("node"), "parity").hint("merge"), "node").select("bucket", "lo", "hi", "own", "node", "n", "asks", "root", "parity")
+    keys = ["bucket", "lo", "hi"]
+    return rows.repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def linked_classes(rows: DataFrame, turns: int = 2, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(node, root) of every class that links with another; rows: set_rows(), stored."""
+    spark = rows.sparkSession
+    parts = partitions(spark)
+    filled = rows.where("set is not null")
+    known = costs(filled.select("set"), hot)
+    shared = spark.sparkContext.broadcast(known)  # one megabyte
+    wanted = wanted_neighbours(filled.select("set"), shared)
+    shared.destroy()
+    shared = spark.sparkContext.broadcast((known, wanted))  # two megabytes
+    found = staged(candidates(packed_entries(filled.select("set", "class"), shared, parts), shared, parts), "candidates")
+    shared.destroy()
+    thin = thin_sets(filled, found)
+    members = distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"), "asks"))
+    tried = staged(found.where("bucket is null").select("a", "b").distinct(), "pairs")
+    links = verified(tried, thin)
+    roots = components(links)
     for turn in range(turns + 1):
         placed = open_members(members, roots)
         if placed.isEmpty():
             break
-        pairs = next_pairs(placed, turn) if turn < turns else cross_pairs(placed, reps)
-        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = verified(pairs, docs, reps)
+        pairs = next_pairs(placed, turn) if turn < turns else cross_pairs(placed, thin, block)
+        pairs = staged(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = verified(pairs, thin)
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
             stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = staged(components(stars.unionByName(more)), "roots")
+            roots = components(stars.unionByName(more))
+    return roots
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with root, the same for all of a component; null for empty sets."""
+    out = rows.drop("parity", "set").join(roots.select(F.col("node").alias("class"), "root").hint("merge"), "class", "left")
+    return out.withColumn("root", F.when(F.col("class") != 0, F.coalesce("root", "class")))
+
 
-    rooted = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    rooted = rooted.withColumn("root", F.when(F.col("class") != 0, F.coalesce("root", "class")))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+def jaccard_join(docs: DataFrame, turns: int = 2, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs. turns: rounds of one member
+    against all others, before all pairs that are still open."""
+    rows = staged(set_rows(docs), "sets")
+    placed = rooted(rows, linked_classes(rows, turns, hot, block))
+    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, of rows repeating it
-    one; rows that link with nothing and rows without doc_id all stay."""
-    joined = jaccard_join(docs)
-    gone = joined.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    again = joined.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """docs with one row of each component: one with its smallest doc_id (nulls last), of
+    several such rows one of those with the smallest hash of the text. A row goes only by
+    its own component, whatever other rows share its doc_id; rows that link with nothing
+    stay, equal texts of one doc_id once. Rows with empty sets all stay."""
+    rows = staged(set_rows(docs), "sets")
+    placed = rooted(rows, linked_classes(rows)).where("root is not null")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = placed.groupBy("root").agg(F.min(own).alias("best"), F.count("*").alias("n")).where("n > 1")
+    judged = placed.join(best, "root").select(own.alias("own"), "best")
+    names = {x: unused(docs, x) for x in ("id", "key", "row")}
+    gone = judged.where("own <> best").select(F.col("own.doc_id").alias(names["id"]), F.col("own.key").alias(names["key"])).distinct()
+    keyed = docs.withColumn(names["row"], F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(gone[names["id"]]) & (keyed[names["row"]] == gone[names["key"]])
+    kept = keyed.join(gone, same, "left_anti")
+    again = judged.where("own = best").groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select(F.col("own.doc_id").alias(names["id"]), F.col("own.key").alias(names["key"]))
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+        return kept.select(*docs.columns)
+    same = kept["doc_id"].eqNullSafe(again[names["id"]]) & (kept[names["row"]] == again[names["key"]])
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", names["row"]])
+    return kept.join(again, same, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
