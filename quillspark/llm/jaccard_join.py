@@ -18,8 +18,8 @@ over all documents in a table of fixed size. A common passage therefore makes no
 candidates where rarer subsets or neighbourhoods suffice. m >= t + 1, so an allocation
 always exists.
 
-Plan: shingles are hashed once into a stored table (class, set); equal sets are one class
-and go on once from each task. Signatures move packed, one row for each map batch and
+Plan: shingles are hashed once into a stored table (class, 48 bits of each hash: fewer bits
+find more candidates, never fewer); equal sets are one class and go on once from each task. Signatures move packed, one row for each map batch and
 target partition. A signature that very many sets have is dealt out by class over many
 partitions. Of the classes that share a signature the first that asks is verified against
 the others. While some lie in different components, another member of the largest
@@ -29,7 +29,7 @@ between components is lost, and no group of near copies is expanded into all its
 
 Pairs are verified in two steps: on parity arrays (a bit for each hash, flipped; their
 difference in bits bounds that of the sets from below), then on the full sets of 64-bit
-shingle hashes.
+shingle hashes, made again from the texts of the few that are left.
 
 Defined results: a text of 1 to 4 words is one shingle; a null text or one without words
 has none, is linked with nothing and is its own component; repeated rows are equal sets;
@@ -54,8 +54,8 @@ from quillspark.llm._shared import partitions, schema_of, staged, table, unused
 from quillspark.llm._words import hits, mix, shingle_sets, text_blocks, words_of
 
 SHINGLE = 5
-CELL_BITS = 20
-SIG_BITS = 45
+CELL_BITS = 22
+SIG_BITS = 37
 #: Signatures that occur more often than this, and than 16 times the mean of a cell, are dealt out over several partitions.
 HOT = 4096
 #: Members of a signature that one task compares with as many others at most.
@@ -108,21 +108,26 @@ def fold(x: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
 
 
+def sets_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for a, b, data, offsets in text_blocks(column):
+        yield a, b, *shingle_sets(words_of(data, offsets, lower=True), SHINGLE)
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles and class (0 for an empty set) of every
-    row; parity array and set of the first row of each class in a task."""
+    row; parity array and set (48 bits of each hash) of the first row of each class in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = {0}
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                h, first = shingle_sets(words_of(data, offsets, lower=True), SHINGLE)
+            for a, b, h, first in sets_of(batch.column(1)):
                 cls, bits, sets = class_ids(h, first), [], []
+                short = h.view(np.uint8).reshape(-1, 8)[:, 2:].copy()  # the upper 48 bits
                 for d, c in enumerate(cls.tolist()):
-                    own = None if c in seen else h[first[d] : first[d + 1]]
+                    new = c not in seen
                     seen.add(c)
-                    bits.append(None if own is None else parity(own))
-                    sets.append(None if own is None else own.tobytes())
+                    bits.append(parity(h[first[d] : first[d + 1]]) if new else None)
+                    sets.append(short[first[d] : first[d + 1]].tobytes() if new else None)
                 columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(first)), pa.array(cls), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles", "class", "parity", "set"])
 
@@ -131,26 +136,40 @@ def set_rows(docs: DataFrame) -> DataFrame:
 
 def set_blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, hashes, offsets) of blocks of stored sets."""
-    for a, b, data, offsets in text_blocks(column, 8 * limit):
-        yield a, b, data.view(np.uint64), offsets // 8
+    for a, b, data, offsets in text_blocks(column, 6 * limit):
+        wide = np.zeros((len(data) // 6, 8), np.uint8)
+        wide[:, 2:] = data.reshape(-1, 6)
+        yield a, b, wide.view(np.uint64).ravel(), offsets // 6
+
+
+#: Table values in eighths of a doubling: 0 for 0, then 1, 2, ... times 2**(1/8).
+_EIGHTHS = np.concatenate([[0], np.exp2(np.arange(255) / 8)])
+
+
+def eighths(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, by the largest table value that is no greater."""
+    return (np.searchsorted(_EIGHTHS, counts + 1e-6, "right") - 1).astype(np.uint8)
 
 
 @dataclass
 class Costs:
-    """How often the signatures of each of 2**CELL_BITS cells occur, in half doublings, and
-    the mean: a table of one megabyte at any size of the corpus. It serves to choose among
-    allocations and to deal out, never to leave something out."""
+    """How often the signatures of each of 2**CELL_BITS cells occur (in eighths of a
+    doubling), and the mean: a table of four megabytes at any size of the corpus. It
+    serves to choose among allocations and to deal out, never to leave something out."""
 
-    doublings: np.ndarray
+    table: np.ndarray
     mean: float
     hot: int = HOT
 
     def count(self, sig: np.ndarray) -> np.ndarray:
-        return np.exp2(np.arange(256, dtype=np.float32) / 2)[self.doublings[(sig & _CELL).astype(np.int64)]]
+        return _EIGHTHS.astype(np.float32)[self.table[(sig & _CELL).astype(np.int64)]]
 
     def meets(self, sig: np.ndarray) -> np.ndarray:
-        """How many others a look-up meets. The noise of a cell's other signatures, up to twice the mean, weighs nothing."""
-        return np.maximum(self.count(sig) - np.float32(2 * self.mean), 0)
+        """How many others a look-up meets. The noise of a cell's other signatures, up to
+        four deviations over the mean, weighs nothing."""
+        noise = np.float32(self.mean + 4 * self.mean**0.5)
+        count = self.count(sig)
+        return np.where(count > noise, count - np.float32(self.mean), 0)
 
     def shares(self, sig: np.ndarray) -> np.ndarray:
         """Over how many partitions a signature is dealt out."""
@@ -211,31 +230,32 @@ def memberships(h: np.ndarray, first: np.ndarray) -> Iterator[Members]:
             yield Members(h, first, docs, band)
 
 
-def _sliced(sets: DataFrame, zero: np.ndarray, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], merge: np.ufunc) -> np.ndarray:
-    """A table of fixed size over all sets: every task fills one, slices of it are merged
-    in as many tasks, and the driver puts the slices together."""
-    slices, kind = 16, zero.dtype
+def _sliced(sets: DataFrame, zero: np.ndarray, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], pack: Callable[[np.ndarray], np.ndarray], merge: Callable[[list[np.ndarray]], np.ndarray]) -> tuple[np.ndarray, int]:
+    """(a table of bytes of fixed size, sum of what it counts) over all sets: every task fills
+    a table and packs it to bytes, slices of them are merged in as many tasks, and the
+    driver puts the packed slices together."""
+    slices = 16
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = zero.copy()
         for batch in batches:
             for _, _, h, first in set_blocks(batch.column(0)):
                 add(total, h, first)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices)), pa.array([x.tobytes() for x in np.split(total, slices)])], names=["slice", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices)), pa.array([x.tobytes() for x in np.split(pack(total), slices)])], names=["slice", "found"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), kind)
-                held[i] = merge(x, held[i]) if i in held else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "found"])
+                held[i] = merge(held.get(i), np.frombuffer(x.as_buffer(), np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([int(x.sum()) for x in held.values()], pa.int64()), pa.array([pack(x).tobytes() for x in held.values()], pa.binary())], names=["slice", "total", "found"])
 
-    rows = sets.mapInArrow(fill, "slice long, found binary").repartition(slices, "slice").mapInArrow(join, "slice long, found binary").toArrow()
-    out = np.split(zero.copy(), slices)
-    for i, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        out[i] = np.frombuffer(x, kind)
-    return np.concatenate(out)
+    rows = sets.mapInArrow(fill, "slice long, found binary").repartition(slices, "slice").mapInArrow(join, "slice long, total long, found binary").collect()
+    out = np.zeros(len(zero), np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["found"], np.uint8)
+        out[r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
+    return out, sum(r["total"] for r in rows)
 
 
 def costs(sets: DataFrame, hot: int = HOT) -> Costs:
@@ -245,21 +265,33 @@ def costs(sets: DataFrame, hot: int = HOT) -> Costs:
         for part in memberships(h, first):
             np.add.at(total, (part.S & _CELL).astype(np.int64), np.uint32(1))
 
-    counts = _sliced(sets, np.zeros(cells, np.uint32), add, np.add)
-    mean = max(1.0, counts.sum(dtype=np.int64) / cells)
-    return Costs(np.ceil(np.log2(np.maximum(counts, 1)) * 2).astype(np.uint8), mean, hot)
+    def merge(held: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        x = _EIGHTHS[x]
+        return x if held is None else held + x
+
+    table, total = _sliced(sets, np.zeros(cells, np.uint32), add, eighths, merge)
+    return Costs(table, max(1.0, total / cells), hot)
 
 
 def wanted_neighbours(sets: DataFrame, shared: Broadcast) -> np.ndarray:
-    """A bit for each cell of 2**(CELL_BITS + 3), set if a subset in it is looked up among
+    """A bit for each cell of 2**(CELL_BITS + 1), set if a subset in it is looked up among
     neighbourhoods: only those in such cells have to be indexed."""
 
     def add(total: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
         for part in memberships(h, first):
-            cell = part.S[part.levels(shared.value) == 2] >> np.uint64(61 - CELL_BITS)
-            np.bitwise_or.at(total, (cell >> np.uint64(3)).astype(np.int64), np.left_shift(1, (cell & np.uint64(7))).astype(np.uint8))
+            byte, bit = _place(part.S[part.levels(shared.value) == 2])
+            np.bitwise_or.at(total, byte, bit)
+
+    def merge(held: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+        return x if held is None else held | x
 
-    return _sliced(sets, np.zeros(1 << CELL_BITS, np.uint8), add, np.bitwise_or)
+    return _sliced(sets, np.zeros(1 << (CELL_BITS - 2), np.uint8), add, lambda x: x, merge)[0]
+
+
+def _place(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit) of signatures in the table of wanted neighbours."""
+    cell = (sig >> np.uint64(63 - CELL_BITS)).astype(np.int64)
+    return cell >> 3, np.left_shift(1, cell & 7).astype(np.uint8)
 
 
 def entries(h: np.ndarray, first: np.ndarray, costs: Costs, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -268,9 +300,9 @@ def entries(h: np.ndarray, first: np.ndarray, costs: Costs, wanted: np.ndarray)
     for part in memberships(h, first):
         level = part.levels(costs).astype(np.uint64)
         yield np.repeat(part.docs, part.m), part.S, level
-        cell = part.D >> np.uint64(61 - CELL_BITS)
+        byte, bit = _place(part.D)
         own = level[part.of]
-        some = (own == 2) | ((wanted[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        some = (own == 2) | ((wanted[byte] & bit) > 0)
         if some.any():
             yield part.docs[part.of[some] // part.m], part.D[some], own[some] | np.uint64(4)
 
@@ -298,7 +330,7 @@ def packed_entries(sets: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
                 a, b = ends[p], ends[p + 1]
                 if a < b:
                     new = np.flatnonzero(np.append(True, cls[a + 1 : b] != cls[a : b - 1]))
-                    out.append((p, word[a:b].astype(np.uint32).tobytes(), (word[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), cls[a:b][new].tobytes(), n[a:b][new].astype(np.int32).tobytes(), np.diff(np.append(new, b - a)).astype(np.uint16 if b - a < 1 << 16 else np.int32).tobytes()))
+                    out.append((p, word[a:b].astype(np.uint32).tobytes(), (word[a:b] >> np.uint64(32)).astype(np.uint8).tobytes(), cls[a:b][new].tobytes(), n[a:b][new].astype(np.int32).tobytes(), np.diff(np.append(new, b - a)).astype(np.uint16 if b - a < 1 << 16 else np.int32).tobytes()))
             names = ["part", "low", "high", "class", "n", "times"]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
@@ -330,7 +362,7 @@ def candidates(packed: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
                 groups.setdefault(row[0], []).append(row[1:])
         while groups:
             part, rows = groups.popitem()
-            word = np.concatenate([np.frombuffer(r[0], np.uint32).astype(np.uint64) | (np.frombuffer(r[1], np.uint16).astype(np.uint64) << np.uint64(32)) for r in rows])
+            word = np.concatenate([np.frombuffer(r[0], np.uint32).astype(np.uint64) | (np.frombuffer(r[1], np.uint8).astype(np.uint64) << np.uint64(32)) for r in rows])
             sizes = [len(r[0]) // 4 for r in rows]
             times = [np.frombuffer(r[4], np.uint16 if size < 1 << 16 else np.int32) for r, size in zip(rows, sizes, strict=True)]
             cls = np.concatenate([np.repeat(np.frombuffer(r[2], np.int64), t) for r, t in zip(rows, times, strict=True)])
@@ -338,7 +370,7 @@ def candidates(packed: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
             del rows, times
             by = np.argsort(word)
             sig = word[by] >> np.uint64(3)
-            hot = known.shares(sig) > 1
+            hot = known.shares(sig) > 1  # cells are lower bits of what is left of a signature
             again = sig[1:] == sig[:-1]
             some = np.append(False, again) | np.append(again, False) | hot
             by, sig, hot = by[some], sig[some], hot[some]
@@ -382,31 +414,38 @@ def candidates(packed: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
     return packed.repartitionById(parts, F.col("part").cast("int")).mapInArrow(run, "bucket long, a long, b long, na long, nb long, asks long")
 
 
-def thin_sets(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """(class, n, parity, set) once for each class that found names. sets is first thinned by
-    a bitmap of 2**21 hash cells, of which the driver sees 64 rows, so that few other
-    sets are shuffled."""
-    bits = 21
-    wanted = found.select(F.col("a").alias("class")).unionByName(found.where("b is not null").select(F.col("b").alias("class")))
-    cell = F.col("class").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = wanted.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+def sets_for(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, set) of the given classes, from texts. The documents are first thinned by a
+    bitmap of 2**21 cells of the texts' hashes, of which the driver sees 65 rows, so that
+    few other texts are shuffled."""
+    bits, key = 21, F.col("key").bitwiseAND(F.lit((1 << 21) - 1))
+    wanted = staged(rows.where("set is not null").select("class", "key").join(classes.hint("merge"), "class").groupBy("class").agg(F.min("key").alias("key")), "wanted")
+    cells = wanted.select(key.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
     known = np.zeros(((1 << bits) // 32768 + 2, 4096), np.uint8)
-    for r in rows.collect():
+    for r in cells.collect():
         known[r["at"]] = np.frombuffer(r["bits"], np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column(0).to_numpy() & ((1 << bits) - 1)
+            c = batch.column(1).to_numpy() & ((1 << bits) - 1)
             # bucket k holds the cells from (k - 1) * 32768 + 1 on; cell 0 is in bucket 0
             at, place = np.where(c > 0, 1 + (c - 1) // 32768, 0), np.where(c > 0, (c - 1) % 32768, 0)
             yield batch.filter(pa.array(((known[at, place >> 3] >> (place & 7)) & 1).astype(bool)))
 
-    near = sets.select("class", "n_shingles", "parity", "set").mapInArrow(run, "class long, n_shingles long, parity binary, set binary")
-    near = near.join(wanted.distinct(), "class", "left_semi").dropDuplicates(["class"])
-    return staged(near.withColumnRenamed("n_shingles", "n"), "thin")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = {0}
+        for batch in batches:
+            for _, _, h, first in sets_of(batch.column(0)):
+                cls = class_ids(h, first).tolist()
+                new = [d for d, c in enumerate(cls) if c not in seen and not seen.add(c)]
+                yield pa.RecordBatch.from_arrays([pa.array([cls[d] for d in new], pa.int64()), pa.array([h[first[d] : first[d + 1]].tobytes() for d in new], pa.binary())], names=["class", "set"])
+
+    near = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(thin, "text string, key long")
+    sets = near.join(wanted.select("key").hint("merge"), "key", "left_semi").select("text").mapInArrow(run, "class long, set binary")
+    return staged(sets.dropDuplicates(["class"]), "sets")
 
 
-def screened(pairs: DataFrame, thin: DataFrame) -> DataFrame:
+def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) that their parity arrays don't rule out: no link is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,12 +458,12 @@ def screened(pairs: DataFrame, thin: DataFrame) -> DataFrame:
                 good.append(int(np.bitwise_count(x ^ y).sum()) <= (n1 + n2) // 7)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    one = thin.select("class", "parity", "n").hint("merge")
+    one = reps.select("class", "parity", "n").hint("merge")
     left = pairs.select("a", "b").join(one.toDF("a", "x", "n1"), "a")
     return left.join(one.toDF("b", "y", "n2"), "b").select("a", "b", "x", "y", "n1", "n2").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, thin: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,10 +474,13 @@ def verified(pairs: DataFrame, thin: DataFrame) -> DataFrame:
                 good.append(bool(linked(int(hits(x, y).sum()), len(x), len(y))))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    close = staged(screened(pairs, thin), "close")
-    one = thin.select("class", "set").hint("merge")
-    left = close.join(one.toDF("a", "x"), "a")
-    return staged(left.join(one.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    close = staged(screened(pairs, reps), "close")
+    if close.isEmpty():
+        return close
+    classes = close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class"))).distinct()
+    sets = sets_for(docs, classes, rows)
+    left = close.join(sets.toDF("a", "x").hint("merge"), "a")
+    return staged(left.join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
@@ -486,7 +528,7 @@ def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def cross_pairs(placed: DataFrame, thin: DataFrame, block: int = BLOCK) -> DataFrame:
+def cross_pairs(placed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
     """The pairs of members of a bucket in different components, one of which asks, that
     their parity arrays don't rule out. Members are dealt into blocks of about `block`, and
     each two blocks of a bucket are compared in a task of their own, one member against all;
@@ -532,35 +574,34 @@ def cross_pairs(placed: DataFrame, thin: DataFrame, block: int = BLOCK) -> DataF
     rows = placed.join(blocks.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "asks", "root")
-    rows = rows.join(thin.select(F.col("class").alias("node"), "parity").hint("merge"), "node").select("bucket", "lo", "hi", "own", "node", "n", "asks", "root", "parity")
+    rows = rows.join(reps.select(F.col("class").alias("node"), "parity").hint("merge"), "node").select("bucket", "lo", "hi", "own", "node", "n", "asks", "root", "parity")
     keys = ["bucket", "lo", "hi"]
     return rows.repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_classes(rows: DataFrame, turns: int = 2, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(node, root) of every class that links with another; rows: set_rows(), stored."""
+def linked_classes(docs: DataFrame, rows: DataFrame, turns: int = 1, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(node, root) of every class that links with another; rows: set_rows(docs), stored."""
     spark = rows.sparkSession
     parts = partitions(spark)
     filled = rows.where("set is not null")
     known = costs(filled.select("set"), hot)
-    shared = spark.sparkContext.broadcast(known)  # one megabyte
+    shared = spark.sparkContext.broadcast(known)  # four megabytes
     wanted = wanted_neighbours(filled.select("set"), shared)
     shared.destroy()
-    shared = spark.sparkContext.broadcast((known, wanted))  # two megabytes
+    shared = spark.sparkContext.broadcast((known, wanted))  # five megabytes
     found = staged(candidates(packed_entries(filled.select("set", "class"), shared, parts), shared, parts), "candidates")
     shared.destroy()
-    thin = thin_sets(filled, found)
+    reps = staged(filled.groupBy("class").agg(F.max("n_shingles").alias("n"), F.max("parity").alias("parity")), "classes")
     members = distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"), "asks"))
     tried = staged(found.where("bucket is null").select("a", "b").distinct(), "pairs")
-    links = verified(tried, thin)
-    roots = components(links)
+    roots = components(verified(tried, docs, rows, reps))
     for turn in range(turns + 1):
         placed = open_members(members, roots)
         if placed.isEmpty():
             break
-        pairs = next_pairs(placed, turn) if turn < turns else cross_pairs(placed, thin, block)
+        pairs = next_pairs(placed, turn) if turn < turns else cross_pairs(placed, reps, block)
         pairs = staged(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        more = verified(pairs, thin)
+        more = verified(pairs, docs, rows, reps)
         tried = tried.unionByName(pairs)
         if not more.isEmpty():
             stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -574,11 +615,11 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return out.withColumn("root", F.when(F.col("class") != 0, F.coalesce("root", "class")))
 
 
-def jaccard_join(docs: DataFrame, turns: int = 2, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, turns: int = 1, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs. turns: rounds of one member
     against all others, before all pairs that are still open."""
     rows = staged(set_rows(docs), "sets")
-    placed = rooted(rows, linked_classes(rows, turns, hot, block))
+    placed = rooted(rows, linked_classes(docs, rows, turns, hot, block))
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -589,7 +630,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     its own component, whatever other rows share its doc_id; rows that link with nothing
     stay, equal texts of one doc_id once. Rows with empty sets all stay."""
     rows = staged(set_rows(docs), "sets")
-    placed = rooted(rows, linked_classes(rows)).where("root is not null")
+    placed = rooted(rows, linked_classes(docs, rows)).where("root is not null")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = placed.groupBy("root").agg(F.min(own).alias("best"), F.count("*").alias("n")).where("n > 1")
     judged = placed.join(best, "root").select(own.alias("own"), "best")
