@@ -222,9 +222,12 @@ class Members:
 
 
 def memberships(h: np.ndarray, first: np.ndarray) -> Iterator[Members]:
+    """The bands of a block. Where t is 0 (up to 3 shingles) only equal sets link."""
     n = np.diff(first)
     own = band_of(n)
     for band in np.unique(np.concatenate([own[n > 0], own[n > 0] + 1])).tolist():
+        if segments(band) == 1:
+            continue
         docs = np.flatnonzero((n > 0) & ((own == band) | ((own == band - 1) & (n * 4 // 3 >= 1 << band))))
         if len(docs):
             yield Members(h, first, docs, band)
@@ -273,38 +276,46 @@ def costs(sets: DataFrame, hot: int = HOT) -> Costs:
     return Costs(table, max(1.0, total / cells), hot)
 
 
-def wanted_neighbours(sets: DataFrame, shared: Broadcast) -> np.ndarray:
-    """A bit for each cell of 2**(CELL_BITS + 1), set if a subset in it is looked up among
-    neighbourhoods: only those in such cells have to be indexed."""
+def asked(sets: DataFrame, shared: Broadcast) -> np.ndarray:
+    """Two tables of a bit for each of 2**CELL_BITS cells: subsets that are looked up among
+    neighbourhoods, so that only those are indexed; and among the signatures that are dealt
+    out those that anybody looks up."""
 
     def add(total: np.ndarray, h: np.ndarray, first: np.ndarray) -> None:
         for part in memberships(h, first):
-            byte, bit = _place(part.S[part.levels(shared.value) == 2])
-            np.bitwise_or.at(total, byte, bit)
+            level = part.levels(shared.value)
+            for table, sig in ((0, part.S[level == 2]), (1, part.S[level > 0]), (1, part.D[level[part.of] == 2])):
+                byte, bit = _place(sig if table == 0 else sig[shared.value.shares(sig) > 1], table)
+                np.bitwise_or.at(total, byte, bit)
 
     def merge(held: np.ndarray | None, x: np.ndarray) -> np.ndarray:
         return x if held is None else held | x
 
-    return _sliced(sets, np.zeros(1 << (CELL_BITS - 2), np.uint8), add, lambda x: x, merge)[0]
+    return _sliced(sets, np.zeros(2 << (CELL_BITS - 3), np.uint8), add, lambda x: x, merge)[0]
 
 
-def _place(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(byte, bit) of signatures in the table of wanted neighbours."""
-    cell = (sig >> np.uint64(63 - CELL_BITS)).astype(np.int64)
+def _place(sig: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit) of signatures in a table of asked()."""
+    cell = (sig >> np.uint64(64 - CELL_BITS)).astype(np.int64) + (table << CELL_BITS)
     return cell >> 3, np.left_shift(1, cell & 7).astype(np.uint8)
 
 
 def entries(h: np.ndarray, first: np.ndarray, costs: Costs, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(documents, signatures, flags): the index and the look-ups of the sets of a block.
-    Flags: the level of the segment, and 4 for a neighbourhood."""
+    Flags: the level of a subset; 4 for a neighbourhood, and 2 more if it looks up subsets."""
+
+    def known(sig: np.ndarray, table: int) -> np.ndarray:
+        byte, bit = _place(sig, table)
+        return (wanted[byte] & bit) > 0
+
     for part in memberships(h, first):
         level = part.levels(costs).astype(np.uint64)
-        yield np.repeat(part.docs, part.m), part.S, level
-        byte, bit = _place(part.D)
-        own = level[part.of]
-        some = (own == 2) | ((wanted[byte] & bit) > 0)
+        some = (level > 0) | (costs.shares(part.S) == 1) | known(part.S, 1)
+        yield part.docs[np.flatnonzero(some) // part.m], part.S[some], level[some]
+        asks = level[part.of] == 2
+        some = asks | (known(part.D, 0) & ((costs.shares(part.D) == 1) | known(part.D, 1)))
         if some.any():
-            yield part.docs[part.of[some] // part.m], part.D[some], own[some] | np.uint64(4)
+            yield part.docs[part.of[some] // part.m], part.D[some], np.where(asks[some], np.uint64(6), np.uint64(4))
 
 
 def packed_entries(sets: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
@@ -586,7 +597,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, turns: int = 1, hot: int =
     filled = rows.where("set is not null")
     known = costs(filled.select("set"), hot)
     shared = spark.sparkContext.broadcast(known)  # four megabytes
-    wanted = wanted_neighbours(filled.select("set"), shared)
+    wanted = asked(filled.select("set"), shared)
     shared.destroy()
     shared = spark.sparkContext.broadcast((known, wanted))  # five megabytes
     found = staged(candidates(packed_entries(filled.select("set", "class"), shared, parts), shared, parts), "candidates")
