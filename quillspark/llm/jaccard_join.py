@@ -22,10 +22,9 @@ Plan: shingles are hashed once into a stored table (class, 48 bits of each hash:
 find more candidates, never fewer); equal sets are one class and go on once from each task. Signatures move packed, one row for each map batch and
 target partition. A signature that very many sets have is dealt out by class over many
 partitions. Of the classes that share a signature the first that asks is verified against
-the others. While some lie in different components, another member of the largest
-component is verified against those outside it, for a few turns; then all pairs of which
-one asks and that still lie in different components are, in blocks of members. So no link
-between components is lost, and no group of near copies is expanded into all its pairs.
+the others. Then all pairs of which one asks and that lie in different components are, in
+blocks of members. So no link between components is lost, and no group of near copies is
+expanded into all its pairs.
 
 Pairs are verified in two steps: on parity arrays (a bit for each hash, flipped; their
 difference in bits bounds that of the sets from below), then on the full sets of 64-bit
@@ -50,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._graph import components
-from quillspark.llm._shared import partitions, schema_of, staged, table, unused
+from quillspark.llm._shared import partitions, schema_of, small_batches, staged, table, unused
 from quillspark.llm._words import hits, mix, shingle_sets, text_blocks, words_of
 
 SHINGLE = 5
@@ -244,7 +243,7 @@ def _sliced(sets: DataFrame, zero: np.ndarray, add: Callable[[np.ndarray, np.nda
         for batch in batches:
             for _, _, h, first in set_blocks(batch.column(0)):
                 add(total, h, first)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices)), pa.array([x.tobytes() for x in np.split(pack(total), slices)])], names=["slice", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices)), pa.array([pack(x).tobytes() for x in np.split(total, slices)])], names=["slice", "found"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -351,7 +350,7 @@ def packed_entries(sets: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
                 for doc, sig, flag in entries(h, first, known, wanted):
                     held.append((cls[a + doc], np.diff(first)[doc].astype(np.int32), sig, flag))
                     size += len(sig)
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -422,7 +421,8 @@ def candidates(packed: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
             none = pa.nulls(len(bucket), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cls[many]), none, pa.array(n[many]), none, pa.array(asks[many].astype(np.int64))], names=names)
 
-    return packed.repartitionById(parts, F.col("part").cast("int")).mapInArrow(run, "bucket long, a long, b long, na long, nb long, asks long")
+    tasks = partitions(packed.sparkSession)  # a task holds its parts packed, and works on one after the other
+    return packed.repartitionById(tasks, (F.col("part") % tasks).cast("int")).mapInArrow(run, "bucket long, a long, b long, na long, nb long, asks long")
 
 
 def sets_for(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -510,15 +510,6 @@ def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return staged(placed.join(mixed.hint("merge"), "bucket").select("bucket", "node", "n", "asks", "root"), "open")
 
 
-def next_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """In each bucket, one member of its largest component against all others."""
-    pick = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn)))
-    comps = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), pick.alias("pick"))
-    big = comps.groupBy("bucket").agg(F.max_by(F.struct("root", "pick"), F.struct("size", "root")).alias("big"))
-    both = placed.join(big.hint("merge"), "bucket").where("root <> big.root and n * 4 >= big.pick.n * 3 and big.pick.n * 4 >= n * 3")
-    return both.select(F.least("node", "big.pick.node").alias("a"), F.greatest("node", "big.pick.node").alias("b")).distinct()
-
-
 def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each value of the first three columns, one after the other, from batches
     that are sorted by them."""
@@ -559,14 +550,20 @@ def cross_pairs(placed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataF
         size = min(map(len, arrays))
         bits = np.stack([fold(x, size) for x in arrays]).view(np.uint64)
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        for i in left.tolist():
-            good = (root[right] != root[i]) & ((asks[right] | asks[i]) > 0) & (n[right] * 4 >= n[i] * 3) & (n[i] * 4 >= n[right] * 3)
+        step = max(1, (1 << 20) // max(1, len(right) * bits.shape[1]))
+        for a in range(0, len(left), step):
+            i = left[a : a + step]
+            good = (root[right] != root[i, None]) & ((asks[right] | asks[i, None]) > 0) & (n[right] * 4 >= n[i, None] * 3) & (n[i, None] * 4 >= n[right] * 3)
             if low == high:
-                good &= right > i
-            others = right[good]
-            if len(others):
-                others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= (n[others] + n[i]) // 7]
-                yield np.stack([np.minimum(node[others], node[i]), np.maximum(node[others], node[i])])
+                good &= right > i[:, None]
+            x, y = np.nonzero(good)
+            x, y = i[x], right[y]
+            few = np.zeros(len(x), np.int64)
+            for c in range(bits.shape[1]):
+                few += np.bitwise_count(bits[x, c] ^ bits[y, c])
+            x, y = (v[few <= (n[x] + n[y]) // 7] for v in (x, y))
+            if len(x):
+                yield np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, fresh, size = np.zeros((2, 0), np.int64), [], 0
@@ -590,10 +587,10 @@ def cross_pairs(placed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataF
     return rows.repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, turns: int = 1, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def linked_classes(docs: DataFrame, rows: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(node, root) of every class that links with another; rows: set_rows(docs), stored."""
     spark = rows.sparkSession
-    parts = partitions(spark)
+    parts = 4 * partitions(spark)
     filled = rows.where("set is not null")
     known = costs(filled.select("set"), hot)
     shared = spark.sparkContext.broadcast(known)  # four megabytes
@@ -603,21 +600,12 @@ def linked_classes(docs: DataFrame, rows: DataFrame, turns: int = 1, hot: int =
     found = staged(candidates(packed_entries(filled.select("set", "class"), shared, parts), shared, parts), "candidates")
     shared.destroy()
     reps = staged(filled.groupBy("class").agg(F.max("n_shingles").alias("n"), F.max("parity").alias("parity")), "classes")
-    members = distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"), "asks"))
     tried = staged(found.where("bucket is null").select("a", "b").distinct(), "pairs")
     roots = components(verified(tried, docs, rows, reps))
-    for turn in range(turns + 1):
-        placed = open_members(members, roots)
-        if placed.isEmpty():
-            break
-        pairs = next_pairs(placed, turn) if turn < turns else cross_pairs(placed, reps, block)
-        pairs = staged(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        more = verified(pairs, docs, rows, reps)
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = components(stars.unionByName(more))
-    return roots
+    placed = open_members(distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"), "asks")), roots)
+    more = verified(staged(cross_pairs(placed, reps, block).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs"), docs, rows, reps)
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return roots if more.isEmpty() else components(stars.unionByName(more))
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -626,11 +614,16 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return out.withColumn("root", F.when(F.col("class") != 0, F.coalesce("root", "class")))
 
 
-def jaccard_join(docs: DataFrame, turns: int = 1, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs. turns: rounds of one member
-    against all others, before all pairs that are still open."""
-    rows = staged(set_rows(docs), "sets")
-    placed = rooted(rows, linked_classes(docs, rows, turns, hot, block))
+def _placed(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """doc_id, key, n_shingles, class, root of every row."""
+    with small_batches(docs.sparkSession):
+        rows = staged(set_rows(docs), "sets")
+        return rooted(rows, linked_classes(docs, rows, hot, block))
+
+
+def jaccard_join(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    placed = _placed(docs, hot, block)
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -640,8 +633,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     several such rows one of those with the smallest hash of the text. A row goes only by
     its own component, whatever other rows share its doc_id; rows that link with nothing
     stay, equal texts of one doc_id once. Rows with empty sets all stay."""
-    rows = staged(set_rows(docs), "sets")
-    placed = rooted(rows, linked_classes(docs, rows)).where("root is not null")
+    placed = staged(_placed(docs).where("root is not null"), "placed")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = placed.groupBy("root").agg(F.min(own).alias("best"), F.count("*").alias("n")).where("n > 1")
     judged = placed.join(best, "root").select(own.alias("own"), "best")
