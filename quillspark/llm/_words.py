@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
-_SEGMENT = 1 << 20
+BLOCK_BYTES = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F | 1
 

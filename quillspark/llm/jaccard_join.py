@@ -58,7 +58,7 @@ SIG_BITS = 37
 #: Signatures that occur more often than this, and than 16 times the mean of a cell, are dealt out over several partitions.
 HOT = 4096
 #: Members of a signature that one task compares with as many others at most.
-BLOCK = 2048
+BLOCK = 512
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _LOW = np.uint64((1 << SIG_BITS) - 1)
 _CELL = np.uint64((1 << CELL_BITS) - 1)
@@ -133,7 +133,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, f"{schema_of(docs, 'doc_id')}, key long, n_shingles long, class long, parity binary, set binary")
 
 
-def set_blocks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def set_blocks(column: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, hashes, offsets) of blocks of stored sets."""
     for a, b, data, offsets in text_blocks(column, 6 * limit):
         wide = np.zeros((len(data) // 6, 8), np.uint8)
@@ -350,7 +350,7 @@ def packed_entries(sets: DataFrame, shared: Broadcast, parts: int) -> DataFrame:
                 for doc, sig, flag in entries(h, first, known, wanted):
                     held.append((cls[a + doc], np.diff(first)[doc].astype(np.int32), sig, flag))
                     size += len(sig)
-                if size >= 1 << 20:
+                if size >= 1 << 19:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -530,61 +530,79 @@ def block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def cross_pairs(placed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The pairs of members of a bucket in different components, one of which asks, that
-    their parity arrays don't rule out. Members are dealt into blocks of about `block`, and
-    each two blocks of a bucket are compared in a task of their own, one member against all;
-    only what passes is put out. A task holds two blocks at a time and a bounded number
-    of pairs, among which repeated ones go."""
-    most = 1 << 20
-
-    def distinct(pairs: list[np.ndarray]) -> np.ndarray:
-        both = np.concatenate(pairs, axis=1)
-        both = both[:, np.lexsort(both)]
-        return both[:, np.append(True, (both[:, 1:] != both[:, :-1]).any(axis=0))] if both.shape[1] else both
-
-    def within(rows: pa.Table) -> Iterator[np.ndarray]:
-        own, node, n, asks, root = (rows.column(c).to_numpy() for c in ("own", "node", "n", "asks", "root"))
-        low, high = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        arrays = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("parity")]
-        size = min(map(len, arrays))
-        bits = np.stack([fold(x, size) for x in arrays]).view(np.uint64)
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        step = max(1, (1 << 20) // max(1, len(right) * bits.shape[1]))
-        for a in range(0, len(left), step):
-            i = left[a : a + step]
-            good = (root[right] != root[i, None]) & ((asks[right] | asks[i, None]) > 0) & (n[right] * 4 >= n[i, None] * 3) & (n[i, None] * 4 >= n[right] * 3)
-            if low == high:
-                good &= right > i[:, None]
-            x, y = np.nonzero(good)
-            x, y = i[x], right[y]
-            few = np.zeros(len(x), np.int64)
-            for c in range(bits.shape[1]):
-                few += np.bitwise_count(bits[x, c] ^ bits[y, c])
-            x, y = (v[few <= (n[x] + n[y]) // 7] for v in (x, y))
-            if len(x):
-                yield np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, fresh, size = np.zeros((2, 0), np.int64), [], 0
-        for rows in block_runs(batches):
-            for pairs in within(rows):
-                fresh.append(pairs)
-                size += pairs.shape[1] + 1
-                if size >= most:
-                    kept, fresh, size = distinct([kept, *fresh]), [], 0
-                    if kept.shape[1] >= 4 * most:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["a", "b"])
-                        kept = kept[:, :0]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in distinct([kept, *fresh])], names=["a", "b"])
-
+def _in_blocks(placed: DataFrame, with_: DataFrame, column: str, block: int) -> DataFrame:
+    """(bucket, lo, hi, own, node, n, asks, root, column) sorted by the first three: the members
+    of every bucket dealt into blocks of about `block`, once for each two blocks."""
     blocks = placed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     rows = placed.join(blocks.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "asks", "root")
-    rows = rows.join(reps.select(F.col("class").alias("node"), "parity").hint("merge"), "node").select("bucket", "lo", "hi", "own", "node", "n", "asks", "root", "parity")
+    rows = rows.join(with_.select(F.col("class").alias("node"), column).hint("merge"), "node").select("bucket", "lo", "hi", "own", "node", "n", "asks", "root", column)
     keys = ["bucket", "lo", "hi"]
-    return rows.repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(partitions(placed.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def _open_pairs(rows: pa.Table, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of two blocks, one of which asks, in different components, that
+    their parity arrays (bits) don't rule out; a bounded number at a time."""
+    own, n, asks, root = (rows.column(c).to_numpy() for c in ("own", "n", "asks", "root"))
+    low, high = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    step = max(1, (1 << 19) // max(1, len(right) * bits.shape[1]))
+    for a in range(0, len(left), step):
+        i = left[a : a + step, None]
+        good = (root[right] != root[i]) & ((asks[right] | asks[i]) > 0) & (n[right] * 4 >= n[i] * 3) & (n[i] * 4 >= n[right] * 3)
+        if low == high:
+            good &= right > i
+        x, y = np.nonzero(good)
+        x, y = i[x, 0], right[y]
+        close = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= (n[x] + n[y]) // 7
+        if close.any():
+            yield x[close], y[close]
+
+
+def _folded(arrays: list[np.ndarray]) -> np.ndarray:
+    size = min(map(len, arrays))
+    return np.stack([x if len(x) == size else fold(x, size) for x in arrays]).view(np.uint64)
+
+
+def near_members(placed: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(bucket, node) of the members that some other of the bucket may link with, by their
+    parity arrays; every two blocks of a bucket are compared in one place, and no pair is
+    put out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in block_runs(batches):
+            found = np.zeros(rows.num_rows, bool)
+            for x, y in _open_pairs(rows, _folded([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("parity")])):
+                found[x] = found[y] = True
+            if found.any():
+                yield rows.select(["bucket", "node"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
+
+    near = _in_blocks(placed, reps, "parity", block).mapInArrow(run, "bucket long, node long").distinct()
+    return staged(placed.join(near.hint("merge"), ["bucket", "node"]).select(*placed.columns), "near")
+
+
+def links_within(near: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): for every two blocks of a bucket links that join all that any of their links
+    do, verified on the sets. Pairs that links found before already join are not looked
+    at again, so no more come out than there are members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in block_runs(batches):
+            node = rows.column("node").to_numpy()
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+            root = np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
+            out = []
+            for x, y in _open_pairs(rows, _folded([np.frombuffer(parity(h), np.uint8) for h in own])):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    if root[i] != root[j] and linked(int(hits(own[i], own[j]).sum()), len(own[i]), len(own[j])):
+                        root[root == root[j]] = root[i]
+                        out.append((node[i], node[j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return staged(_in_blocks(near, sets, "set", block).mapInArrow(run, "a long, b long"), "links")
 
 
 def linked_classes(docs: DataFrame, rows: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -603,9 +621,12 @@ def linked_classes(docs: DataFrame, rows: DataFrame, hot: int = HOT, block: int
     tried = staged(found.where("bucket is null").select("a", "b").distinct(), "pairs")
     roots = components(verified(tried, docs, rows, reps))
     placed = open_members(distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"), "asks")), roots)
-    more = verified(staged(cross_pairs(placed, reps, block).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs"), docs, rows, reps)
+    near = near_members(placed, reps, block)
+    if near.isEmpty():
+        return roots
+    more = links_within(near, sets_for(docs, near.select(F.col("node").alias("class")).distinct(), rows), block)
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return roots if more.isEmpty() else components(stars.unionByName(more))
+    return components(stars.unionByName(more))
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
