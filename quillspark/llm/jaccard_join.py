@@ -580,7 +580,7 @@ def near_members(placed: DataFrame, reps: DataFrame, block: int = BLOCK) -> Data
                 yield rows.select(["bucket", "node"]).filter(pa.array(found)).combine_chunks().to_batches()[0]
 
     near = _in_blocks(placed, reps, "parity", block).mapInArrow(run, "bucket long, node long").distinct()
-    return staged(placed.join(near.hint("merge"), ["bucket", "node"]).select(*placed.columns), "near")
+    return placed.join(near.hint("merge"), ["bucket", "node"]).select("bucket", "node", "n", "asks")
 
 
 def links_within(near: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -621,7 +621,7 @@ def linked_classes(docs: DataFrame, rows: DataFrame, hot: int = HOT, block: int
     tried = staged(found.where("bucket is null").select("a", "b").distinct(), "pairs")
     roots = components(verified(tried, docs, rows, reps))
     placed = open_members(distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"), "asks")), roots)
-    near = near_members(placed, reps, block)
+    near = open_members(distinct_buckets(near_members(placed, reps, block)), roots)
     if near.isEmpty():
         return roots
     more = links_within(near, sets_for(docs, near.select(F.col("node").alias("class")).distinct(), rows), block)
