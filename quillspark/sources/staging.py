@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df in the folder named by spark.checkpoint.dir, else in the context's
-    checkpoint folder, and reads it again, so that later plans see real sizes. A temporary
-    folder serves where neither is set, as in tests on one machine."""
+    checkpoint folder, and reads it again, so that later plans see real sizes. In local mode
+    a folder of this machine serves where neither is set; on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not current.isDefined():
+            if not spark.sparkContext._jsc.sc().isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get()
