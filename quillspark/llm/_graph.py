@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import staged
+from quillspark.llm._shared import discard, staged
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +62,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
-    now = edges.where("a <> b").select("a", "b").mapInArrow(local, "a long, b long")
+    now = staged(edges.where("a <> b").select("a", "b").mapInArrow(local, "a long, b long"), name)
     while True:
-        now = staged(now, name)
         both = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")))
         placed = staged(both.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")), name)
         if placed.where("root <> other").isEmpty():
+            discard(now)
             return placed.select("node", "root")
-        now = small_star(large_star(now))
+        discard(placed)
+        before, now = now, staged(small_star(large_star(now)), name)
+        discard(before)

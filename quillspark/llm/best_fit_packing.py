@@ -6,8 +6,10 @@ through how many there are of each length, so it is planned on that histogram (2
 counts at any corpus size): bin completion takes the longest piece left, enumerates the
 undominated fillings of the room beside it, prunes by the waste that the best plan so
 far still allows, and takes best-fit decreasing of what is left as an incumbent at every
-node. The search ends when the incumbent meets the lower bound, or after `nodes` nodes
-with the best plan found; every piece is packed either way.
+node. A filling is tried with as many copies as the pieces allow, then with one. The
+search ends when the incumbent meets the lower bound, or after `nodes` nodes (the one limit
+of the search, a parameter) with the best plan found; every piece is packed either way.
+gap() tells how far a plan is from the lower bound.
 
 The plan is a list of fillings with multiplicities. Pieces of one length are ranked
 (salted, so that a length that a third of all pieces have is split over many tasks) and
@@ -154,51 +156,59 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
     return int((n[b] + -(-rest // capacity)).max())
 
 
-def _fits(inner: list[int], outer: list[int]) -> bool:
-    """Whether the pieces inner can be packed into bins of the sizes outer."""
-    if not inner:
-        return True
-    head, rest = inner[0], inner[1:]
-    for i, room in enumerate(outer):
-        if room >= head and room not in outer[:i] and _fits(rest, [*outer[:i], room - head, *outer[i + 1 :]]):
-            return True
-    return False
+def _fits(inner: tuple[int, ...], outer: tuple[int, ...]) -> bool:
+    """Whether first-fit decreasing packs the pieces inner into bins of the sizes outer;
+    then outer dominates: the bins it is taken from could exchange one for the other."""
+    rooms = list(outer)
+    for x in inner:
+        at = next((i for i, room in enumerate(rooms) if room >= x), None)
+        if at is None:
+            return False
+        rooms[at] -= x
+    return True
 
 
-def fillings(hist: dict[int, int], room: int, waste: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated sets of pieces that leave at most `waste` of the room free, best fit
-    first; the enumeration looks at `most` sets at least."""
+def fillings(hist: dict[int, int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """All sets of pieces that leave at most `waste` of the room free and that no set
+    before dominates, best fit first and among equal ones long pieces first. The sums that
+    the shorter lengths can reach (bit sets) keep the enumeration from dead ends."""
     lengths = sorted((x for x in hist if x <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-    looked = 0
-
-    def extend(i: int, chosen: list[int], left: int) -> None:
-        nonlocal looked
-        if looked > most:
+    mask = (1 << (room + 1)) - 1
+    reach = [1] * (len(lengths) + 1)  # reach[i]: sums of pieces of lengths[i:]
+    for i in range(len(lengths) - 1, -1, -1):
+        sums, left, step = reach[i + 1], min(hist[lengths[i]], room // lengths[i]), 1
+        while left:
+            take = min(step, left)
+            sums |= (sums << (take * lengths[i])) & mask
+            left -= take
+            step *= 2
+        reach[i] = sums
+
+    def exact(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
             return
-        smallest_fit = False
         for j in range(i, len(lengths)):
             x = lengths[j]
-            if x <= left and chosen.count(x) < hist[x]:
-                smallest_fit = True
-                extend(j, [*chosen, x], left - x)
-        if not smallest_fit and left <= waste:
-            looked += 1
-            found.append(tuple(chosen))
-        elif not smallest_fit:
-            looked += 1
-
-    extend(0, [], room)
-    found = sorted(set(found), key=lambda f: (-sum(f), len(f)))
+            if not reach[j] >> total & 1:
+                return
+            for copies in range(min(hist[x], total // x), 0, -1):
+                if reach[j + 1] >> (total - copies * x) & 1:
+                    for rest in exact(j + 1, total - copies * x):
+                        yield (x,) * copies + rest
+
     kept: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(len(f) <= 8 and g != f and _fits(list(f), list(g)) for g in kept):
-            kept.append(f)
-    return kept
+    for free in range(min(waste, room) + 1):
+        if reach[0] >> (room - free) & 1:
+            for f in exact(0, room - free):
+                if not any(_fits(f, g) for g in kept):
+                    kept.append(f)
+                    yield f
 
 
 def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = 100) -> Plan:
-    """Fillings with multiplicities that hold all pieces in as few bins as was found."""
+    """Fillings with multiplicities that hold all pieces in as few bins as was found in
+    `nodes` nodes of the search."""
     hist = {x: n for x, n in hist.items() if n}
     best = best_fit(hist, capacity)
     bound, total = lower_bound(hist, capacity), sum(x * n for x, n in hist.items())
@@ -214,7 +224,7 @@ def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = 100)
             return
         longest = max(left)
         others = {x: n - (x == longest) for x, n in left.items() if n - (x == longest)}
-        for f in fillings(others, capacity - longest, (size(best) - 1) * capacity - total - wasted, 300):
+        for f in fillings(others, capacity - longest, (size(best) - 1) * capacity - total - wasted):
             need: dict[int, int] = {}
             for x in (longest, *f):
                 need[x] = need.get(x, 0) + 1
@@ -232,6 +242,15 @@ def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = 100)
     return best
 
 
+def gap(plan: Plan, capacity: int = CAPACITY) -> int:
+    """By how many bins the plan exceeds the lower bound of what it packs."""
+    hist: dict[int, int] = {}
+    for filling, times in plan:
+        for length, copies in filling:
+            hist[length] = hist.get(length, 0) + copies * times
+    return size(plan) - lower_bound(hist, capacity)
+
+
 def runs(plan: Plan) -> np.ndarray:
     """[length, first rank, first sequence, offset] sorted: pieces of a length with ranks
     from the first on lie at that offset of consecutive sequences. As many rows as the
@@ -250,19 +269,20 @@ def runs(plan: Plan) -> np.ndarray:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, rows_per_task: int = 200_000) -> DataFrame:
-    """parts (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset. parts is
-    read several times: hand over a stored table."""
+    """parts (doc_id, piece, length, ids_crc32, row, ...) with sequence_id and offset, without
+    row, a number that no two rows share. parts is read several times: hand over a stored
+    table."""
     hist = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table_ = runs(plan_bins(hist, capacity))
     salts = max(1, sum(hist.values()) // rows_per_task)
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")).drop("__n")
     place = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("__place", place).join(before, ["length", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__place"))
     shared = parts.sparkSession.sparkContext.broadcast(table_)
-    names = parts.columns
+    names = [c for c in parts.columns if c != "row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -283,7 +303,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return pack(staged(pieces(docs, path or tokenizer_path(), capacity, with_ids), "pieces"), capacity)
+    found = pieces(docs, path or tokenizer_path(), capacity, with_ids)
+    return pack(staged(found.withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

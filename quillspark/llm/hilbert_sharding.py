@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import partitions, staged, table
+from quillspark.llm._shared import discard, partitions, staged, table, unused
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -93,13 +93,13 @@ def with_rank(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return placed.join(offsets, part == F.col("__part")).withColumn("__rank", F.col("__before") + place).drop("__at", "__part", "__before"), total
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = 8) -> DataFrame:
+def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, curve (Hilbert index of lang, source and size), shard,
-    and slot (place in the shard) for every row of docs."""
+    and slot (place in the shard) for every row of docs, and the columns carry of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 16
     dims = [category(F.col("lang"), bits), category(F.col("source"), bits), magnitude(size, bits)]
-    base = docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("tie"), *[d.alias(f"d{i}") for i, d in enumerate(dims)])
+    base = docs.select("doc_id", *carry, size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("tie"), *[d.alias(f"d{i}") for i, d in enumerate(dims)])
     base = with_curve(base, [F.col(f"d{i}") for i in range(len(dims))], bits, "curve").drop(*[f"d{i}" for i in range(len(dims))])
     ranked, total = with_rank(staged(base, "curve"), ["curve", "tie", "doc_id"])
     shard = F.expr(f"__rank * {n_shards}L div {max(total, 1)}L")
@@ -108,11 +108,17 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 40, bits: int = 8) -> DataFr
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, bits: int = 8) -> None:
-    """Write docs as one folder for each shard, sorted by slot inside. doc_id must be
-    unique, as rows meet their place by it."""
-    places = hilbert_shards(docs, n_shards, bits).select(F.col("doc_id").alias("__id"), "curve", "shard", "slot")
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(places["__id"])).drop("__id")
+    """Write docs as one folder for each shard, sorted by slot inside, with curve and slot.
+    Rows meet their place by a number that a stored copy of docs gives them, so repeated
+    rows are each written once. Columns of docs with the names curve, shard and slot are
+    replaced."""
+    docs = docs.drop("curve", "shard", "slot")
+    row = unused(docs, "row")
+    stored = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    places = hilbert_shards(stored, n_shards, bits, (row,)).select(row, "curve", "shard", "slot")
+    joined = stored.join(places, row).drop(row)
     joined.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    discard(stored)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._graph import components
-from quillspark.llm._shared import partitions, schema_of, small_batches, staged, table, unused
+from quillspark.llm._shared import discard, partitions, schema_of, small_batches, staged, table, unused
 from quillspark.llm._words import hits, mix, shingle_sets, text_blocks, words_of
 
 SHINGLE = 5
@@ -453,7 +453,9 @@ def sets_for(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
 
     near = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(thin, "text string, key long")
     sets = near.join(wanted.select("key").hint("merge"), "key", "left_semi").select("text").mapInArrow(run, "class long, set binary")
-    return staged(sets.dropDuplicates(["class"]), "sets")
+    out = staged(sets.dropDuplicates(["class"]), "sets")
+    discard(wanted)
+    return out
 
 
 def screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -491,7 +493,9 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, reps: DataFrame
     classes = close.select(F.col("a").alias("class")).unionByName(close.select(F.col("b").alias("class"))).distinct()
     sets = sets_for(docs, classes, rows)
     left = close.join(sets.toDF("a", "x").hint("merge"), "a")
-    return staged(left.join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    out = staged(left.join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    discard(close, sets)
+    return out
 
 
 def distinct_buckets(members: DataFrame) -> DataFrame:
@@ -622,9 +626,12 @@ def linked_classes(docs: DataFrame, rows: DataFrame, hot: int = HOT, block: int
     roots = components(verified(tried, docs, rows, reps))
     placed = open_members(distinct_buckets(found.where("bucket is not null").select("bucket", F.col("a").alias("node"), F.col("na").alias("n"), "asks")), roots)
     near = open_members(distinct_buckets(near_members(placed, reps, block)), roots)
+    discard(found, reps, tried, placed)
     if near.isEmpty():
         return roots
-    more = links_within(near, sets_for(docs, near.select(F.col("node").alias("class")).distinct(), rows), block)
+    sets = sets_for(docs, near.select(F.col("node").alias("class")).distinct(), rows)
+    more = links_within(near, sets, block)
+    discard(near, sets)
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(stars.unionByName(more))
 

@@ -7,7 +7,7 @@ training sample.
 
 Document frequencies cover every learnable document. The regression is fitted on a
 bounded sample: about `train_docs` documents in all, an equal share for each language,
-chosen by a hash of doc_id. Prediction reads every whole text.
+chosen by a hash of doc_id and text, repeated rows once. Prediction reads every whole text.
 
 Defined results: a null text or one without a letter is `und` with score 0; rows without
 a language or without doc_id are predicted but never learned from; without learnable
@@ -132,9 +132,11 @@ def sample(docs: DataFrame, train_docs: int) -> DataFrame:
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = max(1, train_docs // max(1, len(sizes)))
     limit = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, share / n)))).otherwise(limit)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < limit)
+    if sizes:
+        limits = [x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, share / n))))]
+        limit = F.try_element_at(F.create_map(*limits), F.col("lang"))
+    drawn = docs.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(17)).alias("row"))
+    chosen = drawn.where(F.pmod("row", F.lit(1_000_000)) < limit).groupBy("lang", "row").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

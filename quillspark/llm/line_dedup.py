@@ -12,8 +12,10 @@ and gathered as one list for each document, which meets its text in one shuffle.
 
 Defined results: a null text is one empty line and stays null in the output text; rows
 with one doc_id are one document for counting and each keep or lose the same keys; rows
-without doc_id count together as one document that comes before all others; an empty
-table gives an empty table; further columns are kept.
+without doc_id count together as one document that comes before all others (equal texts
+of them share a list of keys to drop); an empty table gives an empty table; further
+columns are kept, whatever their names, but for n_lines and n_dropped, which are replaced.
+Keys are equal if their 128-bit hashes are.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import schema_of, sha256_hex, table
+from quillspark.llm._shared import schema_of, sha256_hex, table, unused
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -39,7 +41,8 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, key), each key once for each row of docs."""
+    """(doc_id, own, key), each key once for each row of docs; own tells rows without doc_id
+    apart by their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,24 +53,31 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
                     found = {line_key(line, min_chars) for line in text.split(b"\n")} - {None}
                     keys += found
                     at += [i] * len(found)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(keys, pa.binary())], names=["doc_id", "key"])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(2).take(at), pa.array(keys, pa.binary())], names=["doc_id", "own", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"{schema_of(docs, 'doc_id')}, key binary")
+    return docs.select("doc_id", "text", own_key().alias("own")).mapInArrow(run, f"{schema_of(docs, 'doc_id')}, own long, key binary")
+
+
+def own_key() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """docs with text reassembled, and n_lines, n_dropped (long)."""
+    docs = docs.drop("n_lines", "n_dropped")
     rows = occurrences(docs, min_chars)
     once = rows.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     shared = (
         once.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs).select("key", "keeper")
     )
+    same, own, drop = (unused(docs, x) for x in ("id", "own", "drop"))
     lists = (
         rows.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__drop"))
+        .groupBy(F.col("doc_id").alias(same), F.col("own").alias(own)).agg(F.collect_set("key").alias(drop))
     )
-    joined = docs.join(lists, docs["doc_id"].eqNullSafe(lists["__id"]), "left").drop("__id")
+    joined = docs.join(lists, docs["doc_id"].eqNullSafe(lists[same]) & (own_key() == lists[own]), "left").select(*docs.columns, drop)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

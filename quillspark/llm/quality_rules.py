@@ -7,8 +7,10 @@ of good quality are a holdout: a severity is certified if the exact (Clopper-Pea
 upper bound of its false-rejection rate is at most `alpha`. Severities are tested from
 the mildest on and testing stops at the first failure (fixed-sequence testing needs no
 further correction inside a stratum); strata share `delta` by Bonferroni. So with
-probability 1 - delta no stratum loses more than `alpha` of its good documents. Of the
-certified severities the one is used that finds most labelled junk, less the good
+probability 1 - delta the severities reject no more than `alpha` of the good documents of
+any stratum, among those that pass the base rules. What the base rules (fixed, and the
+same for all) reject of the good ones is not under that bound; fit() reports its share by
+stratum as base_rate. Of the certified severities the one is used that finds most labelled junk, less the good
 documents it rejects. A stratum whose
 holdout can certify nothing rejects nothing.
 
@@ -116,14 +118,28 @@ def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
 
 def _betainc_upper(k: int, n: int, p: float) -> float:
     """P(X <= k) for X binomial (n, p)."""
-    if p <= 0:
+    if k >= n or p <= 0:
         return 1.0
     if p >= 1:
-        return float(k >= n)
-    lp, lq = math.log(p), math.log1p(-p)
-    at = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq for i in range(k + 1)]
-    top = max(at)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in at))
+        return 0.0
+    a, b = n - k, k + 1  # the regularised incomplete beta function at 1 - p
+    return _beta(a, b, 1 - p) if 1 - p < (a + 1) / (a + b + 2) else 1 - _beta(b, a, p)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction (Lentz)."""
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or tiny)
+            c = 1 + term / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return min(1.0, front * out)
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -166,26 +182,39 @@ def select_severities(counts: dict[str | None, dict[tuple[int, int], int]], alph
 
 
 def fit(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05) -> Selection:
-    """Only counts by stratum, label and severity reach the driver: strata x 2 x 49 rows."""
+    """Only counts by stratum, label and severity reach the driver: strata x 2 x 50 rows."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__good"))
+    step = F.when(F.col("base_failed"), F.lit(-1)).otherwise(F.col("severity"))
     rows = (
-        stats.where("not base_failed").select("doc_id", F.col(stratum).alias("__stratum"), "severity").join(good, "doc_id")
-        .groupBy("__stratum", "__good", "severity").count().collect()
+        stats.select("doc_id", F.col(stratum).alias("__stratum"), step.alias("__severity")).join(good, "doc_id")
+        .groupBy("__stratum", "__good", "__severity").agg(F.count("*").alias("__n")).collect()
     )
     counts: dict = {}
+    base: dict = {}
     for r in rows:
-        hist = counts.setdefault(r["__stratum"], {})
-        key = (int(r["__good"] > 0), r["severity"])
-        hist[key] = hist.get(key, 0) + r["count"]
-    return select_severities(counts, alpha, delta)
+        label = int(r["__good"] > 0)
+        if label:
+            failed, n = base.get(r["__stratum"], (0, 0))
+            base[r["__stratum"]] = (failed + r["__n"] * (r["__severity"] < 0), n + r["__n"])
+        if r["__severity"] >= 0:
+            hist = counts.setdefault(r["__stratum"], {})
+            key = (label, r["__severity"])
+            hist[key] = hist.get(key, 0) + r["__n"]
+    selection = select_severities(counts, alpha, delta)
+    for x in selection.report:
+        failed, n = base[x["stratum"]]
+        x["base_rate"] = failed / n
+    return selection
 
 
 def verdict(selection: Selection, stratum: str) -> F.Column:
     """Kept or not, from the columns base_failed, severity and the stratum."""
+    known = {k: s for k, s in selection.severity.items() if k is not None}
     limit = F.lit(-1)
-    for value, s in selection.severity.items():
-        same = F.col(stratum).isNull() if value is None else F.col(stratum) == F.lit(value)
-        limit = F.when(same, F.lit(s)).otherwise(limit)
+    if known:  # one look-up in a map, however many strata
+        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col(stratum)), limit)
+    if None in selection.severity:
+        limit = F.when(F.col(stratum).isNull(), F.lit(selection.severity[None])).otherwise(limit)
     return ~F.col("base_failed") & (F.col("severity") > limit)
 
 

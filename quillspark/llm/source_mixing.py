@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._linear import ftrl, softmax, temperature
-from quillspark.llm._shared import schema_of, staged, table
+from quillspark.llm._shared import discard, schema_of, staged, table, unused
 from quillspark.llm._words import text_blocks, words_of
 
 BITS = 18
@@ -96,8 +96,8 @@ def fit(docs: DataFrame, labelled: DataFrame, train_docs: int = 3000) -> Model |
             rows = [at[f[d] : f[d + 1]].astype(np.uint32).tobytes() for _, _, _, at, f in present(batch.column(1)) for d in range(len(f) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["domain", "at"])
 
-    # chosen holds about train_docs ids, whatever the size of the tables
-    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")
+    # chosen holds about train_docs ids, whatever the size of the tables; rows that repeat one count once
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text")
     rows = sorted(zip(*(c.to_pylist() for c in drawn.mapInArrow(run, "domain string, at binary").toArrow().columns), strict=True))
     domains = sorted({d for d, _ in rows})
     if not domains:
@@ -234,7 +234,9 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     model = fit(docs, labelled)
     if model is None:
         return docs
-    solution = solve(staged(posteriors(docs, model), "posteriors"), model.domains, targets, budget)
+    rows = staged(posteriors(docs, model), "posteriors")
+    solution = solve(rows, model.domains, targets, budget)
+    discard(rows)
     shared = docs.sparkSession.sparkContext.broadcast((model, solution))
     at, names = docs.columns.index("text"), docs.columns
 
@@ -249,7 +251,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
                 out = batch.take(pa.array(np.repeat(np.arange(len(n)), n)))
             yield out.select(range(len(names)))
 
-    return docs.select("*", uniform().alias("__u")).mapInArrow(run, docs.schema)
+    return docs.select("*", uniform().alias(unused(docs, "u"))).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
