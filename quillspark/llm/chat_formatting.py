@@ -1,10 +1,11 @@
 """Chat formatting of reply trees.
 
-Messages form trees by their parent. Every root-to-leaf path is enumerated by iterative
-self-joins, branches of one conversation are ranked by score, and each chosen path is
-formatted as one conversation. The self-joins double: round k joins the ancestors found
-so far to a table of 2**k-th ancestors, so a path of depth d takes log2(d) rounds, and
-only (conversation, leaf, ancestor, distance) rows move until the texts join once.
+Messages form trees by their parent. Branches of one conversation are ranked by the mean
+score of their root-to-leaf path, and each chosen path is formatted as one conversation.
+Paths are enumerated by iterative self-joins that double: round k joins a table of
+2**k-th ancestors to itself, with the sums of the scores on the way. After log2(depth)
+rounds every leaf knows its path's sum and length, so only chosen leaves are expanded
+to their paths, by the same tables; rows never exceed messages plus turns of chosen paths.
 
 Format: `<|turn|>` role `<|text|>` text `<|end|>` and a newline for each turn. In roles
 and texts a backslash is doubled and one is put after the first character of every
@@ -12,10 +13,12 @@ control string of this and other common templates, so no marker can occur in a t
 and unescaping (drop each backslash, keep what follows) restores it exactly. The loss
 mask is a list of code point spans, one for each assistant text.
 
-Defined results: null text and null role are empty; a null conversation id is a
-conversation of its own; a parent that does not exist makes its child a root; rows
-repeating a node are told apart by the caller (query(): ordered by turn, role and text);
-a cycle of parents is an error; an empty table gives an empty table.
+Defined results: null text and null role are empty, a null score is 0; a null conversation
+id is a conversation of its own; a parent that does not exist makes its child a root, and
+so does the smallest node of a cycle of parents; a null node is a leaf that no reply can
+name; rows that repeat a node of their conversation are one message, the smallest by
+parent, role, text and score; ties of branches go to the smaller leaf; further columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import staged, table
+from quillspark.llm._shared import discard, staged, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings that may not survive inside a text.
@@ -67,26 +70,71 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(text)) for role, text in _TURNS.findall(formatted)]
 
 
-def reply_paths(nodes: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node, distance) for every node of every root-to-leaf path; nodes
-    has conv_id, node, parent. distance counts from the leaf."""
-    ids = nodes.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0null")).alias("c"), "node", "parent")
-    links = ids.where("parent is not null").select("c", "node", F.col("parent").alias("up"))
-    links = staged(links.join(ids.select("c", F.col("node").alias("up")), ["c", "up"], "left_semi"), "links")
-    leaves = ids.select("c", "node").join(links.select("c", F.col("up").alias("node")), ["c", "node"], "left_anti")
-    found = staged(leaves.select("c", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")), "paths")
-    parts, step = [found], 1
-    while not links.isEmpty():
-        if step > 1 << 40:
-            raise ValueError("the parents of some messages form a cycle")
-        new = found.join(links, ["c", "node"]).select("c", "leaf", F.col("up").alias("node"), (F.col("distance") + step).alias("distance"))
-        parts.append(staged(new, "paths"))
-        found = parts[0]
-        for x in parts[1:]:
-            found = found.unionByName(x)
-        far = links.select("c", F.col("node").alias("up"), F.col("up").alias("far"))
-        links = staged(links.join(far, ["c", "up"]).select("c", "node", F.col("far").alias("up")), "links")
-        step *= 2
+NO_CONV = "\0null"
+
+
+def messages_of(rows: DataFrame) -> DataFrame:
+    """c, conv_id, node, parent, role, text, score: one row for each node of a conversation."""
+    c = F.coalesce(F.col("conv_id").cast("string"), F.lit(NO_CONV)).alias("c")
+    blank = lambda x: F.coalesce(x, F.lit("")).alias(x)
+    own = rows.select(c, "conv_id", "node", "parent", blank("role"), blank("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    again = own.groupBy("c", "node").agg(F.count("*").alias("n")).where("n > 1").select("c", "node")
+    if again.isEmpty():
+        return own
+    first = F.min(F.struct("parent", "role", "text", "score", "conv_id")).alias("m")
+    return own.groupBy("c", "node").agg(first).select("c", "m.conv_id", "node", "m.parent", "m.role", "m.text", "m.score")
+
+
+def ancestors(nodes: DataFrame) -> list[DataFrame]:
+    """Stored tables (c, node, up, total, length, low), the k-th with the 2**k-th ancestor of each node
+    (null beyond the root), the sum of the scores and the number of the messages from the
+    node to below it, and the least node among them. nodes: c, node, parent, score. In the
+    last table no node has an ancestor, unless parents form a cycle."""
+    real = nodes.where("node is not null").select("c", F.col("node").alias("up"))
+    known = nodes.select("c", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"), F.col("node").alias("low"))
+    known = known.where("up is not null").join(real, ["c", "up"], "left_semi").unionByName(
+        known.where("up is null").unionByName(known.where("up is not null").join(real, ["c", "up"], "left_anti").withColumn("up", F.lit(None).cast(known.schema["up"].dataType)))
+    )
+    tables = [staged(known.select("c", "node", "up", "total", "length", "low"), "ancestors")]
+    most = tables[0].groupBy("c").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
+    while 1 << len(tables) - 1 < 2 * most and not tables[-1].where("up is not null").isEmpty():
+        far = tables[-1].select("c", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("t"), F.col("length").alias("n"), F.col("low").alias("l"))
+        new = tables[-1].join(far, ["c", "up"], "left")
+        new = new.select("c", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("n", F.lit(0))).alias("length"), F.least("low", "l").alias("low"))
+        tables.append(staged(new, "ancestors"))
+    return tables
+
+
+def forest(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(nodes without cycles, their ancestors): the least node of each cycle becomes a root."""
+    tables = ancestors(nodes)
+    # beyond as many steps as a conversation has messages, every ancestor lies on a cycle, and
+    # all of a cycle are ancestors of its own nodes
+    on_cycle = tables[-1].where("up is not null").select("c", F.col("up").alias("node")).distinct()
+    if on_cycle.isEmpty():
+        return nodes, tables
+    heads = staged(tables[-1].join(on_cycle, ["c", "node"], "left_semi").where("node = low").select("c", "node", F.lit(True).alias("head")), "heads")
+    discard(*tables)
+    cut = nodes.join(heads, ["c", "node"], "left").withColumn("parent", F.when(F.col("head").isNull(), F.col("parent"))).select(*nodes.columns)
+    return cut, ancestors(cut)
+
+
+def best_leaves(nodes: DataFrame, tables: list[DataFrame], top: int) -> DataFrame:
+    """(c, leaf, rank): the `top` leaves of each conversation by the mean score of their path."""
+    parents = nodes.where("parent is not null").select("c", F.col("parent").alias("node"))
+    leaves = tables[-1].join(parents, ["c", "node"], "left_anti").select("c", F.col("node").alias("leaf"), (F.col("total") / F.col("length")).alias("path_score"))
+    order = Window.partitionBy("c").orderBy(F.desc("path_score"), F.asc_nulls_last("leaf"))
+    return leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("c", "leaf", "rank")
+
+
+def reply_paths(leaves: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(c, leaf, rank, node, distance) for every node of the paths of the leaves (c, leaf,
+    rank); distance counts from the leaf."""
+    found = leaves.select("c", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"))
+    for k, table_ in enumerate(tables):
+        ups = table_.where("up is not null").select("c", "node", "up")
+        new = found.join(ups, ["c", "node"]).select("c", "leaf", "rank", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
+        found = staged(found.unionByName(new), "paths")
     return found
 
 
@@ -100,16 +148,13 @@ def _format(turns: pd.Series) -> pd.DataFrame:
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     """messages: conv_id, node, parent, role, text, score. The `top` branches of each
-    conversation by mean score (ties: smaller leaf) as conv_id, leaf, rank, formatted, loss."""
-    paths = reply_paths(messages)
-    own = messages.select(
-        "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0null")).alias("c"), "node",
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
-    scores = paths.join(own.select("c", "node", "score"), ["c", "node"]).groupBy("c", "leaf").agg(F.avg("score").alias("path_score"))
-    best = scores.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("path_score"), "leaf"))).where(F.col("rank") <= top)
+    conversation as conv_id, leaf, rank, formatted, loss."""
+    own = messages_of(messages)
+    nodes, tables = forest(own.select("c", "node", "parent", "score"))
+    paths = reply_paths(best_leaves(nodes, tables, top), tables)
+    node = lambda df: df.withColumn("none", F.col("node").isNull()).withColumn("node", F.coalesce("node", F.lit(0).cast(own.schema["node"].dataType)))
     turns = (
-        paths.join(best.select("c", "leaf", "rank"), ["c", "leaf"]).join(own, ["c", "node"])
+        node(paths).join(node(own).select("c", "conv_id", "none", "node", "role", "text"), ["c", "none", "node"])
         .groupBy("c", "conv_id", "leaf", "rank")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "role", "text"))).alias("turns"))
     )

@@ -9,17 +9,23 @@ keeps its smallest hash; merge() drops such a guard where it is not needed.
 A text of 1 to 4 words has its whole sequence as one shingle; one without words has the
 empty sketch, and two empty sketches are alike (1.0). A null text is an empty one.
 
-The next document in descending doc_id is found without a global sort: rows go to
-buckets of doc_id cut at quantiles, a window leads inside each bucket, and the last row
-of a bucket takes the first of the next non-empty one. Rows without doc_id come last,
-ties follow the hash of the text. Texts are shuffled once.
+The next document in descending doc_id is found without a global sort: rows go to as many
+buckets of doc_id as there are shuffle partitions, cut at quantiles as a range partitioner
+does; a window leads inside each bucket, and the last row of a bucket takes the first of
+the next non-empty one, whose key was found on narrow columns. A doc_id that fills several
+buckets, or rows without one, is cut on by the hash of the text. Rows without doc_id come
+last, ties follow the hash of the text; equal rows are any order. A doc_id that is no number
+is ordered by its hash. Texts are shuffled once, and each is sketched once, behind that shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quillspark.llm._shared import partitions, sha256_hex, table
 
@@ -70,49 +76,67 @@ def to_string(s: Column) -> Column:
     return F.array_join(s.cast("array<string>"), " ")
 
 
-def _bucket(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are below key, by binary search."""
+def _bucket(key: Column, tie: Column, cuts: list[int]) -> Column:
+    """How many cuts are below (key, tie), by binary search among the distinct ones. A cut
+    that occurs several times divides the rows of its key evenly by their tie."""
     if not cuts:
         return F.lit(0).cast("long")
-    array = F.lit(cuts) if len(cuts) > 1 else F.array(F.lit(cuts[0]))
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    values = sorted(set(cuts))
+    array = lambda x: F.lit(x) if len(x) > 1 else F.array(F.lit(x[0]))
+    at, before, times = array(values), array([bisect.bisect_left(cuts, v) for v in values] + [len(cuts)]), array([cuts.count(v) for v in values] + [1])
+    steps = F.sequence(F.lit(1), F.lit(len(values).bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(values)).alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
-        above = F.coalesce(F.get(array, mid) < key, F.lit(False))
+        above = F.coalesce(F.get(at, mid) < key, F.lit(False))
         open_ = acc["lo"] < acc["hi"]
         return F.struct(F.when(open_ & above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~above, mid).otherwise(acc["hi"]).alias("hi"))
 
-    return F.aggregate(steps, start, halve, lambda acc: acc["lo"].cast("long"))
+    def place(i: Column) -> Column:
+        # the share of the 2**63 values of tie that lie below
+        share = F.floor(tie / F.lit(float(1 << 63)) * F.get(times, i)).cast("long")
+        inside = F.least(share, F.get(times, i).cast("long") - 1)
+        return F.get(before, i).cast("long") + F.when(F.coalesce(F.get(at, i) == key, F.lit(False)), inside).otherwise(F.lit(0).cast("long"))
+
+    return _bind(F.aggregate(steps, start, halve, lambda acc: acc["lo"]), place)
+
+
+def order_key(docs: DataFrame, key: str) -> Column:
+    """A long that orders key; null is least."""
+    kind = docs.schema[key].dataType
+    number = F.col(key).cast("long") if isinstance(kind, NumericType) else F.xxhash64(key)
+    return F.when(F.col(key).isNull(), F.lit(-(1 << 63))).otherwise(number)
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], per_bucket: int = 20_000) -> DataFrame:
-    """docs (columns key and carried) with next_<column> for each carried column: its
-    value in the next row in descending key, in the first row after the last one.
-    The driver sees one quantile and one key for each bucket, never a row's content."""
+def with_next(docs: DataFrame, key: str) -> DataFrame:
+    """docs (columns key and text) with sketch, next_text and next_sketch: those of the next
+    row in descending key, in the first row after the last one. The driver sees one
+    quantile and one key for each bucket, never a row's content."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
-    buckets = max(partitions(spark), docs.count() // per_bucket)
-    shares = [i / buckets for i in range(1, buckets)]
+    keyed = docs.withColumn("__key", order_key(docs, key)).withColumn("__tie", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)))
+    buckets = partitions(spark)
     cuts = []
-    if shares:
+    if buckets > 1:
+        shares = [i / buckets for i in range(1, buckets)]
         cuts = keyed.agg(F.percentile_approx("__key", F.array(*map(F.lit, shares)), F.lit(max(10_000, 10 * buckets)))).first()[0]
-    rows = keyed.withColumn("__bucket", _bucket(F.col("__key"), sorted({int(c) for c in cuts or []}))).withColumn("__tie", F.xxhash64(*carried))
-    inside = Window.partitionBy("__bucket").orderBy(F.desc("__key"), F.desc("__tie"))
-    led = rows.withColumn("__next", F.lead(F.struct(*carried)).over(inside))
-    heads = sorted((r["b"], r["k"]) for r in rows.groupBy(F.col("__bucket").alias("b")).agg(F.max("__key").alias("k")).collect())
-    if not heads:
-        return led.select(*docs.columns, *[F.col("__next")[c].alias(f"next_{c}") for c in carried])
-    # a bucket's first row follows the last one of the next higher bucket
-    after = [b for b, _ in heads[1:]] + [heads[0][0]]
-    small = spark.createDataFrame(pa.table({"__key": [k for _, k in heads], "__for": after}))
-    first = rows.join(F.broadcast(small), "__key")  # one pair for each bucket
-    first = first.withColumn("__n", F.row_number().over(Window.partitionBy("__for").orderBy(F.desc("__tie")))).where("__n = 1")
-    first = first.select(F.col("__for").alias("__bucket"), F.struct(*carried).alias("__head"))
-    joined = led.join(first.hint("merge"), "__bucket", "left")
-    following = F.coalesce("__next", "__head")
-    return joined.select(*docs.columns, *[following[c].alias(f"next_{c}") for c in carried])
+    rows = keyed.withColumn("__bucket", _bucket(F.col("__key"), F.col("__tie"), sorted(int(c) for c in cuts or [])))
+    top = F.max(F.struct("__key", "__tie")).alias("top")
+    heads = sorted((r["b"], r["top"]["__key"], r["top"]["__tie"]) for r in rows.groupBy(F.col("__bucket").alias("b")).agg(top).collect())
+    order = [F.desc("__key"), F.desc("__tie")]
+    dealt = rows.repartition(buckets, "__bucket").sortWithinPartitions("__bucket", *order).withColumn("sketch", sketch(F.col("text")))
+    led = dealt.withColumn("__next", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("__bucket").orderBy(*order)))
+    following = F.col("__next")
+    if heads:
+        # a bucket's first row follows the last one of the next higher bucket
+        after = [b for b, _, _ in heads[1:]] + [heads[0][0]]
+        small = spark.createDataFrame(pa.table({"__key": [k for _, k, _ in heads], "__tie": [t for _, _, t in heads], "__for": after}))
+        # one row for each bucket, as many as shuffle partitions
+        first = keyed.join(F.broadcast(small), ["__key", "__tie"]).groupBy(F.col("__for").alias("__bucket")).agg(F.min("text").alias("__text"))
+        first = first.withColumn("__head", F.struct(F.col("__text").alias("text"), sketch(F.col("__text")).alias("sketch"))).drop("__text")
+        led = led.join(first.hint("merge"), "__bucket", "left")
+        following = F.coalesce("__next", "__head")
+    return led.select(*docs.columns, "sketch", following["text"].alias("next_text"), following["sketch"].alias("next_sketch"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -122,7 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(fingerprints(docs), "doc_id", ["text", "sketch"])
+    rows = with_next(docs, "doc_id")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))

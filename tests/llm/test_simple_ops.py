@@ -176,7 +176,9 @@ def test_reply_trees(spark):
     rows.append((None, 0, 99, "assistant", "orphan", None))
     parents[None, 0] = None
     messages = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double")
-    got = {(r["c"], r["leaf"], r["node"], r["distance"]) for r in chat_formatting.reply_paths(messages).collect()}
+    nodes, tables = chat_formatting.forest(chat_formatting.messages_of(messages).select("c", "node", "parent", "score"))
+    every = chat_formatting.best_leaves(nodes, tables, 1 << 30)
+    got = {(r["c"], r["leaf"], r["node"], r["distance"]) for r in chat_formatting.reply_paths(every, tables).collect()}
     want, best = set(), {}
     inner = {(c, p) for (c, _), p in parents.items() if p is not None}
     for c, leaf in parents:
@@ -212,7 +214,7 @@ def test_chat_query(spark, sf):
 def test_fingerprints(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(1000, None), (1001, "one two"), (2000, "one two"), (-5, "")]
     docs = frame(spark, rows).select("doc_id", "text")
-    led = fingerprints.with_next(fingerprints.fingerprints(docs.na.fill("")), "doc_id", ["text", "sketch"], per_bucket=20)
+    led = fingerprints.with_next(docs.na.fill(""), "doc_id")
     order = sorted(rows, key=lambda r: -r[0])
     follows = {i: (order[(k + 1) % len(order)][1] or "") for k, (i, _) in enumerate(order)}
     got = led.collect()
@@ -224,7 +226,7 @@ def test_fingerprints(spark, sf):
         w = WORD.findall(text[i])
         n = len({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
         assert abs(len(of[i]) - n / 4) < 6 * (n * 3 / 16) ** 0.5 + 2
-    assert fingerprints.with_next(fingerprints.fingerprints(docs.limit(0)), "doc_id", ["text", "sketch"]).count() == 0
+    assert fingerprints.with_next(docs.limit(0), "doc_id").count() == 0
 
 
 def test_fingerprint_query(spark, sf):
