@@ -9,8 +9,8 @@ keeps its smallest hash; merge() drops such a guard where it is not needed.
 A text of 1 to 4 words has its whole sequence as one shingle; one without words has the
 empty sketch, and two empty sketches are alike (1.0). A null text is an empty one.
 
-The next document in descending doc_id is found without a global sort: rows go to as many
-buckets of doc_id as there are shuffle partitions, cut at quantiles as a range partitioner
+The next document in descending doc_id is found without a global sort: rows go to
+buckets of doc_id, a few for each shuffle partition, cut at quantiles as a range partitioner
 does; a window leads inside each bucket, and the last row of a bucket takes the first of
 the next non-empty one, whose key was found on narrow columns. A doc_id that fills several
 buckets, or rows without one, is cut on by the hash of the text. Rows without doc_id come
@@ -115,7 +115,8 @@ def with_next(docs: DataFrame, key: str) -> DataFrame:
     quantile and one key for each bucket, never a row's content."""
     spark = docs.sparkSession
     keyed = docs.withColumn("__key", order_key(docs, key)).withColumn("__tie", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)))
-    buckets = partitions(spark)
+    parts = partitions(spark)
+    buckets = 8 * parts  # several for each partition, so that they are dealt out evenly
     cuts = []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
@@ -124,7 +125,7 @@ def with_next(docs: DataFrame, key: str) -> DataFrame:
     top = F.max(F.struct("__key", "__tie")).alias("top")
     heads = sorted((r["b"], r["top"]["__key"], r["top"]["__tie"]) for r in rows.groupBy(F.col("__bucket").alias("b")).agg(top).collect())
     order = [F.desc("__key"), F.desc("__tie")]
-    dealt = rows.repartition(buckets, "__bucket").sortWithinPartitions("__bucket", *order).withColumn("sketch", sketch(F.col("text")))
+    dealt = rows.repartition(parts, "__bucket").sortWithinPartitions("__bucket", *order).withColumn("sketch", sketch(F.col("text")))
     led = dealt.withColumn("__next", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("__bucket").orderBy(*order)))
     following = F.col("__next")
     if heads:

@@ -220,16 +220,17 @@ def repeated_anchors(docs: DataFrame, parts: int, window: int) -> DataFrame:
     return by_key(packed.repartitionById(parts, "part").mapInArrow(reduce, PACKED), parts)
 
 
-def repeated_seeds(keyed: DataFrame, anchors: DataFrame, parts: int, window: int) -> DataFrame:
+def repeated_seeds(known: DataFrame, parts: int, window: int) -> DataFrame:
     """(key, a, b): for each text the positions of its windows that also start elsewhere (upper
     half of a), each with the address (lower half) and the block (b) of one other place.
-    keyed: text, key."""
+    known: text among other columns, last its hash and its repeated anchors."""
+    column, at_key, at_anchors = known.columns.index("text"), len(known.columns) - 2, len(known.columns) - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            keys = batch.column(1).to_numpy()
-            for a, b, data, offsets in text_blocks(batch.column(0)):
+            keys = batch.column(at_key).to_numpy()
+            for a, b, data, offsets in text_blocks(batch.column(column)):
                 words = words_of(data, offsets)
                 at, h, anchor, _ = seeds(words, window)
                 if not len(at):
@@ -238,7 +239,7 @@ def repeated_seeds(keyed: DataFrame, anchors: DataFrame, parts: int, window: int
                 chosen = np.zeros(len(at), bool)
                 for d in range(b - a):
                     if first[d] < first[d + 1]:
-                        wanted = np.frombuffer(batch.column(2)[a + d].as_buffer(), np.uint64)
+                        wanted = np.frombuffer(batch.column(at_anchors)[a + d].as_buffer(), np.uint64)
                         chosen[first[d] : first[d + 1]] = hits(wanted, anchor[first[d] : first[d + 1]])
                 doc = words.doc[at[chosen]]
                 held.append((h[chosen], keys[a + doc], at[chosen] - words.first[doc]))
@@ -256,8 +257,7 @@ def repeated_seeds(keyed: DataFrame, anchors: DataFrame, parts: int, window: int
             keys, hashes, positions = _unpacked(groups.popitem()[1], np.uint64, np.uint32)
             yield from seed_batch(hashes, keys, positions, parts, False)
 
-    rows = keyed.join(anchors, "key").select("text", "key", "a")
-    return by_key(rows.mapInArrow(emit, PACKED).repartitionById(parts, "part").mapInArrow(reduce, PACKED), parts)
+    return by_key(known.mapInArrow(emit, PACKED).repartitionById(parts, "part").mapInArrow(reduce, PACKED), parts)
 
 
 def parse(places: np.ndarray, blocks: np.ndarray, window: int) -> np.ndarray:
@@ -284,12 +284,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     deduped (the words that stay, joined by one space)."""
     docs = docs.drop(*ADDED)
     parts, names = partitions(docs.sparkSession), docs.columns
-    keyed = docs.select("text", F.xxhash64("text").alias("key")).where("text is not null")
-    anchors = staged(repeated_anchors(keyed, parts, window), "anchors")
-    # both joins deal the texts out by their hash alike
-    found = repeated_seeds(keyed, anchors.select("key", "a"), parts, window)
+    anchors = staged(repeated_anchors(docs.select("text", F.xxhash64("text").alias("key")), parts, window), "anchors")
     key, same, a, b = (unused(docs, x) for x in ("key", "same", "a", "b"))
-    joined = docs.withColumn(key, F.xxhash64("text")).join(found.toDF(same, a, b), F.col(key) == F.col(same), "left").select(*names, a, b)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    # both joins deal the same columns out by the texts' hash, so they are shuffled once
+    known = keyed.join(anchors.select(F.col("key").alias(same), F.col("a").alias(a)), F.col(key) == F.col(same)).select(*names, key, a)
+    found = repeated_seeds(known, parts, window)
+    joined = keyed.join(found.toDF(same, a, b), F.col(key) == F.col(same), "left").select(*names, a, b)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
