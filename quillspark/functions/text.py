@@ -7,30 +7,37 @@ from pyspark.sql import functions as F
 
 KEYWORD = "[\\u4e00-\\u9fff]{2,}|[A-Za-z0-9_]{2,}"
 TERM = "[\\u4e00-\\u9fff]|[a-z0-9_]+"
-#: The characters that number and close a heading.
-NUMERAL = "0-9一二三四五六七八九十百千万零〇两"
+#: The characters that number a heading, its units, what may stand before the
+#: first marker of a line, what may follow a marker, and what is stripped off a segment.
+NUMERAL = "0-9零一二三四五六七八九十百千万两〇"
 UNITS = "篇集章"
+BEFORE = " \t\n\r\u3000\"“”‘’《》【】[]()（）-"
+AFTER = " \t\u3000\n\r-—~·•|/（）()[]【】《》<>:：,，.。!?！？;；\"“”'‘’第"
+STRIPPED = " \u3000-—~·•|/（）()[]【】《》<>"
 HEADING = f"第[{NUMERAL}]+[{UNITS}]"
-LEAD = "[\\s　\\[\\]【】（）()《》〈〉「」『』\"'“”‘’]*"
-AFTER = "[\\s　:：\\-—、.．·\\]】）)》〉」』]"
+
+
+def any_of(characters: str, negated: bool = False) -> str:
+    """A class of characters for a pattern."""
+    return "[" + "^" * negated + "".join("\\" + c if c in "\\[]^-&~" else c for c in characters) + "]"
 
 
 def normalize_line(line: Column) -> Column:
     """Trimmed, runs of Unicode white space as one space."""
-    return F.regexp_replace(F.regexp_replace(line, "(?U)\\s+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(line, "(?U)[\\s\\x1c-\\x1f]+", " "), "^ | $", "")
 
 
 def is_heading(line: Column, max_chars: int = 40) -> Column:
-    """A short line that opens with a numbered marker, each marker closed properly."""
-    shape = f"^{LEAD}{HEADING}(?=$|{AFTER})"
-    stray = f"{HEADING}(?!$|{AFTER})"
+    """A short line that opens with a numbered marker, each marker followed by a separator."""
+    line = normalize_line(line)
+    shape, stray = f"^{any_of(BEFORE)}*{HEADING}", f"{HEADING}{any_of(AFTER, True)}"
     return (F.length(line) > 0) & (F.length(line) <= max_chars) & line.rlike(shape) & ~line.rlike(stray)
 
 
 def heading_segments(line: Column) -> Column:
-    """The parts of a heading line, one for each marker."""
-    parts = F.filter(F.split(line, f"(?={HEADING})"), lambda x: x.rlike(f"^{HEADING}"))
-    return F.transform(parts, lambda x: F.regexp_replace(x, "(?U)^[\\s\\[\\]【】]+|[\\s\\[\\]【】]+$", ""))
+    """The parts of a heading line, one for each marker, without separators at their ends."""
+    parts = F.filter(F.split(normalize_line(line), f"(?={HEADING})"), lambda x: x.rlike(f"^{HEADING}"))
+    return F.transform(parts, lambda x: F.regexp_replace(x, f"^{any_of(STRIPPED)}+|{any_of(STRIPPED)}+$", ""))
 
 
 def sentences(text: Column, delimiters: str = "。！？\\n") -> Column:
@@ -123,3 +130,49 @@ def message_text(content: Column) -> Column:
 def join_ordered(order: Column, text: Column, separator: str) -> Column:
     """Aggregate: texts joined in the given order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda s: s["t"]), separator)
+
+
+#: One token: a CJK character, a run of other letters and digits, or any other character that is no space.
+TOKEN = "[\\u4e00-\\u9fff]|[A-Za-z0-9_]+|[^\\sA-Za-z0-9_\\u4e00-\\u9fff]"
+
+
+def token_length(text: Column) -> Column:
+    """Tokens by a fixed rule, the last of the counters of assist.token_lengths()."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))).cast("long")
+
+
+def to_double(value: Column) -> Column:
+    """A number, 0.0 where there is none."""
+    return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
+
+
+def answer_text(content: Column) -> Column:
+    """The text of a model's answer: a JSON list of parts (strings, or objects with a text), an
+    object with content or, without any, reasoning_content; any other text as it is."""
+    parts = F.from_json(content, "array<string>")
+    texts = F.transform(parts, lambda x: F.coalesce(F.get_json_object(x, "$.text"), F.when(x.startswith("{"), F.lit("")).otherwise(x)))
+    whole = F.coalesce(F.nullif(F.trim(F.get_json_object(content, "$.content")), F.lit("")), F.get_json_object(content, "$.reasoning_content"), F.lit(""))
+    start = F.trim(content)
+    return F.trim(F.when(start.startswith("["), F.coalesce(F.array_join(texts, ""), content)).when(start.startswith("{"), whole).otherwise(F.coalesce(content, F.lit(""))))
+
+
+#: Texts that stand for a summary that could not be made.
+FAILED = ("无法生成", "生成失败", "内容缺失")
+
+
+def failed_summary(summary: Column) -> Column:
+    """Blank, or a stand-in for a summary."""
+    found = F.trim(F.coalesce(summary, F.lit(""))) == ""
+    for text in FAILED:
+        found = found | F.coalesce(summary, F.lit("")).contains(text)
+    return found
+
+
+def event_id(*columns: Column) -> Column:
+    """An id of a turn, the same for equal columns."""
+    return F.concat(F.lit("evt_"), F.substring(F.sha2(F.concat_ws("\u001f", *columns), 256), 1, 8))
+
+
+def contexts(text: Column, separator: str = "\n---\n") -> Column:
+    """The blocks of a retrieved text that are not blank, trimmed."""
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""))), lambda x: x != "")

@@ -88,7 +88,7 @@ def partition(edges: DataFrame, nodes: DataFrame, max_size: int, step: float, ma
     both = edges.where("a <> b").select("a", "b", "weight")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     work = nodes.select("node", F.lit("").alias("parent"), F.lit(1.0).alias("resolution"), F.lit(-1).cast("long").alias("whole")).distinct()
-    done = None
+    done, whole = None, nodes.count()
     while True:
         labels = _moves(both, work, rounds)
         sizes = labels.groupBy("parent", "label").agg(F.count("*").alias("n"), F.min("node").alias("community"))
@@ -103,7 +103,7 @@ def partition(edges: DataFrame, nodes: DataFrame, max_size: int, step: float, ma
         if rest.isEmpty():
             return cut(done)
         # one division of the whole set counts as useless where all nodes stayed together
-        useless = F.col("n") == F.when(F.col("whole") < 0, nodes.count()).otherwise(F.col("whole"))
+        useless = F.col("n") == F.when(F.col("whole") < 0, whole).otherwise(F.col("whole"))
         raised = F.col("resolution") + F.lit(step) * F.when(useless, 2).otherwise(1)
         work = rest.select("node", F.col("community").alias("parent"), raised.alias("resolution"), F.col("n").alias("whole"))
 
@@ -117,8 +117,9 @@ def _moves(both: DataFrame, work: DataFrame, rounds: int) -> DataFrame:
     degree = inside.groupBy("parent", F.col("a").alias("node")).agg(F.sum("weight").cast("double").alias("k"))
     total = degree.groupBy("parent").agg(F.sum("k").alias("m2"))
     scale = (F.col("resolution") / F.col("m2")).alias("g")
+    still = 0
     state = cut(degree.join(total, "parent").join(work, ["parent", "node"]).select("parent", "node", "k", scale, F.col("node").alias("label")))
-    for turn in range(rounds * 2):
+    for turn in range(rounds * 2):  # half of the nodes at a time; ends early where none of two halves moved
         mass = state.groupBy("parent", "label").agg(F.sum("k").alias("kl"))
         seen = state.select("parent", F.col("node").alias("b"), "label")
         votes = inside.join(seen, ["parent", "b"]).groupBy("parent", F.col("a").alias("node"), "label").agg(F.sum("weight").cast("double").alias("w"))
@@ -132,7 +133,11 @@ def _moves(both: DataFrame, work: DataFrame, rounds: int) -> DataFrame:
             F.min_by("label", F.struct((-gain).alias("x"), F.col("label").alias("y"))).alias("best"), F.first("k").alias("k"), F.first("g").alias("g"), F.first("now").alias("now")
         )
         turns = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        state = cut(best.select("parent", "node", "k", "g", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("label")))
+        state = cut(best.select("parent", "node", "k", "g", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("label"), (turns & (F.col("best") != F.col("now"))).alias("moved")))
+        still = still + 1 if state.where("moved").isEmpty() else 0
+        state = state.drop("moved")
+        if still == 2:
+            break
     return work.join(state.select("parent", "node", "label"), ["parent", "node"], "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -178,7 +183,7 @@ def summaries(hierarchy: DataFrame, nodes: DataFrame, edges: DataFrame, model=as
     for level in range((levels if levels is not None else -1) + 1):
         if level:
             below = out.select(F.col("community_id").alias("member"), F.concat_ws(" ", "community_id", "summary").alias("line"))
-            lines = tree.where(F.col("level") == level).join(below, "member").select("community_id", F.lit(0).alias("o"), "line")
+            lines = tree.where(F.col("level") == level).join(below, "member", "left").select("community_id", F.lit(0).alias("o"), F.coalesce("line", F.concat_ws(" ", "member", F.lit(""))).alias("line"))
         content = lines.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda s: s["line"]).alias("content"))
         made = cut(assist.summarize(content, model).withColumn("level", F.lit(level)))
         out = made if out is None else out.unionByName(made)

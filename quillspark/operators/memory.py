@@ -59,3 +59,44 @@ def eval_scores(turns: DataFrame) -> DataFrame:
     context holds, 0 for an empty answer."""
     a, c = F.array_distinct(terms(F.col("answer"))), F.array_distinct(terms(F.col("context")))
     return turns.select("id", F.when(F.size(a) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(a, c)) / F.size(a), 6)).alias("faithfulness"))
+
+
+def profile_text(kv: DataFrame) -> DataFrame:
+    """(user, profile): a line `key: value` for each key of a user, in their order."""
+    return kv.groupBy("user").agg(join_ordered(F.col("key"), F.concat_ws(": ", "key", F.col("value").cast("string")), "\n").alias("profile"))
+
+
+def message_list(turns: DataFrame, system: str) -> DataFrame:
+    """turns (id, history array<struct<role,text>>, query) with messages: system, history, user."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    history = F.coalesce(F.transform("history", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))), F.array().cast("array<struct<role:string,text:string>>"))
+    return turns.withColumn("messages", F.concat(F.array(message("system", F.lit(system))), history, F.array(message("user", F.col("query")))))
+
+
+def context_precision(turns: DataFrame, useful: float = 0.5) -> DataFrame:
+    """Offline score of (id, answer, contexts array<string>): a context is useful if it holds
+    that share of the answer's terms; the mean of the precision at each useful place, 0
+    without one."""
+    a = F.array_distinct(terms(F.col("answer")))
+    share = lambda c: F.size(F.array_intersect(a, F.array_distinct(terms(F.coalesce(c, F.lit("")))))) / F.greatest(F.size(a), F.lit(1))
+    rows = turns.select("id", F.transform("contexts", lambda c: F.when(share(c) >= useful, 1).otherwise(0)).alias("v"))
+    at = F.transform("v", lambda x, i: x * F.aggregate(F.slice("v", 1, i + 1), F.lit(0), lambda s, y: s + y) / (i + 1))
+    n = F.aggregate("v", F.lit(0), lambda s, y: s + y)
+    return rows.select("id", F.when(n > 0, F.round(F.aggregate(at, F.lit(0.0), lambda s, y: s + y) / n, 6)).otherwise(0.0).alias("context_precision"))
+
+
+def judged(score: DataFrame, again: DataFrame) -> DataFrame:
+    """(id, score): where the first judgement is NaN or missing the second, else 0."""
+    second = again.select("id", F.col("score").alias("__s"))
+    first = F.when(~F.isnan("score"), F.col("score"))
+    return score.join(second, "id", "left").select("id", F.coalesce(first, F.when(~F.isnan("__s"), F.col("__s")), F.lit(0.0)).alias("score"))
+
+
+def log_record(turns: DataFrame) -> DataFrame:
+    """Records of (id, query, answer, faithfulness, context_precision) for the evaluation log; an
+    answer of tool calls only has a fixed reply."""
+    reply = F.coalesce(F.nullif(F.trim("answer"), F.lit("")), F.lit(DEFAULT_REPLY))
+    return turns.select("id", F.current_timestamp().alias("at"), "query", reply.alias("answer"), F.nanvl("faithfulness", F.lit(0.0)).alias("faithfulness"), F.nanvl("context_precision", F.lit(0.0)).alias("context_precision"))
+
+
+DEFAULT_REPLY = "操作已完成。"

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import models
 from quillspark.functions import text as T
-from quillspark.operators import assist, chunking, graph, memory, retrieval, webhook
+from quillspark.operators import assist, chunking, graph, index, memory, retrieval, webhook
 from quillspark.sources.readers import table
+from quillspark.sources.staging import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,7 +96,7 @@ sparse AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS
 
 @register("bm25_topk", f"WITH {BM25} SELECT id, score, rank FROM sparse")
 def bm25_topk(spark, d):
-    return retrieval.bm25_topk(docs(spark, d), query_words(spark, d), 60)
+    return index.bm25_topk(spark, index.of(docs(spark, d)), query_words(spark, d), 60)
 
 
 #: The registered query sets: every row whose id is divisible by 20, against all rows.
@@ -138,7 +139,7 @@ def bm25_topk_each(spark, d):
 
 @register("text_match_any", f"WITH {FIRST_WORDS} SELECT doc_id AS id FROM documents WHERE list_has_any({TERMS}, (SELECT list(w) FROM words))")
 def text_match_any(spark, d):
-    return retrieval.text_match(docs(spark, d), query_words(spark, d))
+    return index.text_match(spark, index.of(docs(spark, d)), query_words(spark, d))
 
 
 @register(
@@ -259,8 +260,13 @@ graph_list AS (SELECT chunk, round(max(score), 6) AS score, count(*) AS freq FRO
 
 @register("two_hop_evidence", f"WITH {EVIDENCE} SELECT chunk, score, freq FROM graph_list")
 def two_hop_evidence(spark, d):
+    """Only triples that touch a seed or a neighbour of one are merged."""
     seeds = table(spark, d, "customer").where("c_custkey between 1 and 8").select(F.col("c_custkey").alias("id"), (F.lit(1.0) / F.col("c_custkey")).alias("score"))
-    out = graph.evidence(graph.merge_edges(triples(spark, d)), seeds, 60)
+    rows = triples(spark, d)
+    ends = rows.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(rows.select(F.col("dst").alias("u"), F.col("src").alias("v")))
+    near = ends.join(F.broadcast(seeds.select(F.col("id").alias("u"))), "u").select("v").unionByName(seeds.select(F.col("id").alias("v"))).distinct()  # eight seeds
+    hit = rows.join(near.select(F.col("v").alias("src")), "src", "left_semi").unionByName(rows.join(near.select(F.col("v").alias("dst")), "dst", "left_semi"))
+    out = graph.evidence(graph.merge_edges(hit.select(rows.columns).distinct()), seeds, 60)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -278,29 +284,76 @@ def rrf_three_way(spark, d):
     return fused.orderBy(F.desc("rrf"), "first_list", "first_rank").limit(20).select("id", "rrf")
 
 
-@register(
-    "local_search",
-    f"""WITH {DENSE.format(where="", k=60)}, {BM25}, {FUSED.format(lists=TWO)}, cut AS (SELECT id, row_number() OVER (ORDER BY rrf DESC, seen) - 1 AS rank FROM fused ORDER BY rrf DESC, seen LIMIT 60),
-rescored AS (SELECT id, rank, round(len(list_intersect(list_distinct({TERMS}), (SELECT list(w) FROM words))) / CAST((SELECT count(*) FROM words) AS DOUBLE), 6) AS score FROM cut JOIN documents ON doc_id = id)
-SELECT id, score FROM rescored WHERE score >= 0.2 ORDER BY score DESC, rank LIMIT 10""",
-)
+def graph_list(spark: SparkSession, d: str) -> DataFrame:
+    g = two_hop_evidence(spark, d)
+    return g.select(F.col("chunk").alias("id"), (F.row_number().over(Window.orderBy(F.desc("score"), F.desc("freq"), "chunk")) - 1).alias("rank"))
+
+
+LOCAL = f"""{DENSE.format(where="", k=60)}, {BM25}, {EVIDENCE}, {FUSED.format(lists=THREE)},
+cut AS (SELECT id, row_number() OVER (ORDER BY rrf DESC, seen) - 1 AS rank FROM fused ORDER BY rrf DESC, seen LIMIT 60),
+rescored AS (SELECT id, rank, round(len(list_intersect(list_distinct({TERMS}), (SELECT list(w) FROM words))) / CAST((SELECT count(*) FROM words) AS DOUBLE), 6) AS score FROM cut JOIN documents ON doc_id = id),
+local_list AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, rank) - 1 AS pos FROM rescored WHERE score >= 0.2 ORDER BY score DESC, rank LIMIT 10)"""
+
+
+@register("local_search", f"WITH {LOCAL} SELECT id, score, pos FROM local_list")
 def local_search(spark, d):
+    """Dense, sparse and graph lists fused, cut, then re-ranked on the texts of what is left."""
     words = list(dict.fromkeys(w.lower() for w in query_words(spark, d)))
-    cut = retrieval.ranked(hybrid(spark, d), 60, F.desc("rrf"), F.asc("first_list"), F.asc("first_rank"))
-    found = docs(spark, d).join(F.broadcast(cut.select("id", "rank")), "id")  # 60 rows
-    return retrieval.rerank(found, retrieval.overlap_score(F.col("text"), words)).select("id", "score")
+    fused = retrieval.fuse([(dense_topk(spark, d), 1.0), (bm25_topk(spark, d), 1.0), (graph_list(spark, d), 2.0)]).withColumn("rrf", F.round("rrf", 6))
+    first = retrieval.ranked(fused, 60, F.desc("rrf"), F.asc("first_list"), F.asc("first_rank"))
+    found = docs(spark, d).join(F.broadcast(first.select("id", "rank")), "id")  # 60 rows
+    best = retrieval.rerank(found, retrieval.overlap_score(F.col("text"), words))
+    return best.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "rank")) - 1).select("id", "score", "pos")
 
 
-@register(
-    "memory_search",
-    f"""WITH {FIRST_WORDS} SELECT conv_id, score FROM (SELECT conv_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(string_agg(text, ' ')), '[a-z0-9_]+')), (SELECT list(w) FROM words))) / CAST((SELECT count(*) FROM words) AS DOUBLE), 6) AS score
-FROM conversations WHERE role = 'user' GROUP BY conv_id) ORDER BY score DESC, conv_id LIMIT 7""",
-)
+#: Memories: the documents that have an embedding, as summaries of turns.
+MEMORIES = f"""mtoks AS (SELECT doc_id AS id, {TERMS} AS t FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+mstats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM mtoks),
+mtf AS (SELECT id, dl, w, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM mtoks) x JOIN words ON w = term GROUP BY id, dl, w),
+mdf AS (SELECT w, count(*) AS df FROM mtf GROUP BY w),
+mscored AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM mtf JOIN mdf USING (w) CROSS JOIN mstats GROUP BY id),
+msparse AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM mscored ORDER BY score DESC, id LIMIT 60),
+mfused AS (SELECT id, round(sum(w / (60 + rank + 1)), 6) AS rrf, min(list * 1000000 + rank) AS seen FROM (SELECT id, rank, 0 AS list, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT id, rank, 1, 1.0::DOUBLE FROM msparse) GROUP BY id),
+memory_list AS (SELECT id, row_number() OVER (ORDER BY rrf DESC, seen) - 1 AS pos FROM mfused ORDER BY rrf DESC, seen LIMIT 3)"""
+
+
+def memory_list(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Dense and sparse lists of the memories, fused, without re-ranking: (id, pos)."""
+    own = docs(spark, d).join(vectors(spark, d).select("id"), "id", "left_semi")
+    sparse = index.bm25_topk(spark, index.of(own, "memories"), query_words(spark, d), 60)
+    fused = retrieval.fuse([(dense_topk(spark, d), 1.0), (sparse, 1.0)]).withColumn("rrf", F.round("rrf", 6))
+    return retrieval.ranked(fused, k, F.desc("rrf"), F.asc("first_list"), F.asc("first_rank")).select("id", F.col("rank").alias("pos"))
+
+
+def summary_list(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The community summaries (nations) nearest to the query: (id, pos)."""
+    own = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")).join(vectors(spark, d).select("id", "vector"), "id")
+    return retrieval.dense_topk(own, probe(spark, d), k).select("id", F.col("rank").alias("pos"))
+
+
+SUMMARIES = """summary_list AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS pos FROM (
+  SELECT n_nationkey AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM nation JOIN embeddings ON vec_id = n_nationkey) ORDER BY score DESC, id LIMIT 7)"""
+
+
+def searches(spark: SparkSession, d: str) -> dict:
+    """What the dispatcher searches; texts are ids here."""
+    text = lambda df: df.select("pos", F.col("id").cast("string").alias("text"))
+    return {
+        "local": lambda k: text(local_search(spark, d).where(F.col("pos") < k)),
+        "global": lambda k: text(summary_list(spark, d, k)),
+        "memory": lambda k: text(memory_list(spark, d, k)),
+        "user_graph": lambda k: user_graph_recall(spark, d).select(F.col("rank").alias("pos"), F.concat(F.lit("m"), "id").alias("text")).where(F.col("pos") < k),
+    }
+
+
+@register("memory_search", f"WITH {LOCAL}, {MEMORIES} SELECT 0 AS section_no, 'memories' AS section, pos, id::VARCHAR AS text FROM memory_list UNION ALL SELECT 1, 'related', pos, id::VARCHAR FROM local_list WHERE pos < 7")
 def memory_search(spark, d):
-    words = list(dict.fromkeys(w.lower() for w in query_words(spark, d)))
-    turns = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(T.join_ordered(F.col("turn"), F.col("text"), " ").alias("text"))
-    scored = turns.select("conv_id", F.round(retrieval.overlap_score(F.col("text"), words), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "conv_id").limit(7)
+    return retrieval.dispatch("memory", [], searches(spark, d))
+
+
+@register("global_search", f"WITH {LOCAL}, {SUMMARIES} SELECT 0 AS section_no, 'summaries' AS section, pos, id::VARCHAR AS text FROM summary_list UNION ALL SELECT 1, 'details', pos, id::VARCHAR FROM local_list WHERE pos < 3")
+def global_search(spark, d):
+    return retrieval.dispatch("GLOBAL", ["someone"], searches(spark, d))
 
 
 SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
@@ -426,26 +479,48 @@ def eval_scores(spark, d):
     return out.select("id.conv_id", "id.turn", "faithfulness")
 
 
-@register("heading_fill", "SELECT * FROM (VALUES (1, '第一篇 甲', '第一集 乙', '第一章 丙', '正文一' || chr(10) || '正文二'), (2, '第一篇 甲', '第一集 乙', '第二章', ''), (3, '第一篇 甲', '第一集 乙', '第三章 丁', '第三章里'), (4, '第二篇', '', '第一章 戊', '尾')) t(chapter_no, pian, ji, zhang, content)")
+#: Lines put among those of the documents, by (line number + doc_id) % 13.
+PLANTED = {0: "第一篇 甲", 1: "第一集《雪》", 2: "第一章（上）", 4: "第三章，起 第四章 丁 -", 5: "第一篇中", 6: "第五章、甲", 7: "-第六章 甲·", 9: "第一篇第一集 甲", 10: "第七章|甲", 11: "【第八章】 ~末"}
+_MARK = f"第[{T.NUMERAL}]+[{T.UNITS}]"
+_Q = lambda text: text.replace("'", "''")
+CHAPTERS = rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+n AS (SELECT doc_id, line_no, trim(regexp_replace(CASE (line_no + doc_id) % 13 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in PLANTED.items())} ELSE l END, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g')) AS norm FROM l),
+h AS (SELECT *, length(norm) <= 40 AND regexp_matches(norm, '^{_Q(T.any_of(T.BEFORE))}*{_MARK}') AND NOT regexp_matches(norm, '{_MARK}{_Q(T.any_of(T.AFTER, True))}') AS h FROM n WHERE norm <> ''),
+g AS (SELECT *, CASE WHEN h THEN list_transform(string_split(regexp_replace(norm, '({_MARK})', chr(1) || '\1', 'g'), chr(1))[2:], lambda x: trim(x, '{_Q(T.STRIPPED)}')) ELSE [norm] END AS segs FROM h),
+u AS (SELECT doc_id, line_no, h, unnest(segs) AS seg, generate_subscripts(segs, 1) AS seg_no FROM g),
+v AS (SELECT *, CASE WHEN h THEN regexp_extract(seg, '^第[{T.NUMERAL}]+([{T.UNITS}])', 1) END AS unit FROM u),
+c AS (SELECT *, count(*) FILTER (unit = '篇') OVER w AS p, count(*) FILTER (unit = '集') OVER w AS j, count(*) FILTER (unit = '章') OVER w AS z FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY line_no, seg_no ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, last_value(CASE WHEN unit = '篇' THEN seg END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no, seg_no ROWS UNBOUNDED PRECEDING) AS pian,
+  last_value(CASE WHEN unit = '集' THEN seg END IGNORE NULLS) OVER (PARTITION BY doc_id, p ORDER BY line_no, seg_no ROWS UNBOUNDED PRECEDING) AS ji,
+  last_value(CASE WHEN unit = '章' THEN seg END IGNORE NULLS) OVER (PARTITION BY doc_id, p, j ORDER BY line_no, seg_no ROWS UNBOUNDED PRECEDING) AS zhang FROM c)
+SELECT doc_id, z AS chapter_no, coalesce(min(pian), '') AS pian, coalesce(min(ji), '') AS ji, min(zhang) AS zhang, sha256(coalesce(string_agg(seg, chr(10) ORDER BY line_no) FILTER (NOT h), '')) AS content FROM r WHERE zhang IS NOT NULL GROUP BY doc_id, z"""
+
+
+@register("heading_fill", CHAPTERS)
 def heading_fill(spark, d):
-    texts = ["序言", "第一篇 甲 第一集 乙 第一章 丙", " 正文一　", "", "正文二", "第二章", "第三章 丁", "第三章里", "第二篇", "篇首", "第一章 戊", "尾"]
-    one = spark.range(1).select(F.lit("n").alias("doc"), F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("line_no", "line"))
-    return chunking.chapters(one).select(F.col("chapter_no").cast("int").alias("chapter_no"), "pian", "ji", "zhang", "content")
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    line = F.coalesce(F.get(F.array(*[F.lit(PLANTED.get(i)) for i in range(13)]), ((F.col("line_no") + F.col("doc_id")) % 13).cast("int")), "line")
+    out = chunking.chapters(rows.select(F.col("doc_id").alias("doc"), "line_no", line.alias("line")))
+    return out.select(F.col("doc").alias("doc_id"), "chapter_no", "pian", "ji", "zhang", F.sha2("content", 256).alias("content"))
 
 
-@register("json_parse_tolerant", "SELECT * FROM (VALUES (0, 1, 1, '人'), (1, 1, 0, '未知'), (2, 0, 0, ''), (3, 0, 0, '')) t(i, nodes, edges, type)")
+@register(
+    "json_parse_tolerant",
+    """SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN 1 ELSE 0 END AS nodes, CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END AS edges, CASE turn % 4 WHEN 0 THEN '未知' WHEN 1 THEN role ELSE '' END AS type, CASE WHEN turn % 4 < 2 THEN 'c' || conv_id ELSE '' END AS id FROM conversations""",
+)
 def json_parse_tolerant(spark, d):
-    texts = [
-        'x ```json\n{"nodes":[{"id":"a","type":"人"},{"type":"b"}],"edges":[{"source":"a","target":"b","relation":"r"},{"source":"a"}]}\n``` y',
-        'so: {"nodes":[{"id":" a ","type":""}]} done', "no json {broken", "",
-    ]
-    rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("i", "t")).withColumn("g", T.parse_graph(F.col("t")))
-    return rows.select("i", F.size("g.nodes").alias("nodes"), F.size("g.edges").alias("edges"), F.coalesce(F.get(F.col("g.nodes.type"), F.lit(0)), F.lit("")).alias("type"))
+    c = table(spark, d, "conversations")
+    fenced = F.format_string('x ```json\n{"nodes":[{"id":" c%d ","type":""},{"type":"b"}],"edges":[{"source":"a","target":"b","relation":"r"},{"source":"a"}]}\n``` y', "conv_id")
+    bare = F.format_string('so: {"nodes":[{"id":"c%d","type":"%s"}]} done', "conv_id", "role")
+    answer = F.when(F.col("turn") % 4 == 0, fenced).when(F.col("turn") % 4 == 1, bare).when(F.col("turn") % 4 == 2, "no json {broken").otherwise("")
+    rows = c.withColumn("g", T.parse_graph(answer))
+    first = lambda name: F.coalesce(F.get(F.col(f"g.nodes.{name}"), F.lit(0)), F.lit("")).alias(name)
+    return rows.select("conv_id", "turn", F.size("g.nodes").alias("nodes"), F.size("g.edges").alias("edges"), first("type"), first("id"))
 
 
-@register("summary_gate", "SELECT i AS level FROM range(5) t(i) WHERE i < 2")
+@register("summary_gate", "SELECT doc_id, doc_id % 7 AS level FROM documents WHERE doc_id % 7 < (SELECT max(doc_id % 7) + 1 - 3 FROM documents)")
 def summary_gate(spark, d):
-    return graph.searchable(spark.range(5).select(F.col("id").alias("level")))
+    return graph.searchable(table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 7).alias("level")))
 
 
 @register(
@@ -471,17 +546,45 @@ def parts_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ends.select("node", F.when(F.col("node") < 10_000_000, "customer").otherwise("part").alias("type"), F.lit("").alias("description")), e
 
 
+_TREES: dict[tuple, DataFrame] = {}
+
+
+def tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hierarchy, nodes, edges); the hierarchy is stored once for an application and its tables."""
+    nodes, edges = parts_edges(spark, d)
+    key = (spark.sparkContext.applicationId, *sorted(edges.inputFiles()))
+    if key not in _TREES:
+        _TREES[key] = cut(graph.hierarchy(edges, nodes))
+    return _TREES[key], nodes, edges
+
+
 @register("community_hierarchy")
 def community_hierarchy(spark, d):
-    nodes, edges = parts_edges(spark, d)
-    return graph.hierarchy(edges, nodes)
+    return tree(spark, d)[0]
+
+
+@register(
+    "hierarchy_covers",
+    "SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT DISTINCT 10000000 + l_partkey FROM lineitem)) AS members, true AS once, true AS bounded, true AS nested",
+)
+def hierarchy_covers(spark, d):
+    """What holds for any hierarchy: level 0 has every node once, no community is over its
+    size, and every community but those of the last level is a member of the next."""
+    rows = tree(spark, d)[0]
+    low = rows.where("level = 0").agg(F.count("*").alias("members"), (F.count("*") == F.count_distinct("member")).alias("once"))
+    sizes = rows.groupBy("level", "community_id").agg(F.count("*").alias("n"))
+    most = F.when(F.col("level") == 0, graph.LEVELS[0][0]).otherwise(graph.LEVELS[1][0])
+    bounded = sizes.agg((F.count_if(F.col("n") > most) == 0).alias("bounded"))
+    above = rows.select((F.col("level") - 1).alias("level"), F.col("member").alias("community_id"))
+    last = rows.agg(F.max("level").alias("last"))  # one row, as the others below
+    lost = sizes.join(above, ["level", "community_id"], "left_anti").crossJoin(F.broadcast(last)).where("level < last").agg((F.count("*") == 0).alias("nested"))
+    return low.crossJoin(F.broadcast(bounded)).crossJoin(F.broadcast(lost))
 
 
 @register("community_summaries")
 def community_summaries(spark, d):
-    nodes, edges = parts_edges(spark, d)
-    tree = graph.hierarchy(edges, nodes)
-    return graph.searchable(graph.summaries(tree, nodes, edges))
+    rows, nodes, edges = tree(spark, d)
+    return graph.searchable(graph.summaries(rows, nodes, edges))
 
 
 @register(
@@ -494,7 +597,7 @@ def hierarchy_slices(spark, d):
     return graph.sliced(c.join(n, "community"), 7, 3).groupBy("community", "slice").agg(F.count("*").alias("nodes"))
 
 
-FIRST_LINE = "substr(trim(split_part(text, chr(10), 1), ' '), 1, 60)"
+FIRST_LINE = "trim(split_part(text, chr(10), 1), ' ')"
 
 
 @register(
@@ -529,33 +632,26 @@ def profile_write_back(spark, d):
     return out.select("id", "description", norm.cast("int").alias("with_vector"), F.col("all_descriptions").isNull().alias("cleared"))
 
 
-@register(
-    "user_graph_recall",
-    """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+RECALL = """q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
 sims AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS score FROM embeddings),
 near AS (SELECT id, score FROM sims ORDER BY score DESC, id LIMIT 8),
-refs AS (SELECT event_id % 400 AS id, max(score) AS s FROM events JOIN near ON near.id = CAST(floor(value) AS BIGINT) WHERE user_id % 3 = 0 GROUP BY ALL ORDER BY s DESC, id LIMIT 24)
-SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT sims.id, sims.score FROM sims SEMI JOIN refs ON refs.id = sims.id ORDER BY score DESC, id LIMIT 3)""",
-)
+refs AS (SELECT event_id % (SELECT count(*) FROM embeddings) AS id, max(score) AS s FROM events JOIN near ON near.id = CAST(floor(value) AS BIGINT) WHERE user_id % 3 = 0 GROUP BY ALL ORDER BY s DESC, id LIMIT 24),
+recall AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM (SELECT sims.id, sims.score FROM sims SEMI JOIN refs ON refs.id = sims.id ORDER BY score DESC, id LIMIT 3))"""
+
+
+@register("user_graph_recall", f"WITH {RECALL} SELECT id, rank FROM recall")
 def user_graph_recall(spark, d):
     v = vectors(spark, d)
     e = table(spark, d, "events").select(
-        F.when(F.col("user_id") % 3 == 0, "u").otherwise("other").alias("user"), F.floor("value").cast("long").alias("target"), F.lit("Agent_Memory").alias("created_by"), F.array(F.col("event_id") % 400).alias("evidence")
+        F.when(F.col("user_id") % 3 == 0, "u").otherwise("other").alias("user"), F.floor("value").cast("long").alias("target"), F.lit("Agent_Memory").alias("created_by"), F.array(F.col("event_id") % v.count()).alias("evidence")
     )
     memories = v.select("id", "vector", F.concat(F.lit("m"), "id").alias("summary"))
     return retrieval.user_graph_recall(e, memories, probe(spark, d), v, "u").select("id", "rank")
 
 
-@register(
-    "dispatch_local",
-    f"""WITH {DENSE.format(where='', k=60)} SELECT * FROM (
-  SELECT 0 AS section_no, 'chunks' AS section, rank AS pos, id::VARCHAR AS text FROM dense WHERE rank < 10 UNION ALL SELECT 1, 'user_graph', rank, 'm' || id FROM dense WHERE rank < 3)""",
-)
+@register("dispatch_local", f"WITH {LOCAL}, {RECALL} SELECT 0 AS section_no, 'chunks' AS section, pos, id::VARCHAR AS text FROM local_list UNION ALL SELECT 1, 'user_graph', rank, 'm' || id FROM recall")
 def dispatch_local(spark, d):
-    def search(prefix):
-        return lambda k: dense_topk(spark, d).where(F.col("rank") < k).select(F.col("rank").alias("pos"), F.concat(F.lit(prefix), F.col("id").cast("string")).alias("text"))
-
-    return retrieval.dispatch("local", ["[当前用户]"], {"local": search(""), "user_graph": search("m")})
+    return retrieval.dispatch("local", ["[当前用户]"], searches(spark, d))
 
 
 @register(

@@ -5,23 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df in the folder named by spark.checkpoint.dir, else in the context's
-    checkpoint folder, and reads it again, so that later plans see real sizes. In local mode
-    a folder of this machine serves where neither is set; on a cluster that is an error."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder named by spark.checkpoint.dir, else in the context's checkpoint
+    folder. In local mode a folder of this machine serves where neither is set; on a
+    cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not current.isDefined():
-            if not spark.sparkContext._jsc.sc().isLocal():
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context._jsc.sc().isLocal():
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get()
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df in the shared folder and reads it again, so that later plans see real sizes."""
+    path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
