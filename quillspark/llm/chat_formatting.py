@@ -99,9 +99,9 @@ def ancestors(nodes: DataFrame) -> list[DataFrame]:
     most = tables[0].groupBy("c").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
     while 1 << len(tables) - 1 < 2 * most and not tables[-1].where("up is not null").isEmpty():
         far = tables[-1].select("c", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("t"), F.col("length").alias("n"), F.col("low").alias("l"))
-        new = tables[-1].join(far, ["c", "up"], "left")
-        new = new.select("c", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("n", F.lit(0))).alias("length"), F.least("low", "l").alias("low"))
-        tables.append(staged(new, "ancestors"))
+        new = tables[-1].join(far, ["c", "up"])  # one row for each node that is not at its root yet
+        new = new.select("c", "node", F.col("far").alias("up"), (F.col("total") + F.col("t")).alias("total"), (F.col("length") + F.col("n")).alias("length"), F.least("low", "l").alias("low"))
+        tables.append(staged(tables[-1].where("up is null").unionByName(new), "ancestors"))
     return tables
 
 
