@@ -57,6 +57,28 @@ def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+#: Values that hold over this share of all rows are few enough to be broadcast: less than SHARE of them exist.
+SHARE = 1 << 14
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, found: str = "found", share: int = SHARE) -> DataFrame:
+    """rows with found, a struct of the other columns of small: a stored table with one row for
+    each value of key and n, how many rows have it; null where small has none.
+
+    Values with more than one of `share` rows are less than `share` in number at any size of the
+    tables, so these alone are broadcast. Their rows, and those whose key is null, are dealt
+    out by their place in the input; all others are shuffled by key."""
+    total = small.agg(F.sum("n")).first()[0] or 0
+    often, other = F.col("n") * share > F.lit(total), F.struct(*[c for c in small.columns if c != key])
+    hot = small.where(often).select(key, other.alias("__hot"))
+    cold = small.where(~often).select(key, F.lit(0).cast("long").alias("__salt"), other.alias("__cold"))
+    out = rows.join(F.broadcast(hot), key, "left")
+    apart = F.col("__hot").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("__salt", F.when(apart, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
+    out = out.join(cold.hint("merge"), [key, "__salt"], "left")
+    return out.select(*rows.columns, F.coalesce("__hot", "__cold").alias(found))
+
+
 def schema_of(df: DataFrame, *names: str) -> str:
     """DDL of the named columns of df, for the output of mapInArrow."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

@@ -7,8 +7,9 @@ in the document with the largest doc_id. The rest is reassembled by position.
 Plan: a map-side pass emits the distinct keys of each document as hashes (no text); one
 exchange on (key, document) and one on key count documents, both behind map-side
 combining, so a line that a third of all documents share costs each task one row. The
-keys over the threshold are joined to the occurrences (adaptive skew splitting applies)
-and gathered as one list for each document, which meets its text in one shuffle.
+keys over the threshold are a stored table, which is joined to the occurrences: of very
+common keys by broadcast, so that no task takes all their lines. What is found is gathered
+as one list for each document, which meets its text in one shuffle.
 
 Defined results: a null text is one empty line and stays null in the output text; rows
 with one doc_id are one document for counting and each keep or lose the same keys; rows
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import schema_of, sha256_hex, table, unused
+from quillspark.llm._shared import schema_of, sha256_hex, spread_join, staged, table, unused
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -67,14 +68,14 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
     """docs with text reassembled, and n_lines, n_dropped (long)."""
     docs = docs.drop("n_lines", "n_dropped")
     rows = occurrences(docs, min_chars)
-    once = rows.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    once = rows.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
     shared = (
-        once.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_docs).select("key", "keeper")
+        once.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
+        .where(F.col("docs") >= min_docs).select("key", "n", "keeper")
     )
     same, own, drop = (unused(docs, x) for x in ("id", "own", "drop"))
     lists = (
-        rows.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        spread_join(rows, staged(shared, "keys"), "key").where(F.col("found").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("found.keeper")))
         .groupBy(F.col("doc_id").alias(same), F.col("own").alias(own)).agg(F.collect_set("key").alias(drop))
     )
     joined = docs.join(lists, docs["doc_id"].eqNullSafe(lists[same]) & (own_key() == lists[own]), "left").select(*docs.columns, drop)
