@@ -24,7 +24,8 @@ target partition. A signature that very many sets have is dealt out by class ove
 partitions. Of the classes that share a signature the first that asks is verified against
 the others. Then all pairs of which one asks and that lie in different components are, in
 blocks of members. So no link between components is lost, and no group of near copies is
-expanded into all its pairs.
+expanded into all its pairs. Rows meet the class and the component of very many rows by
+broadcast, all others by a shuffle.
 
 Pairs are verified in two steps: on parity arrays (a bit for each hash, flipped; their
 difference in bits bounds that of the sets from below), then on the full sets of 64-bit
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._graph import components
-from quillspark.llm._shared import discard, partitions, schema_of, small_batches, staged, table, unused
+from quillspark.llm._shared import discard, partitions, schema_of, small_batches, spread_join, staged, table, unused
 from quillspark.llm._words import hits, mix, shingle_sets, text_blocks, words_of
 
 SHINGLE = 5
@@ -637,23 +638,33 @@ def linked_classes(docs: DataFrame, rows: DataFrame, hot: int = HOT, block: int
 
 
 def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows with root, the same for all of a component; null for empty sets."""
-    out = rows.drop("parity", "set").join(roots.select(F.col("node").alias("class"), "root").hint("merge"), "class", "left")
-    return out.withColumn("root", F.when(F.col("class") != 0, F.coalesce("root", "class")))
+    """A stored table of rows without their sets, with root: the same for all of a component,
+    null for empty sets."""
+    counts = rows.where("class <> 0").groupBy("class").agg(F.count("*").alias("n"))
+    known = counts.join(roots.select(F.col("node").alias("class"), "root").hint("merge"), "class", "left").where("root is not null or n > 1")
+    known = staged(known.select("class", "n", F.coalesce("root", "class").alias("root")), "known")
+    out = rows.drop("parity", "set").withColumn("class", F.when(F.col("class") != 0, F.col("class")))
+    out = spread_join(out, known, "class").withColumn("root", F.coalesce("found.root", "class")).drop("found")
+    placed = staged(out, "placed")
+    discard(known)
+    return placed
 
 
 def _placed(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, key, n_shingles, class, root of every row."""
     with small_batches(docs.sparkSession):
         rows = staged(set_rows(docs), "sets")
-        return rooted(rows, linked_classes(docs, rows, hot, block))
+        placed = rooted(rows, linked_classes(docs, rows, hot, block))
+        discard(rows)
+        return placed
 
 
 def jaccard_join(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     placed = _placed(docs, hot, block)
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    joined = spread_join(placed, staged(least, "least"), "root")
+    return joined.select("doc_id", "n_shingles", F.coalesce("found.component_id", "doc_id").alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
@@ -661,10 +672,10 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     several such rows one of those with the smallest hash of the text. A row goes only by
     its own component, whatever other rows share its doc_id; rows that link with nothing
     stay, equal texts of one doc_id once. Rows with empty sets all stay."""
-    placed = staged(_placed(docs).where("root is not null"), "placed")
+    placed = _placed(docs).where("root is not null")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = placed.groupBy("root").agg(F.min(own).alias("best"), F.count("*").alias("n")).where("n > 1")
-    judged = placed.join(best, "root").select(own.alias("own"), "best")
+    judged = spread_join(placed, staged(best, "best"), "root").where("found is not null").select(own.alias("own"), F.col("found.best").alias("best"))
     names = {x: unused(docs, x) for x in ("id", "key", "row")}
     gone = judged.where("own <> best").select(F.col("own.doc_id").alias(names["id"]), F.col("own.key").alias(names["key"])).distinct()
     keyed = docs.withColumn(names["row"], F.xxhash64("text"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import best_fit_packing, chat_formatting, fingerprints, hilbert_sharding, jaccard_join, language_id, line_dedup, quality_rules, source_mixing, substring_dedup
 from quillspark.llm._graph import components, local_forest
+from quillspark.llm._shared import spread_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -333,3 +334,19 @@ def test_pipeline_against_its_parts_by_hand(spark, sf, tmp_path):
             assert o == at
             at += n
         assert at <= 2048
+
+
+@pytest.mark.parametrize("share", [2, 8, 1 << 14])
+def test_spread_join_equals_a_left_join(spark, tmp_path, share):
+    rng = random.Random(share)
+    keys = [1] * 150 + [None] * 40 + [rng.randrange(2, 60) for _ in range(200)]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, key long").repartition(5)
+    counts = Counter(k for k in keys if k is not None and k % 3)
+    spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items()], "key long, n long, value string").write.parquet(f"{tmp_path}/small")
+    small = spark.read.parquet(f"{tmp_path}/small")
+    got = sorted((r["id"], r["key"], r["value"]) for r in spread_join(rows, small, "key", share=share).select("id", "key", "found.value").collect())
+    assert got == [(i, k, f"v{k}" if k in counts else None) for i, k in enumerate(keys)]
+    assert spread_join(rows, small.limit(0), "key").where("found is null").count() == len(keys)
+    dealt = spread_join(rows, small, "key", share=8)
+    joined = [line for line in dealt._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert joined and spread_join(rows.limit(0), small, "key").count() == 0
