@@ -13,6 +13,7 @@ from quillspark.llm import (
     quality_rules,
     source_mixing,
     substring_dedup,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_formatting": chat_formatting.query,
     "op9_fingerprints": fingerprints.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op13_vector_codes": vector_codes.query,
 }
 
-ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
