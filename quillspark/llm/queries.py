@@ -7,9 +7,11 @@ from quillspark.llm import (
     chat_formatting,
     fingerprints,
     hilbert_sharding,
+    id_files,
     jaccard_join,
     language_id,
     line_dedup,
+    phrase_mining,
     quality_rules,
     source_mixing,
     substring_dedup,
@@ -27,7 +29,9 @@ QUERIES = {
     "op8_chat_formatting": chat_formatting.query,
     "op9_fingerprints": fingerprints.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_id_files": id_files.query,
+    "op12_phrase_mining": phrase_mining.query,
     "op13_vector_codes": vector_codes.query,
 }
 
-ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.ORACLE, "op12_phrase_mining": phrase_mining.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
