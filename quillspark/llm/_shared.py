@@ -104,3 +104,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def share_limit(share: int, n: int) -> int:
+    """The largest 63-bit hash that is drawn where about `share` of n rows are wanted."""
+    return (1 << 63) - 1 if share >= n else ((share << 63) // n)
+
+
+def drawn(hash: Column, limit: Column) -> Column:
+    """Whether a row with this 64-bit hash is drawn; no share is too small for it to be seen."""
+    return hash.bitwiseAND(F.lit((1 << 63) - 1)) <= limit

@@ -8,8 +8,8 @@ undominated fillings of the room beside it, prunes by the waste that the best pl
 far still allows, and takes best-fit decreasing of what is left as an incumbent at every
 node. A filling is tried with as many copies as the pieces allow, then with one. The
 search ends when the incumbent meets the lower bound, or after `nodes` nodes (the one limit
-of the search, a parameter) with the best plan found; every piece is packed either way.
-gap() tells how far a plan is from the lower bound.
+of the search, a parameter; by default EFFORT over the number of lengths that are there, as
+a node costs that much) with the best plan found; every piece is packed either way. gap() tells how far a plan is from the lower bound.
 
 The plan is a list of fillings with multiplicities. Pieces of one length are ranked
 (salted, so that a length that a third of all pieces have is split over many tasks) and
@@ -36,6 +36,8 @@ from quillspark.llm._shared import schema_of, staged, table
 
 CAPACITY = 2048
 END = 0
+#: Lengths that the nodes of a search go over in all, some ten seconds on one core at most.
+EFFORT = 500_000
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # (((length, copies), ...), times)
 
 
@@ -206,13 +208,14 @@ def fillings(hist: dict[int, int], room: int, waste: int) -> Iterator[tuple[int,
                     yield f
 
 
-def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = 100) -> Plan:
+def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> Plan:
     """Fillings with multiplicities that hold all pieces in as few bins as was found in
-    `nodes` nodes of the search."""
+    `nodes` nodes of the search; None: as many as EFFORT allows."""
     hist = {x: n for x, n in hist.items() if n}
     best = best_fit(hist, capacity)
     bound, total = lower_bound(hist, capacity), sum(x * n for x, n in hist.items())
     spent = 0
+    nodes = nodes or EFFORT // (50 + len(hist))
 
     def search(left: dict[int, int], done: Plan, used: int, wasted: int) -> None:
         nonlocal best, spent

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._linear import ftrl, softmax, temperature
-from quillspark.llm._shared import schema_of, table
+from quillspark.llm._shared import drawn, schema_of, share_limit, table
 
 BITS = 16
 ORDERS = 3
@@ -131,12 +131,12 @@ def sample(docs: DataFrame, train_docs: int) -> DataFrame:
     """(lang, features, counts): about train_docs rows, an equal share for each language."""
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = max(1, train_docs // max(1, len(sizes)))
-    limit = F.lit(0)
+    limit = F.lit(-1).cast("long")
     if sizes:
-        limits = [x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, share / n))))]
+        limits = [x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(share_limit(share, n)))]
         limit = F.try_element_at(F.create_map(*limits), F.col("lang"))
-    drawn = docs.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(17)).alias("row"))
-    chosen = drawn.where(F.pmod("row", F.lit(1_000_000)) < limit).groupBy("lang", "row").agg(F.min("text").alias("text"))
+    rows = docs.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(17)).alias("row"))
+    chosen = rows.where(drawn(F.col("row"), limit)).groupBy("lang", "row").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,13 +156,13 @@ def fit(docs: DataFrame, train_docs: int = 2000) -> Model:
     """A model of the learnable rows of docs."""
     rows = docs.select("doc_id", "text", "lang").where(learnable())
     df = document_frequencies(rows)
-    drawn = sorted(zip(*(c.to_pylist() for c in sample(rows, train_docs).toArrow().columns), strict=True))
-    langs = sorted({lang for lang, _, _ in drawn})
+    chosen = sorted(zip(*(c.to_pylist() for c in sample(rows, train_docs).toArrow().columns), strict=True))
+    langs = sorted({lang for lang, _, _ in chosen})
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), 1.0)
     idf = np.log((1 + df.max(initial=0)) / (1 + df)) + 1
-    x, y = [], np.array([langs.index(lang) for lang, _, _ in drawn])
-    for _, at, n in drawn:
+    x, y = [], np.array([langs.index(lang) for lang, _, _ in chosen])
+    for _, at, n in chosen:
         at, n = np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32)
         x.append((at, n / max(1, n.sum()) * idf[at] * SCALE))
     back = np.arange(len(x)) % 5 == 4

@@ -4,10 +4,13 @@ A classifier (sparse multinomial logistic regression on hashed words, calibrated
 fitted on a labelled table and gives every document a posterior over domains. Projected
 gradient then finds nonnegative document rates r minimising the squared distance between
 the expected domain totals sum_i r_i tokens_i p_i and the targets, from r = 1. Every
-gradient is a combination of the posteriors with one coefficient for each domain, so the
-state of the descent is a short list of coefficient vectors, each document's rate is
-recomputed from its posterior, and an iteration is one pass over a narrow table that
-returns one number for each domain. Nothing is shuffled and no text is read again.
+gradient is a combination of the posteriors with one coefficient for each domain, and each
+step is taken in the metric of the documents whose rate is not zero (their Gram matrix, a
+little of the identity added); so the state of the descent is one number for each domain,
+a document's rate is max(0, 1 - p . state), and an iteration is one pass over a narrow table
+that returns the totals and the Gram matrix. Nothing is shuffled and no text is read again.
+The descent ends within the tolerance, or where no step comes nearer: then the targets can't
+be met with these documents. How far off it ended is Solution.distance.
 
 Unless a budget is given it is the largest total that needs no wanted domain more than
 once, so rates stay near 1 or below; the targets of UNWANTED domains are ceilings beside
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._linear import ftrl, softmax, temperature
-from quillspark.llm._shared import discard, schema_of, staged, table, unused
+from quillspark.llm._shared import discard, drawn, schema_of, share_limit, staged, table, unused
 from quillspark.llm._words import text_blocks, words_of
 
 BITS = 18
@@ -86,10 +89,10 @@ def fit(docs: DataFrame, labelled: DataFrame, train_docs: int = 3000) -> Model |
     domain; labelled has doc_id and domain. None without labelled documents."""
     counts = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     share = max(1, train_docs // max(1, len(counts)))
-    limit = F.lit(0)
+    limit = F.lit(-1).cast("long")
     for d, n in counts.items():
-        limit = F.when(F.col("domain") == d, F.lit(int(1_000_000 * min(1.0, share / n)))).otherwise(limit)
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < limit)
+        limit = F.when(F.col("domain") == d, F.lit(share_limit(share, n))).otherwise(limit)
+    chosen = labelled.where(drawn(F.xxhash64("doc_id", F.lit(29)), limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +100,8 @@ def fit(docs: DataFrame, labelled: DataFrame, train_docs: int = 3000) -> Model |
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["domain", "at"])
 
     # chosen holds about train_docs ids, whatever the size of the tables; rows that repeat one count once
-    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text")
-    rows = sorted(zip(*(c.to_pylist() for c in drawn.mapInArrow(run, "domain string, at binary").toArrow().columns), strict=True))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text")
+    rows = sorted(zip(*(c.to_pylist() for c in texts.mapInArrow(run, "domain string, at binary").toArrow().columns), strict=True))
     domains = sorted({d for d, _ in rows})
     if not domains:
         return None
@@ -136,74 +139,69 @@ def uniform() -> Column:
     return F.pmod(F.xxhash64("doc_id", "text", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def descend(p: np.ndarray, history: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, extrapolated rates) after the steps of history, for rows of posteriors p."""
-    r = y = np.ones(len(p))
-    for step, momentum in history:
-        new = np.maximum(0.0, y - p @ step)
-        y = new + momentum * (new - r)
-        r = new
-    return r, y
-
-
 @dataclass
 class Solution:
+    """state: coefficients by domain; distance: the largest miss of a target, as a share of the total."""
+
     domains: list[str]
     target: np.ndarray
     reached: np.ndarray
-    history: list[tuple[np.ndarray, float]]
+    state: np.ndarray
+    distance: float
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return descend(p, self.history)[0]
+        return np.maximum(0.0, 1.0 - p @ self.state)
 
 
-def solve(rows: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, iterations: int = 40, tolerance: float = 1e-3) -> Solution:
-    """Projected gradient with momentum, in the metric that weighs a document by its
-    tokens. rows (tokens, posterior) is read once for each iteration: a stored table."""
+def solve(rows: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-3) -> Solution:
+    """rows (tokens, posterior) is read once for each step that is tried: a stored table."""
     k = len(domains)
 
-    def totals(history: list | None) -> np.ndarray:
+    def totals(state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(expected totals by domain, Gram matrix of the documents with a rate)."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k * k if history is None else 2 * k)
+            out = np.zeros(k + k * k)
             for batch in batches:
                 p = batch.column(1).flatten().to_numpy().reshape(-1, k)
                 t = batch.column(0).to_numpy().astype(float)
-                if history is None:
-                    out += ((p * t[:, None]).T @ p).ravel()
-                else:
-                    r, y = descend(p, history)
-                    out += np.concatenate([(r * t) @ p, (y * t) @ p])
+                r = np.maximum(0.0, 1.0 - p @ state)
+                out += np.concatenate([(r * t) @ p, ((p * (t * (r > 0))[:, None]).T @ p).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "v"])
 
         got = {r["i"]: r["v"] for r in rows.select("tokens", "posterior").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-        return np.array([got.get(i, 0.0) for i in range(k * k if history is None else 2 * k)])
+        flat = np.array([got.get(i, 0.0) for i in range(k + k * k)])
+        return flat[:k], flat[k:].reshape(k, k)
 
-    gram = totals(None).reshape(k, k)
-    have = gram.sum(axis=1)  # posteriors sum to 1
+    state = np.zeros(k)
+    have, gram = totals(state)  # every rate is 1; posteriors sum to 1
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     if not have.sum() or not want.sum():
-        return Solution(domains, have, have, [])
+        return Solution(domains, have, have, state, 0.0)
     want = want / want.sum()
     asked = [i for i in range(k) if want[i]]
     wanted = [i for i in asked if domains[i] not in UNWANTED] or asked
     total = budget if budget is not None else min(have[i] / want[i] for i in wanted)
-    target, step = want * total, 1 / np.linalg.eigvalsh(gram)[-1]
+    target = want * total
     if budget is None:
         target = np.minimum(target, have)
-    history: list[tuple[np.ndarray, float]] = []
-    at_r = at_y = have
-    t = 1.0
-    for _ in range(iterations):
-        if np.abs(at_r - target).max() <= tolerance * total:
-            break
-        u = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        history.append(((at_y - target) * step, (t - 1) / u))
-        t = u
-        got = totals(history)
-        if np.square(got[:k] - target).sum() > np.square(at_r - target).sum():
-            t = 1.0  # restart the momentum where it overshoots
-        at_r, at_y = got[:k], got[k:]
-    return Solution(domains, target, at_r, history)
+    at, ridge = have, RIDGE * np.trace(gram) / k * np.eye(k)
+    far = lambda x: float(np.square(x - target).sum())
+    while np.abs(at - target).max() > tolerance * total:
+        step, scale = np.linalg.solve(gram + ridge, at - target), 1.0
+        while scale > SMALLEST_STEP:
+            reached, new = totals(state + scale * step)
+            if far(reached) < (1 - 0.1 * scale) * far(at):
+                break
+            scale /= 2
+        else:
+            break  # no step comes nearer
+        state, at, gram = state + scale * step, reached, new
+    return Solution(domains, target, at, state, float(np.abs(at - target).max() / max(total, 1e-300)))
+
+
+#: The share of the identity in a step's metric, and the smallest part of a step that is tried.
+RIDGE, SMALLEST_STEP = 1e-6, 1e-4
 
 
 def copies(rates: np.ndarray, u: np.ndarray) -> np.ndarray:
