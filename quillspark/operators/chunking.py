@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.vectors import cosine
+from quillspark.operators.numbering import running_totals
 
 
 def chapters(lines: DataFrame) -> DataFrame:
@@ -66,4 +67,4 @@ def chunk_units(units: DataFrame, max_len: int) -> DataFrame:
 def chunk_ids(counts: DataFrame) -> DataFrame:
     """counts (group, n) with first_no, the number of chunks in the groups before; ids
     are format_string('chunk_%06d', first_no + chunk_index)."""
-    return counts.withColumn("first_no", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return running_totals(counts, F.col("n"), "group", name="first_no")

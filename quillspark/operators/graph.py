@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.config import DEFAULT
-from quillspark.operators import assist
+from quillspark.operators import assist, leiden
 from quillspark.sources.staging import cut
 
 
@@ -27,8 +27,11 @@ def merge_nodes(mentions: DataFrame) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b, weight, relations): directed typed edges folded; loops and null ends drop."""
+    """(a, b, weight, relations): directed typed edges folded; loops, null ends and edges made by
+    memory drop."""
     kept = edges.where("src is not null and dst is not null and src <> dst")
+    if "created_by" in edges.columns:
+        kept = kept.where(F.coalesce("created_by", F.lit("")) != "Agent_Memory")
     return kept.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("weight"), F.array_sort(F.collect_set("relation")).alias("relations"))
 
 
@@ -79,73 +82,55 @@ def sliced(rows: DataFrame, size: int, bucket: int = 50_000) -> DataFrame:
     return numbered.withColumn("slice", F.floor((F.col("before") + F.col("i")) / size)).drop("b", "i", "before")
 
 
-def partition(edges: DataFrame, nodes: DataFrame, max_size: int, step: float, max_resolution: float, rounds: int = 2) -> DataFrame:
-    """(node, community) of nodes (node) and edges (a, b, weight): communities of at most
-    max_size nodes, each named by its smallest node. Weighted modularity moves, half of
-    the nodes by turns; then only communities over max_size are divided again, with a
-    resolution raised by step (twice step where a division did nothing) up to
-    max_resolution, and after that cut in slices. A node without edges stays alone."""
-    both = edges.where("a <> b").select("a", "b", "weight")
+def partition(edges: DataFrame, nodes: DataFrame, max_size: int, step: float, max_resolution: float) -> DataFrame:
+    """(node, community) of nodes (node) and edges (a, b, weight): Leiden communities of at most
+    max_size nodes, each named by its smallest node. What is larger is divided again, apart
+    from all else, with a resolution raised by step (twice step where a division did nothing) up
+    to max_resolution, and after that cut in slices. A node without edges stays alone.
+
+    Sets with few edges are divided to the end as groups, in parallel; larger ones by all tasks."""
+    both = edges.where("a <> b").select("a", "b", F.col("weight").cast("double").alias("weight"))
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    work = nodes.select("node", F.lit("").alias("parent"), F.lit(1.0).alias("resolution"), F.lit(-1).cast("long").alias("whole")).distinct()
-    done, whole = None, nodes.count()
+    nodes = nodes.select("node").distinct()
+    ends = both.select(F.col("a").alias("node")).distinct()
+    done = nodes.join(ends, "node", "left_anti").select("node", F.col("node").alias("community"))
+    work = cut(nodes.join(ends, "node", "left_semi").select(F.lit("").alias("parent"), "node", F.lit(1.0).alias("resolution")))
+    inside = cut(both.select(F.lit("").alias("parent"), "a", "b", "weight"))
     while True:
-        labels = _moves(both, work, rounds)
-        sizes = labels.groupBy("parent", "label").agg(F.count("*").alias("n"), F.min("node").alias("community"))
-        named = cut(labels.join(sizes, ["parent", "label"]).drop("label"))
+        rows = inside.groupBy("parent").agg(F.count("*").alias("rows"))
+        small = cut(work.select("parent").distinct().join(rows.where(F.col("rows") > leiden.GROUP), "parent", "left_anti").select("parent"))
+        done = done.unionByName(leiden.divide_groups(inside.join(small, "parent", "left_semi"), work.join(small, "parent", "left_semi"), max_size, step, max_resolution))
+        work = cut(work.join(small, "parent", "left_anti"))
+        if work.isEmpty():
+            return cut(done)
+        inside = inside.join(small, "parent", "left_anti")
+        degree = inside.groupBy("parent", F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
+        total = degree.groupBy("parent").agg(F.sum("k").alias("m2"))
+        placed = cut(work.join(degree, ["parent", "node"]).join(total, "parent").withColumn("id", F.xxhash64("node")))
+        links = cut(inside.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "weight"))
+        found = leiden.leiden(links, placed.select("id", "k", (F.col("resolution") / F.col("m2")).alias("g")))
+        named = placed.join(found, "id").select("parent", "node", "resolution", "label")
+        sizes = named.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("community"))
+        wholes = named.groupBy("parent").agg(F.count("*").alias("whole"))
+        named = cut(named.join(sizes, "label").join(wholes, "parent"))
         large, spent = F.col("n") > max_size, F.col("resolution") >= max_resolution
-        slices = sliced(named.where(large & spent), max_size)
+        slices = sliced(named.where(large & spent).select("node", "community", "n"), max_size)
         heads = slices.groupBy("community", "slice").agg(F.min("node").alias("head"))
         cuts = slices.join(heads, ["community", "slice"]).select("node", F.col("head").alias("community"))
-        fine = named.where(~large).select("node", "community").unionByName(cuts)
-        done = fine if done is None else done.unionByName(fine)
-        rest = named.where(large & ~spent)
-        if rest.isEmpty():
-            return cut(done)
-        # one division of the whole set counts as useless where all nodes stayed together
-        useless = F.col("n") == F.when(F.col("whole") < 0, whole).otherwise(F.col("whole"))
-        raised = F.col("resolution") + F.lit(step) * F.when(useless, 2).otherwise(1)
-        work = rest.select("node", F.col("community").alias("parent"), raised.alias("resolution"), F.col("n").alias("whole"))
-
-
-def _moves(both: DataFrame, work: DataFrame, rounds: int) -> DataFrame:
-    """work (node, parent, resolution, whole) with label: every node starts alone and, in
-    its turn, joins the neighbouring label of its parent with the largest modularity gain;
-    ties go to the smallest label."""
-    part = work.select("node", "parent")
-    inside = cut(both.join(part.toDF("a", "parent"), "a").join(part.toDF("b", "pb"), "b").where("parent = pb").select("parent", "a", "b", "weight"))
-    degree = inside.groupBy("parent", F.col("a").alias("node")).agg(F.sum("weight").cast("double").alias("k"))
-    total = degree.groupBy("parent").agg(F.sum("k").alias("m2"))
-    scale = (F.col("resolution") / F.col("m2")).alias("g")
-    still = 0
-    state = cut(degree.join(total, "parent").join(work, ["parent", "node"]).select("parent", "node", "k", scale, F.col("node").alias("label")))
-    for turn in range(rounds * 2):  # half of the nodes at a time; ends early where none of two halves moved
-        mass = state.groupBy("parent", "label").agg(F.sum("k").alias("kl"))
-        seen = state.select("parent", F.col("node").alias("b"), "label")
-        votes = inside.join(seen, ["parent", "b"]).groupBy("parent", F.col("a").alias("node"), "label").agg(F.sum("weight").cast("double").alias("w"))
-        # its own label is an option too
-        options = votes.unionByName(state.select("parent", "node", "label", F.lit(0.0).alias("w"))).groupBy("parent", "node", "label").agg(F.sum("w").alias("w"))
-        me = state.select("parent", "node", "k", "g", F.col("label").alias("now"))
-        scored = options.join(me, ["parent", "node"]).join(mass, ["parent", "label"])
-        others = F.col("kl") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("g") * F.col("k") * others, 9)
-        best = scored.groupBy("parent", "node").agg(
-            F.min_by("label", F.struct((-gain).alias("x"), F.col("label").alias("y"))).alias("best"), F.first("k").alias("k"), F.first("g").alias("g"), F.first("now").alias("now")
-        )
-        turns = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-        state = cut(best.select("parent", "node", "k", "g", F.when(turns, F.col("best")).otherwise(F.col("now")).alias("label"), (turns & (F.col("best") != F.col("now"))).alias("moved")))
-        still = still + 1 if state.where("moved").isEmpty() else 0
-        state = state.drop("moved")
-        if still == 2:
-            break
-    return work.join(state.select("parent", "node", "label"), ["parent", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+        place = named.select("node", "label", "n", "community")
+        between = inside.join(place.select(F.col("node").alias("a"), "label", "n", "community"), "a").join(place.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("label = lb")
+        fine = leiden.split_groups(between.where(~large), named.where(~large))
+        done = done.unionByName(fine).unionByName(cuts)
+        raised = F.col("resolution") + F.lit(step) * F.when(F.col("n") == F.col("whole"), 2).otherwise(1)
+        inside = cut(between.where(large).select(F.col("community").alias("parent"), "a", "b", "weight"))
+        work = named.where(large & ~spent).select(F.col("community").alias("parent"), "node", raised.alias("resolution"))
 
 
 #: Largest community, step and highest resolution of level 0 and of the levels above.
 LEVELS = ((800, 0.2, 3.0), (500, 0.01, 1.5))
 
 
-def hierarchy(edges: DataFrame, nodes: DataFrame, levels: tuple = LEVELS, rounds: int = 2) -> DataFrame:
+def hierarchy(edges: DataFrame, nodes: DataFrame, levels: tuple = LEVELS) -> DataFrame:
     """(level, community_id, member): level 0 holds the nodes, every further level the
     communities below it, contracted. It ends with one community or where the number of
     nodes no longer falls; a graph of one node is one community, an empty one has none."""
@@ -155,7 +140,7 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, levels: tuple = LEVELS, rounds
     level, count = 0, nodes.count()
     while count:
         size, step, highest = levels[min(level, len(levels) - 1)]
-        parts = partition(edges, nodes, size, step, highest, rounds) if count > 1 else nodes.select("node", F.col("node").alias("community"))
+        parts = partition(edges, nodes, size, step, highest) if count > 1 else nodes.select("node", F.col("node").alias("community"))
         # a community is named by its smallest node, whose own level is taken off the name
         root = F.regexp_replace("community", "^C_\\d+_", "") if level else F.col("community")
         parts = cut(parts.select("node", F.concat(F.lit(f"C_{level}_"), root).alias("community")))

@@ -1,7 +1,23 @@
-"""A stored inverted index: postings by term, read by the terms of a query only."""
+"""A stored inverted index in segments: appended to, deleted from, merged, and read by the terms of a
+query only.
+
+Under the path the caller gives lie
+
+* `segments/<name>/postings`: (bucket, term, id, tf, dl), in folders by a hash of the term, as
+  many as the segment's postings ask for, sorted by term inside;
+* `segments/<name>/docs`: (id, dl), a row for each document;
+* `gone/<name>`: (segment, id) of documents that were deleted or replaced later;
+* `versions/<number>`: the manifest, a row for each segment (name, buckets, documents, terms) and each
+  folder of deletions (what went of the counts). A change writes its folders first and then, as
+  one Parquet table, the next manifest. A reader takes the highest one that is complete, so a
+  change that fails half way is not seen, and readers of an older version go on with it.
+
+One writer at a time. Searching an index equals searching one that is built anew of the live rows.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,56 +25,204 @@ from pyspark.sql import functions as F
 
 from quillspark.config import DEFAULT
 from quillspark.operators import retrieval
-from quillspark.sources.staging import fresh_path
+from quillspark.sources import versions
+from quillspark.sources.staging import cut, dropped, fresh_path, source_key
 
-BUCKETS = 64
+#: Postings of a folder of a segment.
+FOLDER = 1 << 22
+MANIFEST = "kind string, name string, buckets int, n long, texts long, total long, id_type string"
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int | Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
 
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, id, tf, dl) in folders by a hash of the term, sorted by term inside, and
-    the corpus' counts."""
+    """One version of the index at a path; entries are the rows of its manifest."""
 
     path: str
-    schema: str
-    n: int
-    avgdl: float
+    version: int
+    entries: tuple[dict, ...]
+
+    @property
+    def segments(self) -> list[dict]:
+        return [e for e in self.entries if e["kind"] == "segment"]
+
+    @property
+    def n(self) -> int:
+        """Documents, those without a text too."""
+        return sum(e["n"] for e in self.entries)
+
+    @property
+    def avgdl(self) -> float:
+        return sum(e["total"] for e in self.entries) / max(1, sum(e["texts"] for e in self.entries))
+
+    def _id_type(self) -> str:
+        return self.entries[0]["id_type"] if self.entries else "long"
+
+    def gone(self, spark: SparkSession) -> DataFrame | None:
+        """(segment, id) of what no longer counts."""
+        names = [e["name"] for e in self.entries if e["kind"] == "gone"]
+        if not names:
+            return None
+        return spark.read.schema(f"segment string, id {self._id_type()}").parquet(*[f"{self.path}/gone/{n}" for n in names])
 
     def postings(self, spark: SparkSession, words: list[str]) -> DataFrame:
-        """The postings of words: the folders of other terms are not read, and inside one
+        """The live postings of words: the folders of other terms are not read, and inside one
         the statistics of sorted row groups leave out most."""
-        words = list(dict.fromkeys(w.lower() for w in words))
-        rows = spark.read.schema(self.schema).parquet(self.path)
-        if not words:
-            return rows.limit(0)
-        return rows.where(F.col("bucket").isin(*[_bucket(F.lit(w)) for w in words]) & F.col("term").isin(*words))
-
-
-def build(docs: DataFrame) -> Index:
-    """The index of docs (id, text). Terms are counted in each row of docs; one shuffle
-    deals the postings out by their folder and the id, so a frequent term is no one task's."""
-    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "postings")
-    counted = retrieval.counted(docs).withColumn("bucket", _bucket(F.col("term")))
-    # as many writers for each folder as rows ask for, whatever its terms
+        words, out = list(dict.fromkeys(w.lower() for w in words)), None
+        for e in self.segments:
+            rows = spark.read.schema(f"id {e['id_type']}, dl long, term string, tf long, bucket int").parquet(f"{self.path}/segments/{e['name']}/postings")
+            if words:
+                rows = rows.where(F.col("bucket").isin(*[_bucket(F.lit(w), e["buckets"]) for w in words]) & F.col("term").isin(*words))
+            rows = (rows if words else rows.limit(0)).withColumn("segment", F.lit(e["name"]))
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return spark.createDataFrame([], "id long, dl long, term string, tf long, bucket int, segment string")
+        gone = self.gone(spark)
+        return out if gone is None else out.join(gone, ["segment", "id"], "left_anti")
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        """(segment, id, dl) of the live documents; dl is null without a text."""
+        out = None
+        for e in self.segments:
+            rows = spark.read.schema(f"id {e['id_type']}, dl long").parquet(f"{self.path}/segments/{e['name']}/docs").withColumn("segment", F.lit(e["name"]))
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return spark.createDataFrame([], "id long, dl long, segment string")
+        gone = self.gone(spark)
+        return out if gone is None else out.join(gone, ["segment", "id"], "left_anti")
+
+
+def at(spark: SparkSession, path: str) -> Index:
+    """The newest complete version at path; an index without segments where there is none."""
+    version, rows = versions.newest(spark, path, MANIFEST)
+    return Index(path, version, _ordered(rows))
+
+
+def _ordered(entries: list[dict]) -> tuple[dict, ...]:
+    return tuple(sorted(entries, key=lambda e: (e["kind"] != "segment", e["name"])))
+
+
+def _commit(spark: SparkSession, before: Index, entries: list[dict]) -> Index:
+    versions.commit(spark, before.path, before.version + 1, entries, MANIFEST)
+    return Index(before.path, before.version + 1, _ordered(entries))
+
+
+def _segment(docs: DataFrame, path: str) -> dict:
+    """Writes a segment of docs (id, text), each id once; its entry. Terms are counted in each row; one
+    shuffle deals the postings out by folder and id, so a frequent term is no one task's."""
+    spark, name = docs.sparkSession, uuid.uuid4().hex
+    counted = cut(retrieval.counted(docs))
+    buckets = max(1, -(-counted.count() // FOLDER))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counted.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // BUCKETS))))
-    dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
-    known = docs.agg(F.count("*").alias("n"), F.count("text").alias("texts")).first()
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, dl long, term string, tf long, bucket int"
-    total = spark.read.schema(schema).parquet(path).agg(F.sum("tf")).first()[0] or 0
-    return Index(path, schema, known["n"], total / max(1, known["texts"]))
+    rows = counted.withColumn("bucket", _bucket(F.col("term"), buckets))
+    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // buckets))))
+    dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/segments/{name}/postings")
+    sizes = counted.groupBy("id").agg(F.first("dl").alias("dl"))
+    known = docs.select("id", F.col("text").isNotNull().alias("has")).join(sizes, "id", "left")
+    known.select("id", F.when(F.col("has"), F.coalesce("dl", F.lit(0)).cast("long")).alias("dl")).write.parquet(f"{path}/segments/{name}/docs")
+    id_type = docs.schema["id"].dataType.simpleString()
+    r = spark.read.schema(f"id {id_type}, dl long").parquet(f"{path}/segments/{name}/docs").agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.sum("dl").alias("total")).first()
+    dropped(counted)
+    return {"kind": "segment", "name": name, "buckets": buckets, "n": r["n"], "texts": r["texts"], "total": r["total"] or 0, "id_type": id_type}
+
+
+def _forget(spark: SparkSession, index: Index, ids: DataFrame) -> dict | None:
+    """Writes which live documents have one of ids; the entry that takes them off the counts."""
+    live = index.documents(spark)
+    name = uuid.uuid4().hex
+    path = f"{index.path}/gone/{name}"
+    found = live.join(ids.select("id").distinct(), "id", "left_semi")
+    counts = cut(found)
+    r = counts.agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.sum("dl").alias("total")).first()
+    if r["n"]:
+        counts.select("segment", "id").write.parquet(path)
+    dropped(counts)
+    return {"kind": "gone", "name": name, "buckets": 0, "n": -r["n"], "texts": -r["texts"], "total": -(r["total"] or 0), "id_type": index._id_type()} if r["n"] else None
+
+
+def append(index: Index, docs: DataFrame) -> Index:
+    """The next version, with docs (id, text) as a segment more; documents that had one of their ids
+    are replaced. Of rows with one id the one with the greatest text counts."""
+    spark = docs.sparkSession
+    rows = docs.select("id", "text")
+    rows = cut(rows.where("id is not null").groupBy("id").agg(F.max("text").alias("text")))
+    entries = list(index.entries)
+    if index.segments and (old := _forget(spark, index, rows)):
+        entries.append(old)
+    out = _commit(spark, index, [*entries, _segment(rows, index.path)])
+    dropped(rows)
+    return out
+
+
+def delete(index: Index, ids: DataFrame) -> Index:
+    """The next version, without the documents of ids (id)."""
+    old = _forget(ids.sparkSession, index, ids) if index.segments else None
+    return _commit(ids.sparkSession, index, [*index.entries, old]) if old else index
+
+
+def merge(spark: SparkSession, index: Index, most: int = 1) -> Index:
+    """The next version with at most `most` segments: the smallest ones become one, without what is
+    gone. Folders of merged segments stay for readers of older versions; vacuum() drops them."""
+    if len(index.segments) <= most and not any(e["kind"] == "gone" for e in index.entries):
+        return index
+    by_size = sorted(index.segments, key=lambda e: e["total"])
+    few = by_size if most <= 1 else by_size[: len(by_size) - most + 1]
+    names = {e["name"] for e in few}
+    part = Index(index.path, index.version, tuple(e for e in index.entries if e["kind"] == "gone" or e["name"] in names))
+    gone = index.gone(spark)
+    name, rows, docs = uuid.uuid4().hex, None, part.documents(spark).drop("segment")
+    for e in few:
+        one = spark.read.schema(f"id {e['id_type']}, dl long, term string, tf long, bucket int").parquet(f"{index.path}/segments/{e['name']}/postings").withColumn("segment", F.lit(e["name"]))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = cut((rows if gone is None else rows.join(gone, ["segment", "id"], "left_anti")).drop("segment", "bucket"))
+    buckets, parts = max(1, -(-rows.count() // FOLDER)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // buckets))))
+    dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{index.path}/segments/{name}/postings")
+    docs.write.parquet(f"{index.path}/segments/{name}/docs")
+    dropped(rows)
+    r = spark.read.schema(f"id {index._id_type()}, dl long").parquet(f"{index.path}/segments/{name}/docs").agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.sum("dl").alias("total")).first()
+    made = {"kind": "segment", "name": name, "buckets": buckets, "n": r["n"], "texts": r["texts"], "total": r["total"] or 0, "id_type": index._id_type()}
+    kept = [e for e in index.segments if e["name"] not in names]
+    entries = [*kept, made]
+    if kept and gone is not None:  # deletions that other segments still have
+        left = gone.join(spark.createDataFrame([(e["name"],) for e in kept], "segment string"), "segment", "left_semi")
+        live = Index(index.path, index.version, tuple(kept)).documents(spark).join(left, ["segment", "id"], "left_semi")
+        r = live.agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.sum("dl").alias("total")).first()
+        if r["n"]:
+            again = uuid.uuid4().hex
+            left.select("segment", "id").write.parquet(f"{index.path}/gone/{again}")
+            entries.append({"kind": "gone", "name": again, "buckets": 0, "n": -r["n"], "texts": -r["texts"], "total": -(r["total"] or 0), "id_type": index._id_type()})
+    return _commit(spark, index, entries)
+
+
+def vacuum(spark: SparkSession, index: Index) -> int:
+    """Deletes the folders and manifests that only older versions name; how many folders went."""
+    used, n = {e["name"] for e in index.entries}, 0
+    for kind in ("segments", "gone"):
+        for name in versions.names(spark, f"{index.path}/{kind}"):
+            if name not in used:
+                n += versions.delete(spark, f"{index.path}/{kind}/{name}")
+    versions.forget(spark, index.path, index.version)
+    return n
+
+
+def build(docs: DataFrame, path: str | None = None) -> Index:
+    """A new index of docs (id, text), at path or else in the shared folder."""
+    return append(Index(path or fresh_path(docs.sparkSession, "index"), 0, ()), docs)
 
 
 _built: dict[tuple, Index] = {}
 
 
-def of(docs: DataFrame, name: str = "documents") -> Index:
-    """The index of docs, built once for an application, a name and the files that docs reads."""
-    key = (docs.sparkSession.sparkContext.applicationId, name, *sorted(docs.inputFiles()))
+def of(docs: DataFrame) -> Index:
+    """An index of docs for this application: built again where the plan of docs, or a file that it
+    reads, is another. A table that reads no files has no key and is always built."""
+    key = source_key(docs)
+    if key is None:
+        return build(docs)
     if key not in _built:
         _built[key] = build(docs)
     return _built[key]

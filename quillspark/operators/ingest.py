@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import numbering
 from quillspark.operators.assist import UNKNOWN_TYPE
 
 
@@ -51,15 +52,21 @@ def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def extraction_totals(extracted: DataFrame) -> DataFrame:
-    """One row of chunks (chunk, status, graph): succeeded, failed, nodes, edges, and the failed
-    chunks in order (as many as failed)."""
+def extraction_totals(extracted: DataFrame, most: int = 1000) -> DataFrame:
+    """One row of chunks (chunk, status, graph): succeeded, failed, nodes, edges, and the first
+    failed chunks in order, `most` of them; failed_chunks() has all."""
     ok = F.col("status") == "ok"
-    return extracted.agg(
+    totals = extracted.agg(
         F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"),
         F.coalesce(F.sum(F.when(ok, F.size("graph.nodes"))), F.lit(0)).alias("nodes"), F.coalesce(F.sum(F.when(ok, F.size("graph.edges"))), F.lit(0)).alias("edges"),
-        F.array_sort(F.collect_list(F.when(~ok, F.col("chunk")))).alias("failures"),
     )
+    first = failed_chunks(extracted).limit(most).agg(F.array_sort(F.collect_list("chunk")).alias("failures"))
+    return totals.crossJoin(F.broadcast(first))  # one row
+
+
+def failed_chunks(extracted: DataFrame) -> DataFrame:
+    """The chunks whose extraction failed, in order."""
+    return extracted.where("status <> 'ok'").select("chunk").orderBy("chunk")
 
 
 def resolve_targets(targets: DataFrame, entities: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,9 +96,9 @@ def level_stats(hierarchy: DataFrame) -> DataFrame:
 
 def numbered(hierarchy: DataFrame) -> DataFrame:
     """(level, community_id, number): communities of a level numbered from 0 by their smallest
-    member. Only one row for each community meets in a window."""
+    member, of equal ones by their id."""
     firsts = hierarchy.groupBy("level", "community_id").agg(F.min("member").alias("first"))
-    return firsts.withColumn("number", F.row_number().over(Window.partitionBy("level").orderBy("first")) - 1).drop("first")
+    return numbering.numbered(firsts, "first", "community_id", within="level").drop("first")
 
 
 def summary_counts(summaries: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from quillspark.sources.staging import cut
 
 
 def chunk_chapters(chapters: DataFrame, max_tokens: int = DEFAULT.max_chunk_tokens) -> DataFrame:
-    """chapters (doc, chapter_no, pian, ji, zhang, content) as chunks: chunk_id, pian, ji, zhang,
+    """chapters (doc, chapter_no, pian, ji, zhang, content) as chunks: chunk_id, doc, pian, ji, zhang,
     chunk_index, original_text. Sentences are packed greedily, with a break where two that
     follow are least alike."""
     key = F.struct("doc", "chapter_no")
@@ -25,7 +25,7 @@ def chunk_chapters(chapters: DataFrame, max_tokens: int = DEFAULT.max_chunk_toke
     counts = packed.groupBy("doc", "chapter_no").agg(F.count("*").alias("n"))
     firsts = chunking.chunk_ids(counts.select(F.struct("doc", "chapter_no").alias("group"), "n")).select("group.doc", "group.chapter_no", "first_no")
     rows = packed.join(firsts, ["doc", "chapter_no"]).join(chapters.select("doc", "chapter_no", "pian", "ji", "zhang"), ["doc", "chapter_no"])
-    return rows.select(F.format_string("chunk_%06d", F.col("first_no") + F.col("chunk_index")).alias("chunk_id"), "pian", "ji", "zhang", "chunk_index", "original_text")
+    return rows.select(F.format_string("chunk_%06d", F.col("first_no") + F.col("chunk_index")).alias("chunk_id"), "doc", "pian", "ji", "zhang", "chunk_index", "original_text")
 
 
 def ingest_files(spark: SparkSession, files: DataFrame, chunk_path: str, model: models.Model = models.rules) -> DataFrame | None:
@@ -35,8 +35,8 @@ def ingest_files(spark: SparkSession, files: DataFrame, chunk_path: str, model:
     if chapters.isEmpty():
         return None
     chunks = chunk_chapters(chapters)
-    keyed = chapters.select("pian", "ji", "zhang", F.struct("doc", "chapter_no").alias("ord"), "content")
-    done = assist.enrich(ingest.with_context(chunks, keyed, ["pian", "ji", "zhang"]), model).drop("document")
+    keyed = chapters.select("doc", "pian", "ji", "zhang", F.struct("doc", "chapter_no").alias("ord"), "content")
+    done = assist.enrich(ingest.with_context(chunks, keyed, ["doc", "pian", "ji", "zhang"]), model).drop("document", "doc")
     readers.write_chunks(done, chunk_path)
     return spark.read.schema(readers.CHUNK).json(chunk_path)
 
@@ -48,7 +48,8 @@ def build_graph(spark: SparkSession, chunk_path: str, edge_path: str, files: Dat
         if files is None or ingest_files(spark, files, chunk_path, model) is None:
             return None
     chunks = spark.read.schema(readers.CHUNK).json(chunk_path).select(F.col("chunk_id").alias("chunk"), F.col("original_text").alias("text"))
-    found = cut(assist.extract(ingest.usable_chunks(chunks), model).withColumn("status", F.when(F.col("graph").isNull(), "error").otherwise("ok")))
+    found = assist.extract(ingest.usable_chunks(chunks), model)
+    found = cut(found.withColumn("status", F.when(F.col("status") == "error", "error").otherwise("ok")))  # a blank answer is no failure
     edges = found.select("chunk", F.posexplode("graph.edges").alias("i", "e"))
     order = F.struct("chunk", "i")
     triples = edges.select(F.col("e.source").alias("src"), F.col("e.relation").alias("relation"), F.col("e.target").alias("dst"), F.col("e.description").alias("description"), "chunk", order.alias("seq"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import models
 from quillspark.functions import text as T
-from quillspark.operators import assist, chunking, graph, index, memory, retrieval, webhook
+from quillspark.operators import adjacency, assist, chunking, graph, index, memory, retrieval, webhook
 from quillspark.sources.readers import table
-from quillspark.sources.staging import cut
+from quillspark.sources.staging import cut, source_key
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -260,13 +260,9 @@ graph_list AS (SELECT chunk, round(max(score), 6) AS score, count(*) AS freq FRO
 
 @register("two_hop_evidence", f"WITH {EVIDENCE} SELECT chunk, score, freq FROM graph_list")
 def two_hop_evidence(spark, d):
-    """Only triples that touch a seed or a neighbour of one are merged."""
+    """The merged edges are stored by node once; a search reads the folders of its frontier."""
     seeds = table(spark, d, "customer").where("c_custkey between 1 and 8").select(F.col("c_custkey").alias("id"), (F.lit(1.0) / F.col("c_custkey")).alias("score"))
-    rows = triples(spark, d)
-    ends = rows.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(rows.select(F.col("dst").alias("u"), F.col("src").alias("v")))
-    near = ends.join(F.broadcast(seeds.select(F.col("id").alias("u"))), "u").select("v").unionByName(seeds.select(F.col("id").alias("v"))).distinct()  # eight seeds
-    hit = rows.join(near.select(F.col("v").alias("src")), "src", "left_semi").unionByName(rows.join(near.select(F.col("v").alias("dst")), "dst", "left_semi"))
-    out = graph.evidence(graph.merge_edges(hit.select(rows.columns).distinct()), seeds, 60)
+    out = adjacency.evidence(adjacency.of(graph.merge_edges(triples(spark, d))), seeds, 60)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -320,7 +316,7 @@ memory_list AS (SELECT id, row_number() OVER (ORDER BY rrf DESC, seen) - 1 AS po
 def memory_list(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Dense and sparse lists of the memories, fused, without re-ranking: (id, pos)."""
     own = docs(spark, d).join(vectors(spark, d).select("id"), "id", "left_semi")
-    sparse = index.bm25_topk(spark, index.of(own, "memories"), query_words(spark, d), 60)
+    sparse = index.bm25_topk(spark, index.of(own), query_words(spark, d), 60)
     fused = retrieval.fuse([(dense_topk(spark, d), 1.0), (sparse, 1.0)]).withColumn("rrf", F.round("rrf", 6))
     return retrieval.ranked(fused, k, F.desc("rrf"), F.asc("first_list"), F.asc("first_rank")).select("id", F.col("rank").alias("pos"))
 
@@ -552,7 +548,7 @@ _TREES: dict[tuple, DataFrame] = {}
 def tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hierarchy, nodes, edges); the hierarchy is stored once for an application and its tables."""
     nodes, edges = parts_edges(spark, d)
-    key = (spark.sparkContext.applicationId, *sorted(edges.inputFiles()))
+    key = source_key(edges)
     if key not in _TREES:
         _TREES[key] = cut(graph.hierarchy(edges, nodes))
     return _TREES[key], nodes, edges

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import more  # noqa: F401  registers its queries
+from quillspark.plans import more, stored  # noqa: F401  register their queries
 from quillspark.plans import queries as q
 
 

@@ -27,4 +27,29 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df in the shared folder and reads it again, so that later plans see real sizes."""
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote, where no plan reads it any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def source_key(df: DataFrame) -> tuple | None:
+    """What df is made of: its application, its plan, and the files it reads with their sizes and
+    times. None where it reads no files, as the rows of such a table can't be told apart."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    context = df.sparkSession.sparkContext
+    stamps = []
+    for name in sorted(files):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
+        stamps.append((name, status.getLen(), status.getModificationTime()))
+    return (context.applicationId, df.semanticHash(), *stamps)

@@ -25,11 +25,6 @@ def event_counts(stream: DataFrame, at: str, window: str, late: str, *keys: str)
     return stream.withWatermark(at, late).groupBy(F.window(at, window), *keys).agg(F.count("*").alias("n"))
 
 
-def write_turns(stream: DataFrame, path: str, checkpoint: str):
-    """Appends each micro-batch of turns as Parquet."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).start()
-
-
 def ttl_dedupe(stream: DataFrame, ttl: int = DEFAULT.dedupe_ttl_seconds, late: str = "10 minutes") -> DataFrame:
     """stream (key, at timestamp, id) with accepted, as memory.ttl_dedupe decides: a key is
     accepted again only more than ttl seconds after its last accepted event. Events come
