@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -25,4 +27,17 @@ class Config:
     community_max: int = 800
 
 
-DEFAULT = Config()
+def from_env(environment: Mapping[str, str], prefix: str = "QUILL_") -> Config:
+    """The defaults, with what the environment names (QUILL_RRF_K=50) in the type of the default. A
+    name that is no tunable, or a value that is not of its type, is an error."""
+    known, found = {f.name: type(f.default) for f in fields(Config)}, {}
+    for key, value in environment.items():
+        if key.startswith(prefix):
+            name = key.removeprefix(prefix).lower()
+            if name not in known:
+                raise ValueError(f"no tunable {name}")
+            found[name] = known[name](value)
+    return replace(Config(), **found)
+
+
+DEFAULT = from_env(os.environ)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +41,25 @@ def delete_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFr
 def ttl_dedupe(events: DataFrame, ttl: int) -> DataFrame:
     """events (key, at in whole seconds, id) with accepted: the first of a key, and each
     that comes more than ttl seconds after the last accepted one. A blank key is always
-    accepted. A fold over each key's times; keys are assumed to have few events."""
-    keyed = events.where("key is not null and trim(key) <> ''")
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(a, e):
-        ok = a["last"].isNull() | (e["at"] - a["last"] > ttl)
-        return F.struct(F.when(ok, e["at"]).otherwise(a["last"]).alias("last"), F.concat(a["ok"], F.array(ok)).alias("ok"))
-
-    rows = keyed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("e"))
-    rows = rows.select("key", F.explode(F.arrays_zip("e", F.aggregate("e", start, step, lambda a: a["ok"]).alias("ok"))).alias("z"))
-    out = rows.select("key", F.col("z.e.at").alias("at"), F.col("z.e.id").alias("id"), F.col("z.ok").alias("accepted"))
+    accepted.
+
+    A key's events are cut where more than ttl seconds pass without one: what follows such a gap is
+    accepted whatever came before, so each run is a group of its own, gone through once."""
+    keyed = events.where("key is not null and trim(key) <> ''").select("key", "at", "id")
+    order = Window.partitionBy("key").orderBy("at", "id")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(order) > ttl, F.lit(True))
+    runs = keyed.withColumn("__gap", gap).withColumn("__run", F.count_if(F.col("__gap")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    names, schema = ["key", "at", "id"], ", ".join(f"`{n}` {keyed.schema[n].dataType.simpleString()}" for n in ("key", "at", "id"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.select(names).sort_by([("at", "ascending"), ("id", "ascending")])
+        last, accepted = None, []
+        for at in rows["at"].to_pylist():
+            accepted.append(last is None or at - last > ttl)
+            last = at if accepted[-1] else last
+        return rows.append_column("accepted", pa.array(accepted, pa.bool_()))
+
+    out = runs.groupBy("key", "__run").applyInArrow(run, f"{schema}, accepted boolean")
     return out.unionByName(events.where("key is null or trim(key) = ''").select("key", "at", "id", F.lit(True).alias("accepted")))
 
 

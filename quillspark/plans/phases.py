@@ -13,13 +13,13 @@ from quillspark.sources import readers
 from quillspark.sources.staging import cut
 
 
-def chunk_chapters(chapters: DataFrame, max_tokens: int = DEFAULT.max_chunk_tokens) -> DataFrame:
+def chunk_chapters(chapters: DataFrame, max_tokens: int = DEFAULT.max_chunk_tokens, counters: tuple = ()) -> DataFrame:
     """chapters (doc, chapter_no, pian, ji, zhang, content) as chunks: chunk_id, doc, pian, ji, zhang,
     chunk_index, original_text. Sentences are packed greedily, with a break where two that
     follow are least alike."""
     key = F.struct("doc", "chapter_no")
     sentences = chapters.select(key.alias("group"), F.posexplode(T.sentences(F.col("content"))).alias("pos", "text"))
-    units = ingest.token_lengths(sentences).withColumn("vector", models.embed(F.col("text")))
+    units = ingest.token_lengths(sentences, counters).withColumn("vector", models.embed(F.col("text")))
     breaks = chunking.breaks(units.select("group", "pos", "vector", F.col("text").alias("txt"), F.col("n_tokens").alias("len")))
     packed = chunking.chunk_units(breaks, max_tokens).select("group.doc", "group.chapter_no", "chunk_index", F.array_join("parts", "").alias("original_text"))
     counts = packed.groupBy("doc", "chapter_no").agg(F.count("*").alias("n"))
@@ -28,13 +28,13 @@ def chunk_chapters(chapters: DataFrame, max_tokens: int = DEFAULT.max_chunk_toke
     return rows.select(F.format_string("chunk_%06d", F.col("first_no") + F.col("chunk_index")).alias("chunk_id"), "doc", "pian", "ji", "zhang", "chunk_index", "original_text")
 
 
-def ingest_files(spark: SparkSession, files: DataFrame, chunk_path: str, model: models.Model = models.rules) -> DataFrame | None:
-    """files (path, text) to stored chunks with their context. None, and nothing written, where
-    no chapter is found."""
+def ingest_files(spark: SparkSession, files: DataFrame, chunk_path: str, model: models.Model = models.rules, counters: tuple = ()) -> DataFrame | None:
+    """files (path, text) to stored chunks with their context; counters as for token_lengths(). None,
+    and nothing written, where no chapter is found."""
     chapters = cut(chunking.chapters(readers.lines(files)))
     if chapters.isEmpty():
         return None
-    chunks = chunk_chapters(chapters)
+    chunks = chunk_chapters(chapters, counters=counters)
     keyed = chapters.select("doc", "pian", "ji", "zhang", F.struct("doc", "chapter_no").alias("ord"), "content")
     done = assist.enrich(ingest.with_context(chunks, keyed, ["doc", "pian", "ji", "zhang"]), model).drop("document", "doc")
     readers.write_chunks(done, chunk_path)
