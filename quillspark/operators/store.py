@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from quillspark.functions.vectors import checked
-from quillspark.operators import graph, memory
+from quillspark.operators import graph, keyed, memory
+from quillspark.sources import versions
 from quillspark.sources.readers import compatible
-from quillspark.sources.staging import cut
 
 
 def append(rows: DataFrame, path: str, vector: str | None = None, size: int = 0) -> None:
@@ -18,8 +20,19 @@ def append(rows: DataFrame, path: str, vector: str | None = None, size: int = 0)
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Overwrite the table, also with rows that were read from it."""
-    cut(rows).write.mode("overwrite").parquet(path)
+    """Overwrite the table, also with rows that were read from it. The new rows are written beside it and
+    take its place by renaming; a failure before that leaves the old ones, and one between the
+    two names leaves both folders."""
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    new, old = f"{path}-new-{mark}", f"{path}-old-{mark}"
+    rows.write.parquet(new)
+    fs, here = versions.hadoop(spark, path)
+    if fs.exists(here) and not fs.rename(here, versions.hadoop(spark, old)[1]):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(versions.hadoop(spark, new)[1], here):
+        raise OSError(f"{new} can't be moved to {path}")
+    versions.delete(spark, old)
+    spark.catalog.refreshByPath(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -67,6 +80,25 @@ def upsert_graph(spark: SparkSession, path: str, triples: DataFrame) -> None:
     replace(upsert_edges(spark.read.parquet(path), new) if exists(spark, path) else new, path)
 
 
+EDGES = "src string, relation string, dst string, description string, source_chunk_ids array<string>"
+
+
+def edge_table(spark: SparkSession, path: str, buckets: int = 64) -> keyed.Table:
+    """The graph's edges by their key, of which an upsert rewrites the buckets of its own edges only."""
+    return keyed.table(spark, path, ["src", "relation", "dst"], EDGES, buckets)
+
+
+def upsert_triples(table: keyed.Table, triples: DataFrame, writer: str | None = None, batch: int | None = None) -> bool:
+    """Merges triples into stored edges, a batch of a writer once; whether anything was written."""
+
+    def merge(both: DataFrame) -> DataFrame:
+        return upsert_edges(both.where("not __new").drop("__new"), both.where("__new").drop("__new"))
+
+    new = graph.merge_edges(triples)
+    new = new.select(*[F.col(c).cast("string").alias(c) for c in ("src", "relation", "dst", "description")], F.col("source_chunk_ids").cast("array<string>").alias("source_chunk_ids"))
+    return table.upsert(new, merge, writer, batch)
+
+
 def scalars(df: DataFrame) -> list[str]:
     """The columns that are no vectors."""
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, ArrayType)]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import variants
-from quillspark.operators import adjacency, cells, graph, index, keyed, leiden, numbering, retrieval, search
+from quillspark.operators import adjacency, cells, graph, index, keyed, leiden, numbering, retrieval, search, store
 from quillspark.sources.staging import source_key
 
 WORDS = "ab cd ef gh ij kl mn".split()
@@ -273,3 +273,24 @@ def test_memories_are_those_of_one_user(spark):
     turns = spark.createDataFrame(rows, "user string, id long, summary string, vector array<float>")
     assert [r["id"] for r in search.memories(spark, turns, "u", "red apple", 2).orderBy("pos").collect()] == [1, 4]
     assert search.memories(spark, turns, "nobody", "red").count() == 0 and math.isfinite(1)
+
+
+def test_triples_are_merged_into_their_buckets(spark, tmp_path):
+    t = store.edge_table(spark, str(tmp_path / "g"), 8)
+    triples = lambda rows: spark.createDataFrame(rows, "src string, relation string, dst string, description string, chunk string, seq int")
+    assert store.upsert_triples(t, triples([("a", "r", "b", "old", "c1", 1), ("a", "r", "b", "mid", "c2", 2), ("x", "r", "y", "x", "c1", 3)]), "w", 0)
+    assert store.upsert_triples(t, triples([("a", "r", "b", "new", "c2", 1), ("a", "r", "b", "newer", "c3", 2)]), "w", 1)
+    assert not store.upsert_triples(t, triples([("a", "r", "b", "again", "c9", 1)]), "w", 1)
+    got = {(r["src"], r["dst"]): (r["description"], r["source_chunk_ids"]) for r in t.read(spark).collect()}
+    assert got == {("a", "b"): ("newer", ["c1", "c2", "c3"]), ("x", "y"): ("x", ["c1"])}
+
+
+def test_replace_keeps_the_old_rows_until_the_new_are_there(spark, tmp_path):
+    path = str(tmp_path / "r")
+    store.replace(spark.createDataFrame([(1,)], "x int"), path)
+    bad = spark.read.parquet(path).select(F.raise_error(F.lit("no")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        store.replace(bad, path)
+    assert [r["x"] for r in spark.read.parquet(path).collect()] == [1]
+    store.replace(spark.read.parquet(path).select((F.col("x") + 1).alias("x")), path)
+    assert [r["x"] for r in spark.read.parquet(path).collect()] == [2]
