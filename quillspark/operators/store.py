@@ -80,6 +80,20 @@ def upsert_graph(spark: SparkSession, path: str, triples: DataFrame) -> None:
     replace(upsert_edges(spark.read.parquet(path), new) if exists(spark, path) else new, path)
 
 
+def create_database(spark: SparkSession, name: str) -> bool:
+    """Creates a database of the catalog; whether it was not there."""
+    there = spark.catalog.databaseExists(name)
+    if not there:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+    return not there
+
+
+def recreate(spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 64) -> keyed.Table:
+    """An empty keyed table at path, whatever was there."""
+    versions.delete(spark, path)
+    return keyed.table(spark, path, keys, schema, buckets)
+
+
 EDGES = "src string, relation string, dst string, description string, source_chunk_ids array<string>"
 
 

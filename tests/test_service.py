@@ -115,6 +115,12 @@ def test_tasks_go_to_their_tiers():
     assert (model("route", ["x"]), model("community", ["x"]), model("other", ["x"])) == (["s"], ["lTrue"], ["s"])
 
 
+def test_lazy_models_are_made_once():
+    made = []
+    model = models.lazy("test", lambda: made.append(1) or (lambda task, payloads: payloads))
+    assert model("t", ["a"]) == ["a"] and model("t", ["b"]) == ["b"] and made == [1]
+
+
 def test_bounded_models_in_tasks(spark):
     rows = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "i int, p string")
     model = models.bounded(lambda task, payload: payload[::-1] if payload != "p7" else 1 / 0, 3)

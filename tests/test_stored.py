@@ -294,3 +294,28 @@ def test_replace_keeps_the_old_rows_until_the_new_are_there(spark, tmp_path):
     assert [r["x"] for r in spark.read.parquet(path).collect()] == [1]
     store.replace(spark.read.parquet(path).select((F.col("x") + 1).alias("x")), path)
     assert [r["x"] for r in spark.read.parquet(path).collect()] == [2]
+
+
+def test_databases_and_recreated_tables(spark, tmp_path):
+    assert store.create_database(spark, "quill_test") and not store.create_database(spark, "quill_test")
+    spark.sql("DROP DATABASE quill_test")
+    path, schema = str(tmp_path / "t"), "id long, v string"
+    t = store.recreate(spark, path, ["id"], schema, 4)
+    t.upsert(spark.createDataFrame([(1, "a")], schema))
+    assert t.read(spark).count() == 1
+    again = store.recreate(spark, path, ["v"], schema, 2)
+    assert again.read(spark).count() == 0 and again.keys == ("v",)
+
+
+def test_fusion_and_reranking_of_each_query_are_those_of_one(spark):
+    lists = {q: [[(i, r) for r, i in enumerate(random.Random(10 * q + n).sample(range(12), 6))] for n in (0, 1)] for q in (1, 2)}
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=5)) if i else None) for i in range(12)], "id long, text string")
+    both = [spark.createDataFrame([(q, i, r) for q in lists for i, r in lists[q][n]] + [(1, None, 9)], "query long, id long, rank int") for n in (0, 1)]
+    asked = spark.createDataFrame([(1, ["ab", "CD", "ab"]), (2, ["kl"])], "query long, words array<string>")
+    got = retrieval.local_each(docs, asked, [(both[0], 1.0), (both[1], 2.0)], 7, 0.3, 4).collect()
+    for q, words in ((1, ["ab", "cd"]), (2, ["kl"])):
+        one = retrieval.fuse([(df.where(f"query = {q}"), w) for df, w in zip(both, (1.0, 2.0))]).withColumn("rrf", F.round("rrf", 6))
+        first = retrieval.ranked(one, 7, F.desc("rrf"), F.asc("first_list"), F.asc("first_rank")).select("id", "rank")
+        best = retrieval.rerank(docs.join(first, "id").withColumn("text", F.coalesce("text", F.lit(""))), retrieval.overlap_score(F.col("text"), words), 0.3, 4)
+        want = [(r["id"], r["score"]) for r in best.orderBy(F.desc("score"), "rank").collect()]
+        assert [(r["id"], r["score"]) for r in sorted(got, key=lambda r: r["pos"]) if r["query"] == q] == want
