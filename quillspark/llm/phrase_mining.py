@@ -24,7 +24,7 @@ cut by language within salted groups first, so no task ranks a whole language.
 Defined results: a null or empty text has no words, a null language is `und`; rows count as often
 as they are there, with or without doc_id; a piece without words and one of any length are as
 they are; an empty table gives an empty table; further columns are ignored. Words are told
-apart by 64-bit hashes of their language and bytes.
+apart by 63-bit hashes of their language and bytes.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ DICTIONARY, BITMAP, BUCKET, PARCEL = 1 << 21, 1 << 26, 1 << 20, 1 << 20
 UNKNOWN = "und"
 _BREAK = 10
 _BLANK = np.uint64((1 << 64) - 1)
-_RARE = np.uint64(1 << 63)
+_RARE, _HASH = np.uint64(1 << 63), np.uint64((1 << 63) - 1)
 #: Bytes as they are read: capitals lowered, what ends a piece as line ends.
 _READ = np.arange(256, dtype=np.uint8)
 _READ[65:91] += 32
@@ -75,7 +75,7 @@ def blocks(texts: pa.Array, langs: np.ndarray) -> Iterator[Block]:
         ends_piece = np.zeros(len(data) + 1, np.int64)
         np.cumsum(data == _BREAK, out=ends_piece[1:])
         piece = ends_piece[words.starts] + row  # rows end pieces too
-        yield Block(mix(words.hashes + langs[a + row]), a + row, piece, data, words.starts, words.ends)
+        yield Block(mix(words.hashes + langs[a + row]) & _HASH, a + row, piece, data, words.starts, words.ends)
 
 
 def _langs(column: pa.Array) -> np.ndarray:
@@ -269,7 +269,7 @@ def mine(found: pa.Table, words: Dictionary, longest: int = LONGEST, least: int
         ids.append(part)
     ids = np.concatenate(ids)
     width = n_ranks + len(rare) + 1
-    hashes = np.concatenate([words.hashes, rare])
+    hashes = np.concatenate([words.hashes, rare & _HASH])
     before, after = (shape >> 4).astype(np.int64), (shape & 15).astype(np.int64)
     size = before + after + 1
     pivot_at = np.cumsum(size) - size + before
