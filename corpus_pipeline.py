@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
 but the last return the columns of documents.
+
+Defined results: a null or empty text fails the base rules and goes in the first stage; rows
+without doc_id are judged like others and keep their null; rows that repeat, or share a doc_id, are
+judged each until the near duplicates, where one of a group of equal or near texts stays;
+a text of any length is one document throughout, cut in pieces by the last stage only; columns
+that documents has beside its own are carried to the fourth stage; empty tables give an
+empty result; without labels nothing is learned, so no rule beyond the base rules and no rate but 1 applies.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import best_fit_packing, jaccard_join, line_dedup, quality_rules, source_mixing
-from quillspark.llm._shared import staged, table
+from quillspark.llm._shared import discard, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
