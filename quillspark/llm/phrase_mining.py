@@ -212,6 +212,8 @@ def fragments(docs: DataFrame, words: Dictionary, longest: int = LONGEST, parcel
         def parcels() -> Iterator[pa.RecordBatch]:
             group, shape, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            if not len(group):
+                return
             order = np.argsort(group, kind="stable")
             first = np.cumsum(size) - size
             size_ = size[order]
