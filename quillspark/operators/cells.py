@@ -238,12 +238,3 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(queries, recall): the share of exact (query, id) that found has."""
     both = exact.select("query", "id").join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
     return both.agg(F.count_distinct("query").alias("queries"), (F.count("hit") / F.count("*")).alias("recall"))
-
-
-def forget(cells: Cells, spark: SparkSession) -> None:
-    """Deletes the index."""
-    df = cells.read(spark)
-    df.cut_path = cells.path
-    dropped(df)
-
-

@@ -64,10 +64,10 @@ def evidence(edges: DataFrame, seeds: DataFrame, cap: int = DEFAULT.graph_chunk_
     return found.orderBy(F.desc("score"), F.desc("freq"), "chunk").limit(cap)
 
 
-def searchable(summaries: DataFrame) -> DataFrame:
-    """summaries (level, ...) below the three highest levels."""
+def searchable(summaries: DataFrame, closed: int = 3) -> DataFrame:
+    """summaries (level, ...) below the `closed` highest levels."""
     top = summaries.agg((F.max("level") + 1).alias("levels"))
-    return summaries.crossJoin(F.broadcast(top)).where(F.col("level") < F.col("levels") - 3).drop("levels")  # one row
+    return summaries.crossJoin(F.broadcast(top)).where(F.col("level") < F.col("levels") - closed).drop("levels")  # one row
 
 
 def sliced(rows: DataFrame, size: int, bucket: int = 50_000) -> DataFrame:

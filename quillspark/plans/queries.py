@@ -579,8 +579,11 @@ def hierarchy_covers(spark, d):
 
 @register("community_summaries")
 def community_summaries(spark, d):
+    """All summaries; `searchable` are those below the three highest levels, none in a flat hierarchy."""
     rows, nodes, edges = tree(spark, d)
-    return graph.searchable(graph.summaries(rows, nodes, edges))
+    made = graph.summaries(rows, nodes, edges)
+    top = made.agg((F.max("level") + 1).alias("levels"))
+    return made.crossJoin(F.broadcast(top)).withColumn("searchable", F.col("level") < F.col("levels") - 3).drop("levels")  # one row
 
 
 @register(
