@@ -162,10 +162,11 @@ def search(spark: SparkSession, cells: Cells, query: list[float] | None, k: int
         return _scored(rows, query, k)
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * (best[-1]["score"] - _SLACK)))) + _SLACK
     ranges = [(i, float(d[i]) - reach, float(d[i]) + reach) for i in order if d[i] - cells.radius[i] <= reach and cells.nearest[i] - d[i] <= reach]
-    kept = F.col("cell") == NOWHERE
-    for i, low, high in ranges:
-        kept = kept | ((F.col("cell") == i) & F.col("dist").between(low, high))
-    return _scored(rows.where(F.col("cell").isin([NOWHERE, *[i for i, _, _ in ranges]])).where(kept), query, k)
+    # the ranges are a table, so their number makes no expression deeper
+    table = [(NOWHERE, -np.inf, np.inf), *ranges]
+    bounds = spark.createDataFrame([(int(i), float(low), float(high)) for i, low, high in table], "cell int, low double, high double")
+    inside = rows.where(F.col("cell").isin([i for i, _, _ in table])).join(F.broadcast(bounds), "cell")  # a row for each cell
+    return _scored(inside.where(F.col("dist").between(F.col("low"), F.col("high"))), query, k)
 
 
 def cells_read(cells: Cells, query: list[float], reach: float) -> int:

@@ -26,3 +26,15 @@ def test_times_within_a_second_of_the_limit_are_rounded_as_in_sql(spark, tmp_pat
 
 def test_totals_name_every_failed_chunk(spark, tmp_path):
     assert same(spark, tmp_path, "extraction_totals", documents="SELECT i * 25 AS doc_id, 'Alice met Bob' AS text, 'en' AS lang, 's' AS source, 13 AS n_chars FROM range(2400) r(i)")
+
+
+def test_filtered_search_over_more_cells_than_an_expression_can_nest(spark, tmp_path):
+    import numpy as np
+
+    from quillspark.operators import cells, retrieval
+
+    x = np.random.default_rng(3).normal(size=(2000, 32))
+    v = spark.createDataFrame([(i, r.tolist(), i % 10) for i, r in enumerate(x)], "id long, vector array<double>, label int")
+    stored = cells.build(v, cells=500)
+    got = cells.search(spark, stored, x[0].tolist(), 20, where="label <> 3").collect()
+    assert got == retrieval.dense_topk(v.where("label <> 3"), v.where("id = 0"), 20).collect()
