@@ -38,3 +38,34 @@ def test_filtered_search_over_more_cells_than_an_expression_can_nest(spark, tmp_
     stored = cells.build(v, cells=500)
     got = cells.search(spark, stored, x[0].tolist(), 20, where="label <> 3").collect()
     assert got == retrieval.dense_topk(v.where("label <> 3"), v.where("id = 0"), 20).collect()
+
+
+def test_connected_parts_of_a_large_graph_are_divided_as_groups(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import graph, leiden
+
+    monkeypatch.setattr(leiden, "GROUP", 1000)
+
+    def never(*_):
+        raise AssertionError("no part is larger than a group")
+
+    monkeypatch.setattr(leiden, "leiden", never)
+    # five rings of 60 nodes, and pairs
+    rows = [(f"r{r}_{i:02d}", f"r{r}_{(i + s) % 60:02d}", 1.0) for r in range(5) for i in range(60) for s in (1, 2)] + [(f"p{i}", f"q{i}", 1.0) for i in range(40)]
+    edges = spark.createDataFrame(rows, "a string, b string, weight double")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    got = {r["node"]: r["community"] for r in graph.partition(edges, nodes, 30, 0.2, 3.0).collect()}
+    assert set(got) == {r["node"] for r in nodes.collect()}
+    sizes = {c: sum(x == c for x in got.values()) for c in got.values()}
+    assert max(sizes.values()) <= 30 and all(got[f"p{i}"] == got[f"q{i}"] == f"p{i}" for i in range(40))
+    assert all(n.split("_")[0] == c.split("_")[0] for n, c in got.items() if n[0] == "r")
+
+
+def test_connected_follows_long_paths(spark):
+    from quillspark.operators import leiden
+
+    rows = [(f"{p}{i:04d}", f"{p}{i + 1:04d}") for p in "xy" for i in range(300)]
+    edges = spark.createDataFrame(rows + [(b, a) for a, b in rows], "a string, b string")
+    nodes = edges.select(edges.a.alias("node")).distinct()
+    assert {(r["node"][0], r["part"]) for r in leiden.connected(edges, nodes).collect()} == {("x", "x0000"), ("y", "y0000")}
