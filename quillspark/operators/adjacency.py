@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import DEFAULT
+from quillspark.operators import graph
 from quillspark.sources.staging import cut, fresh_path, source_key
 
 #: Rows of a folder; nodes that a scan names one by one.
@@ -46,6 +47,34 @@ class Adjacency:
         return rows.join(wanted, ["bucket", "u"], "left_semi").drop("bucket")
 
 
+def _both_ways(rows: DataFrame) -> DataFrame:
+    """(u, v, eid, chunks) of (src, dst, eid, chunks). A loop is one row: both ways of it are the same way."""
+    ways = F.when(F.col("src") == F.col("dst"), F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")))).otherwise(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
+    return rows.select(F.explode(ways).alias("w"), "eid", "chunks").select("w.u", "w.v", "eid", "chunks")
+
+
+@dataclass(frozen=True)
+class Unmerged:
+    """Triples (src, relation, dst, description, chunk, seq) that are not stored: a search merges the edges at
+    its frontier only. For single searches of tables that no search had before."""
+
+    triples: DataFrame
+
+    def around(self, spark: SparkSession, nodes: DataFrame) -> DataFrame:
+        """The rows (u, v, eid, chunks) of nodes (u), each node once, as Adjacency.around()."""
+        few = [r["u"] for r in nodes.limit(NAMED + 1).collect()]
+        if len(few) <= NAMED:
+            at = lambda rows, c: rows.where(F.col(c).isin(few))
+            other = self.triples.where(~F.col("src").isin(few)) if few else self.triples
+        else:
+            at = lambda rows, c: rows.join(nodes.select(F.col("u").alias(c)), c, "left_semi")
+            other = self.triples.join(nodes.select(F.col("u").alias("src")), "src", "left_anti")
+        touched = at(self.triples, "src").unionByName(at(other, "dst")).where("src is not null and dst is not null")
+        edges = graph.merge_edges(touched).where("size(source_chunk_ids) > 0")
+        rows = edges.select("src", "dst", F.xxhash64("src", "relation", "dst").alias("eid"), F.col("source_chunk_ids").alias("chunks"))
+        return at(_both_ways(rows), "u")
+
+
 def build(edges: DataFrame, path: str | None = None) -> Adjacency:
     """edges (src, relation, dst, source_chunk_ids, maybe created_by), merged, at path or else in the
     shared folder."""
@@ -54,9 +83,7 @@ def build(edges: DataFrame, path: str | None = None) -> Adjacency:
     if "created_by" in edges.columns:
         rows = rows.where(F.coalesce("created_by", F.lit("")) != "Agent_Memory")
     rows = rows.select("src", "dst", F.xxhash64("src", "relation", "dst").alias("eid"), F.col("source_chunk_ids").alias("chunks"))
-    # a loop is one row: both ways of it are the same way
-    ways = F.when(F.col("src") == F.col("dst"), F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")))).otherwise(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
-    both = cut(rows.select(F.explode(ways).alias("w"), "eid", "chunks").select("w.u", "w.v", "eid", "chunks"))
+    both = cut(_both_ways(rows))
     kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
     out = Adjacency(path, f"u {kinds['u']}, v {kinds['v']}, eid long, chunks {kinds['chunks']}, bucket int", max(1, -(-both.count() // FOLDER)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -79,7 +106,7 @@ def of(edges: DataFrame) -> Adjacency:
     return _built[key]
 
 
-def evidence(stored: Adjacency, seeds: DataFrame, cap: int = DEFAULT.graph_chunk_cap) -> DataFrame:
+def evidence(stored: Adjacency | Unmerged, seeds: DataFrame, cap: int = DEFAULT.graph_chunk_cap) -> DataFrame:
     """(chunk, score, freq): evidence of all paths of one or two edges from the seeds (id, score), either
     way along an edge, no edge twice in a path: what graph.evidence() gives for the edges. Each hop reads
     the rows of its frontier."""

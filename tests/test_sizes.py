@@ -69,3 +69,36 @@ def test_connected_follows_long_paths(spark):
     edges = spark.createDataFrame(rows + [(b, a) for a, b in rows], "a string, b string")
     nodes = edges.select(edges.a.alias("node")).distinct()
     assert {(r["node"][0], r["part"]) for r in leiden.connected(edges, nodes).collect()} == {("x", "x0000"), ("y", "y0000")}
+
+
+def test_evidence_of_unmerged_triples_is_that_of_the_stored_edges(spark, monkeypatch):
+    import random
+
+    from quillspark.operators import adjacency, graph
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(30), rng.choice("ab"), rng.choice([None, *range(30)]), "x", rng.randrange(50), i) for i in range(300)]
+    t = spark.createDataFrame(rows, "src long, relation string, dst long, description string, chunk long, seq long")
+    seeds = spark.createDataFrame([(1, 0.5), (2, 0.25), (99, 1.0)], "id long, score double")
+    want = adjacency.evidence(adjacency.build(graph.merge_edges(t)), seeds, 1000).collect()
+    for named in (4000, 1):
+        monkeypatch.setattr(adjacency, "NAMED", named)
+        assert adjacency.evidence(adjacency.Unmerged(t), seeds, 1000).collect() == want
+
+
+def test_a_scan_among_some_documents_equals_an_index_of_these(spark):
+    from quillspark.operators import index, retrieval
+
+    docs = spark.createDataFrame([(i, None if i == 7 else f"red w{i % 3} " + "blue " * (i % 5)) for i in range(40)], "id long, text string")
+    some = docs.where("id % 3 <> 1")
+    want = index.bm25_topk(spark, index.build(some), ["red", "Blue", "none"], 12).collect()
+    assert retrieval.bm25_topk(docs, ["red", "Blue", "none"], 12, among=some.select("id")).collect() == want
+
+
+def test_a_model_gets_bounded_calls(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import models
+
+    out = spark.range(3000).coalesce(1).select(models.complete("x", F.col("id").cast("string"), lambda task, p: [str(len(p))] * len(p)).alias("a"))
+    assert max(int(r["a"]["value"]) for r in out.collect()) <= models.CALL
