@@ -30,6 +30,8 @@ from quillspark.sources.staging import cut, dropped, fresh_path, source_key
 #: Rows of the sample for each centroid, and in all; most centroids; passes of k-means.
 PER_CELL, SAMPLE, MOST_CELLS, PASSES = 64, 100_000, 4096, 10
 NOWHERE = -1
+#: Distances that a task computes at once; queries with a cell that it hands on at once.
+DISTANCES, SENT = 1 << 20, 10_000
 #: Scores are rounded to six places, and sums of floats differ in their last bits.
 _SLACK = 2e-6
 
@@ -73,6 +75,14 @@ def kmeans(x: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     return centroids
 
 
+def _few(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """batches in slices whose distances to all cells are at most DISTANCES."""
+    n = max(1, DISTANCES // max(1, cells))
+    for batch in batches:
+        for low in range(0, batch.num_rows, n):
+            yield batch.slice(low, n)
+
+
 def _placed(vectors: DataFrame, size: int) -> DataFrame:
     v = F.col("vector").cast("array<double>")
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
@@ -96,7 +106,7 @@ def build(vectors: DataFrame, path: str | None = None, cells: int | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for batch in batches:
+        for batch in _few(batches, len(c)):
             cell, dist = np.full(batch.num_rows, NOWHERE), np.zeros(batch.num_rows)
             fits = np.flatnonzero(batch.column(fits_at).to_numpy(zero_copy_only=False))
             if len(fits) and len(c):
@@ -187,7 +197,7 @@ def search_each(cells: Cells, queries: DataFrame, k: int = DEFAULT.top_k_recall,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, rows, n_blocks = nearest.value
-        for batch in batches:
+        for batch in _few(batches, len(rows)):
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             d = np.where(rows > 0, _distance(_unit(x), centroids), np.inf)
             own = np.argsort(d, axis=1, kind="stable")[:, : min(probes, int((rows > 0).sum()))]
@@ -195,8 +205,12 @@ def search_each(cells: Cells, queries: DataFrame, k: int = DEFAULT.top_k_recall,
             times = n_blocks[cell]
             at, cell = np.repeat(at, times), np.repeat(cell, times)
             block = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-            took = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32))], names=["query", "vector", "cell", "block"])
+            yield from sent(batch, at, cell, block)
+
+    def sent(batch: pa.RecordBatch, at: np.ndarray, cell: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(at), SENT):  # a vector is repeated for every cell it goes to
+            took, part = batch.take(pa.array(at[low : low + SENT])), slice(low, low + SENT)
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell[part].astype(np.int32)), pa.array(block[part].astype(np.int32))], names=["query", "vector", "cell", "block"])
 
     left = marked.mapInArrow(place, f"query {kind}, vector {queries.schema['vector'].dataType.simpleString()}, cell int, block int")
     n_blocks = F.array(*[F.lit(int(b)) for b in blocks]) if len(blocks) else F.array(F.lit(1))
