@@ -3,9 +3,11 @@ query only.
 
 Under the path the caller gives lie
 
-* `segments/<name>/postings`: (bucket, term, id, tf, dl), in folders by a hash of the term, as
-  many as the segment's postings ask for, sorted by term inside;
-* `segments/<name>/docs`: (id, dl), a row for each document;
+* `segments/<name>/postings`: (bucket, term, ids, tfs, dls), in folders by a hash of the term, as
+  many as the segment's postings ask for, sorted by term inside; a row has the postings of a
+  term in some thousands of documents, so rows are sorted and moved by the list;
+* `segments/<name>/docs`: (id, dl, terms, tfs), a row for each document with its distinct terms. A merge
+  makes its postings of these: what is gone leaves by document, not by posting;
 * `gone/<name>`: (segment, id) of documents that were deleted or replaced later;
 * `versions/<number>`: the manifest, a row for each segment (name, buckets, documents, terms) and each
   folder of deletions (what went of the counts). A change writes its folders first and then, as
@@ -18,18 +20,22 @@ One writer at a time. Searching an index equals searching one that is built anew
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.config import DEFAULT
+from quillspark.functions import tokens
 from quillspark.operators import retrieval
 from quillspark.sources import versions
 from quillspark.sources.staging import cut, dropped, fresh_path, source_key
 
-#: Postings of a folder of a segment.
-FOLDER = 1 << 22
+#: Postings of a folder of a segment; those whose lists are made at once.
+FOLDER, LISTS = 1 << 22, 1 << 21
 MANIFEST = "kind string, name string, buckets int, n long, texts long, total long, id_type string"
 
 
@@ -37,6 +43,14 @@ def _bucket(term: Column, buckets: int | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
 
 
+def _docs(id_type: str) -> str:
+    return f"id {id_type}, dl long, terms array<string>, tfs array<int>"
+
+
+def _lists(id_type: str) -> str:
+    return f"term string, ids array<{id_type}>, tfs array<int>, dls array<int>"
+
+
 @dataclass(frozen=True)
 class Index:
     """One version of the index at a path; entries are the rows of its manifest."""
@@ -73,24 +87,25 @@ class Index:
         the statistics of sorted row groups leave out most."""
         words, out = list(dict.fromkeys(w.lower() for w in words)), None
         for e in self.segments:
-            rows = spark.read.schema(f"id {e['id_type']}, dl long, term string, tf long, bucket int").parquet(f"{self.path}/segments/{e['name']}/postings")
+            rows = spark.read.schema(f"{_lists(e['id_type'])}, bucket int").parquet(f"{self.path}/segments/{e['name']}/postings")
             if words:
                 rows = rows.where(F.col("bucket").isin(*[_bucket(F.lit(w), e["buckets"]) for w in words]) & F.col("term").isin(*words))
-            rows = (rows if words else rows.limit(0)).withColumn("segment", F.lit(e["name"]))
+            each = (rows if words else rows.limit(0)).select("term", "bucket", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+            rows = each.select(F.col("p.ids").alias("id"), F.col("p.dls").cast("long").alias("dl"), "term", F.col("p.tfs").cast("long").alias("tf"), "bucket", F.lit(e["name"]).alias("segment"))
             out = rows if out is None else out.unionByName(rows)
         if out is None:
             return spark.createDataFrame([], "id long, dl long, term string, tf long, bucket int, segment string")
         gone = self.gone(spark)
         return out if gone is None else out.join(gone, ["segment", "id"], "left_anti")
 
-    def documents(self, spark: SparkSession) -> DataFrame:
-        """(segment, id, dl) of the live documents; dl is null without a text."""
+    def documents(self, spark: SparkSession, *terms: str) -> DataFrame:
+        """(segment, id, dl) of the live documents, with terms and tfs if named; dl is null without a text."""
         out = None
         for e in self.segments:
-            rows = spark.read.schema(f"id {e['id_type']}, dl long").parquet(f"{self.path}/segments/{e['name']}/docs").withColumn("segment", F.lit(e["name"]))
+            rows = spark.read.schema(_docs(e["id_type"])).parquet(f"{self.path}/segments/{e['name']}/docs").select("id", "dl", *terms, F.lit(e["name"]).alias("segment"))
             out = rows if out is None else out.unionByName(rows)
         if out is None:
-            return spark.createDataFrame([], "id long, dl long, segment string")
+            return spark.createDataFrame([], f"{_docs('long')}, segment string").select("id", "dl", *terms, "segment")
         gone = self.gone(spark)
         return out if gone is None else out.join(gone, ["segment", "id"], "left_anti")
 
@@ -110,22 +125,60 @@ def _commit(spark: SparkSession, before: Index, entries: list[dict]) -> Index:
     return Index(before.path, before.version + 1, _ordered(entries))
 
 
-def _segment(docs: DataFrame, path: str) -> dict:
-    """Writes a segment of docs (id, text), each id once; its entry. Terms are counted in each row; one
-    shuffle deals the postings out by folder and id, so a frequent term is no one task's."""
-    spark, name = docs.sparkSession, uuid.uuid4().hex
-    counted = cut(retrieval.counted(docs))
-    buckets = max(1, -(-counted.count() // FOLDER))
+def _counted(docs: DataFrame) -> DataFrame:
+    """(id, dl, terms, tfs) of docs (id, text): the distinct terms of each row and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in tokens.blocks(batch):
+                n, key, names, tf = tokens.term_counts(texts)
+                width = max(1, len(names))
+                ends = pa.array(np.searchsorted(key, np.arange(len(n) + 1) * width).astype(np.int32))
+                dl = pa.array(n, mask=np.array(texts.is_null()))
+                found = pa.ListArray.from_arrays(ends, names.take(pa.array(key % width)))
+                yield pa.RecordBatch.from_arrays([ids, dl, found, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], names=["id", "dl", "terms", "tfs"])
+
+    return docs.select("id", F.lower("text").alias("text")).mapInArrow(run, _docs(docs.schema["id"].dataType.simpleString()))
+
+
+def _inverted(counted: DataFrame) -> DataFrame:
+    """(term, ids, tfs, dls) of counted rows: a row for each term in some thousands of documents."""
+
+    def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, dl, terms, tfs = (t[c].combine_chunks() for c in ("id", "dl", "terms", "tfs"))
+        doc = np.repeat(np.arange(len(ids)), np.array(terms.value_lengths().fill_null(0)))
+        found = terms.flatten().dictionary_encode()
+        term = np.array(found.indices)
+        order = np.argsort(term, kind="stable")
+        doc, ends = doc[order], pa.array(np.searchsorted(term[order], np.arange(len(found.dictionary) + 1)).astype(np.int32))
+        columns = [ids.take(pa.array(doc)), pa.array(np.array(tfs.flatten())[order]), pa.array(np.array(dl.fill_null(0)).astype(np.int32)[doc])]
+        return pa.RecordBatch.from_arrays([found.dictionary, *(pa.ListArray.from_arrays(ends, c) for c in columns)], names=["term", "ids", "tfs", "dls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch.column(2).flatten())
+            if n >= LISTS:
+                yield lists(held)
+                held, n = [], 0
+        if n:
+            yield lists(held)
+
+    return counted.mapInArrow(run, _lists(counted.schema["id"].dataType.simpleString()))
+
+
+def _deal(spark: SparkSession, path: str, name: str, id_type: str) -> dict:
+    """Writes the postings of a segment whose docs are written; its entry. One shuffle deals the lists
+    out by folder and documents, so a frequent term is no one task's."""
+    docs = spark.read.schema(_docs(id_type)).parquet(f"{path}/segments/{name}/docs")
+    r = docs.agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.sum("dl").alias("total"), F.sum(F.size("tfs")).alias("postings")).first()
+    buckets = max(1, -(-(r["postings"] or 0) // FOLDER))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = counted.withColumn("bucket", _bucket(F.col("term"), buckets))
-    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // buckets))))
-    dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/segments/{name}/postings")
-    sizes = counted.groupBy("id").agg(F.first("dl").alias("dl"))
-    known = docs.select("id", F.col("text").isNotNull().alias("has")).join(sizes, "id", "left")
-    known.select("id", F.when(F.col("has"), F.coalesce("dl", F.lit(0)).cast("long")).alias("dl")).write.parquet(f"{path}/segments/{name}/docs")
-    id_type = docs.schema["id"].dataType.simpleString()
-    r = spark.read.schema(f"id {id_type}, dl long").parquet(f"{path}/segments/{name}/docs").agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.sum("dl").alias("total")).first()
-    dropped(counted)
+    rows = _inverted(docs).withColumn("bucket", _bucket(F.col("term"), buckets))
+    dealt = rows.repartition(parts, "bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(max(1, parts // buckets))))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/segments/{name}/postings")
     return {"kind": "segment", "name": name, "buckets": buckets, "n": r["n"], "texts": r["texts"], "total": r["total"] or 0, "id_type": id_type}
 
 
@@ -146,15 +199,18 @@ def _forget(spark: SparkSession, index: Index, ids: DataFrame) -> dict | None:
 def append(index: Index, docs: DataFrame) -> Index:
     """The next version, with docs (id, text) as a segment more; documents that had one of their ids
     are replaced. Of rows with one id the one with the greatest text counts."""
-    spark = docs.sparkSession
-    rows = docs.select("id", "text")
-    rows = cut(rows.where("id is not null").groupBy("id").agg(F.max("text").alias("text")))
+    spark, name, id_type = docs.sparkSession, uuid.uuid4().hex, docs.schema["id"].dataType.simpleString()
+    path = f"{index.path}/segments/{name}/docs"
+    rows = docs.select("id", "text").where("id is not null")
+    _counted(rows).write.parquet(path)
+    ids = spark.read.schema(_docs(id_type)).parquet(path).select("id")
+    if not ids.groupBy("id").count().where("count > 1").isEmpty():  # only then texts are compared
+        _counted(rows.groupBy("id").agg(F.max("text").alias("text"))).write.mode("overwrite").parquet(path)
+        ids = spark.read.schema(_docs(id_type)).parquet(path).select("id")
     entries = list(index.entries)
-    if index.segments and (old := _forget(spark, index, rows)):
+    if index.segments and (old := _forget(spark, index, ids)):
         entries.append(old)
-    out = _commit(spark, index, [*entries, _segment(rows, index.path)])
-    dropped(rows)
-    return out
+    return _commit(spark, index, [*entries, _deal(spark, index.path, name, id_type)])
 
 
 def delete(index: Index, ids: DataFrame) -> Index:
@@ -172,19 +228,9 @@ def merge(spark: SparkSession, index: Index, most: int = 1) -> Index:
     few = by_size if most <= 1 else by_size[: len(by_size) - most + 1]
     names = {e["name"] for e in few}
     part = Index(index.path, index.version, tuple(e for e in index.entries if e["kind"] == "gone" or e["name"] in names))
-    gone = index.gone(spark)
-    name, rows, docs = uuid.uuid4().hex, None, part.documents(spark).drop("segment")
-    for e in few:
-        one = spark.read.schema(f"id {e['id_type']}, dl long, term string, tf long, bucket int").parquet(f"{index.path}/segments/{e['name']}/postings").withColumn("segment", F.lit(e["name"]))
-        rows = one if rows is None else rows.unionByName(one)
-    rows = cut((rows if gone is None else rows.join(gone, ["segment", "id"], "left_anti")).drop("segment", "bucket"))
-    buckets, parts = max(1, -(-rows.count() // FOLDER)), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // buckets))))
-    dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{index.path}/segments/{name}/postings")
-    docs.write.parquet(f"{index.path}/segments/{name}/docs")
-    dropped(rows)
-    r = spark.read.schema(f"id {index._id_type()}, dl long").parquet(f"{index.path}/segments/{name}/docs").agg(F.count("*").alias("n"), F.count("dl").alias("texts"), F.sum("dl").alias("total")).first()
-    made = {"kind": "segment", "name": name, "buckets": buckets, "n": r["n"], "texts": r["texts"], "total": r["total"] or 0, "id_type": index._id_type()}
+    gone, name = index.gone(spark), uuid.uuid4().hex
+    part.documents(spark, "terms", "tfs").drop("segment").write.parquet(f"{index.path}/segments/{name}/docs")
+    made = _deal(spark, index.path, name, index._id_type())
     kept = [e for e in index.segments if e["name"] not in names]
     entries = [*kept, made]
     if kept and gone is not None:  # deletions that other segments still have

@@ -5,10 +5,11 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import variants
+from quillspark.functions import text, tokens, variants
 from quillspark.operators import adjacency, cells, graph, index, keyed, leiden, numbering, retrieval, search, store
 from quillspark.sources.staging import source_key
 
@@ -51,6 +52,47 @@ def test_segments_equal_a_rebuild(spark, tmp_path):
     assert index.delete(whole, gone) is whole
 
 
+def test_terms_over_bytes_equal_the_pattern(spark):
+    odd = ["", None, "a", "天", "ab天天c_1", "天", "x", "É İK ſ ß é", "\u4dff\u4e00\u9fff\ua000\u3400", "😀a😀", "a\u0000b-C", "ends a", "begins", " ", "\U00020000天"]
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in enumerate([*odd, *("".join(rng.choices("aZ_9 -.é天\u9fff\ua000😀\n", k=rng.randrange(40))) for _ in range(300))])]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = docs.select("id", text.terms(F.col("text")).alias("t"), F.lower("text").alias("l")).orderBy("id").collect()
+    got = tokens.split_terms(pa.array([r["l"] for r in want])[0:]).to_pylist()
+    assert [[x.decode() for x in g] for g in got] == [r["t"] or [] for r in want]
+    got = tokens.split_terms(pa.array([r["l"] for r in want])[3:9]).to_pylist()
+    assert [[x.decode() for x in g] for g in got] == [r["t"] or [] for r in want][3:9]
+    assert sorted(map(tuple, retrieval.counted(docs).collect())) == sorted(map(tuple, retrieval.postings(docs).select("id", "dl", "term", "tf").collect()))
+
+
+def test_an_index_moves_lists_and_not_postings(spark, monkeypatch):
+    """Rows that are stored are lists of a term in many documents; small ones give the same."""
+    docs = spark.createDataFrame([(i, f"common w{i % 7} 天 common") for i in range(400)], "id long, text string").coalesce(1)
+    built = index.build(docs)
+    (segment,) = built.segments
+    stored = spark.read.parquet(f"{built.path}/segments/{segment['name']}/postings")
+    assert stored.count() == 9 and stored.selectExpr("sum(size(ids))").first()[0] == 1200
+    monkeypatch.setattr(index, "LISTS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        small = index.build(docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.read.parquet(f"{small.path}/segments/{small.segments[0]['name']}/postings").count() > 100
+    for words in (["common"], ["w3", "天"]):
+        assert found(spark, small, words) == found(spark, built, words) != []
+
+
+def test_rows_of_one_id_and_ids_that_are_texts(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "ab cd"), ("a", "ab ef ef"), ("b", None), ("b", "kl"), ("c", None), ("c", None), (None, "mn"), ("d", "")], "id string, text string")
+    built = index.append(index.at(spark, str(tmp_path / "t")), docs)
+    assert (built.n, built.avgdl) == (4, 4 / 3)
+    assert {tuple(r) for r in built.postings(spark, WORDS).select("id", "dl", "term", "tf").collect()} == {("a", 3, "ab", 1), ("a", 3, "ef", 2), ("b", 1, "kl", 1)}
+    less = index.merge(spark, index.delete(built, docs.where("id = 'a'").select("id")))
+    assert (less.n, [r["id"] for r in less.postings(spark, WORDS).collect()]) == (3, ["b"])
+    assert [r["id"] for r in less.documents(spark).where("dl is null").collect()] == ["c"]
+
+
 def test_an_unfinished_change_is_not_seen(spark, tmp_path):
     path = str(tmp_path / "index")
     built = index.append(index.at(spark, path), texts(spark, 1, range(9)))
