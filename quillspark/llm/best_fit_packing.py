@@ -24,8 +24,9 @@ from __future__ import annotations
 import base64
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +209,17 @@ def fillings(hist: dict[int, int], room: int, waste: int) -> Iterator[tuple[int,
                     yield f
 
 
+def in_lots(make: Callable[[], Iterator]) -> Iterator:
+    """The items of make(), which is called anew for each lot, so that nothing but the lot is held while
+    its items are in use. Lots double, so all calls together make few items twice."""
+    first, lot = 0, 1
+    while found := list(islice(make(), first, first + lot)):
+        yield from found
+        if len(found) < lot:
+            return
+        first, lot = first + lot, 2 * lot
+
+
 def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> Plan:
     """Fillings with multiplicities that hold all pieces in as few bins as was found in
     `nodes` nodes of the search; None: as many as EFFORT allows."""
@@ -223,20 +235,24 @@ def plan_bins(hist: dict[int, int], capacity: int = CAPACITY, nodes: int | None
         rest = best_fit(left, capacity)
         if used + size(rest) < size(best):
             best = [*done, *rest]
+        del rest  # a path holds as little as it can: there are hundreds of nodes on it
         if not left or size(best) == bound or spent > nodes or used + lower_bound(left, capacity) >= size(best):
             return
         longest = max(left)
-        others = {x: n - (x == longest) for x, n in left.items() if n - (x == longest)}
-        for f in fillings(others, capacity - longest, (size(best) - 1) * capacity - total - wasted):
+        waste = (size(best) - 1) * capacity - total - wasted
+
+        def beside() -> Iterator[tuple[int, ...]]:
+            return fillings({x: n - (x == longest) for x, n in left.items() if n - (x == longest)}, capacity - longest, waste)
+
+        for f in in_lots(beside):
             need: dict[int, int] = {}
             for x in (longest, *f):
                 need[x] = need.get(x, 0) + 1
             free = capacity - longest - sum(f)
             most = min(left[x] // k for x, k in need.items())
             for times in dict.fromkeys((most, 1)):
-                after = {x: n - times * need.get(x, 0) for x, n in left.items()}
                 if wasted + times * free <= (size(best) - 1) * capacity - total:
-                    search({x: n for x, n in after.items() if n}, [*done, (tuple(sorted(need.items(), reverse=True)), times)], used + times, wasted + times * free)
+                    search({x: n - times * need[x] if x in need else n for x, n in left.items() if n != times * need.get(x, 0)}, [*done, (tuple(sorted(need.items(), reverse=True)), times)], used + times, wasted + times * free)
                 if size(best) == bound or spent > nodes:
                     return
 

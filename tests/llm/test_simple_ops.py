@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import chat_formatting, fingerprints, hilbert_sharding, line_dedup, quality_rules
+from quillspark.llm import best_fit_packing, chat_formatting, fingerprints, hilbert_sharding, line_dedup, quality_rules
 from quillspark.llm._words import shingle_sets, text_blocks, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -245,3 +245,22 @@ def test_merge_is_the_sketch_of_the_union(spark):
         both = set(r["a"]) | set(r["b"])
         low = {x for x in both if x < fingerprints._LIMIT}
         assert set(r["m"]) == (low or {min(both)})
+
+
+def test_a_plan_of_many_lengths_holds_little():
+    """Nodes on the path of the search hold no tables of sums; lots give what one pass gives."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    hist = dict(Counter(min(2048, max(1, int(rng.lognormvariate(6, 1.1)))) for _ in range(45_000)))
+    tracemalloc.start()
+    plan = best_fit_packing.plan_bins(hist, nodes=60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    packed: dict[int, int] = {}
+    for filling, times in plan:
+        for length, copies in filling:
+            packed[length] = packed.get(length, 0) + copies * times
+    assert packed == hist and peak < 25e6
+    for n in (0, 1, 2, 3, 7, 8, 40):
+        assert list(best_fit_packing.in_lots(lambda n=n: iter(range(n)))) == list(range(n))
