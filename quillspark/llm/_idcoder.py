@@ -28,8 +28,10 @@ SLOT_BITS = 9
 _EMPTY = 0xFFFFFF
 _U = np.uint64
 _LEAST_RANGE = _U(1 << 48)
+#: Steps whose events are prepared for the coder at once.
+TOGETHER = 16
 #: Shares of 16 bits an event may have; at least 1/64 and 1/16 is left to what comes after.
-_MOST = np.array([[65536 * 63 // 64], [65536 * 15 // 16]])
+_MOST = np.array([[65536 * 63 // 64], [65536 * 15 // 16]], np.int32)
 _GAP = 16  # least share of a class, of 32768
 
 
@@ -132,11 +134,13 @@ class Model:
         self.slots[self.slot] = (came ^ ((came ^ self.found) & keep)) | _NEXT.take(self.sure, mode="clip")
         self.two, self.one = self.one, u
         inner = self.classes[1:-1].view(np.int16)
-        step = np.multiply(self.inner > k.astype(np.int16), self.span, dtype=np.int16)
+        step = k.astype(np.int16) - self.inner
+        step >>= 15  # all bits where the class begins after k
+        step &= self.span
         step += self.low
         step -= inner
         step >>= 5
-        step *= rest.astype(np.int16)
+        step &= -rest.astype(np.int16)
         inner += step
 
 
@@ -186,35 +190,43 @@ def _encode_lanes(ids: np.ndarray, ranks: np.ndarray, id_class: np.ndarray, star
     steps, lanes = ids.shape
     model, coder = Model(lanes, id_class, start), _Coder(lanes, steps + 16)
     base = np.array([0, *(1 << np.arange(31))], np.int64)
-    for t in range(steps):
-        if not t % 64:  # what does not depend on the model, for several steps at once
-            ahead = id_class.take(ids[t : t + 64])
-            offsets = (ranks[t : t + 64] - base.take(ahead)).view(_U)
-            bits = np.maximum(ahead - 1, 0).astype(_U)
-            places = ahead * np.int64(lanes) + model.lane
-        now, k, flat = ids[t], ahead[t % 64], places[t % 64]
-        c, share = model.predict()
-        hit = c == now
-        hit &= model.named
-        hit[1] &= ~hit[0]
-        rest = ~(hit[0] | hit[1])
-        a, b = share[0].astype(np.int64), share[1].astype(np.int64)
-        begin = np.where(hit[0], 0, a + np.where(rest, b, 0))
-        size = np.where(hit[0], a, np.where(hit[1], b, 65536 - a - b))
-        r = coder.range >> _U(16)
-        delta = r * begin.view(_U)
-        r = r * size.view(_U)
-        first = model.classes.take(flat, mode="clip")
-        width = np.where(rest, model.classes.take(flat + lanes, mode="clip") - first, 1).astype(_U)
-        r >>= rest * _U(15)
-        delta += r * (first * rest)
-        r *= width
-        r >>= bits[t % 64] * rest
-        delta += r * (offsets[t % 64] * rest)
-        coder.range = r
-        coder.add(delta)
-        coder.settle()
-        model.update(now, hit, k, rest)
+    for t in range(0, steps, TOGETHER):
+        # what the model says of some steps, then all that the coder needs of it at once
+        part = ids[t : t + TOGETHER]
+        m = len(part)
+        k = id_class.take(part)
+        places = k * np.int64(lanes) + model.lane
+        shares, hits, rests = np.empty((m, 2, lanes), np.int64), np.empty((m, 2, lanes), bool), np.empty((m, lanes), bool)
+        first, width = np.empty((m, lanes), np.uint16), np.empty((m, lanes), np.uint16)
+        for i in range(m):
+            c, shares[i] = model.predict()
+            hit, rest = hits[i], rests[i]
+            np.equal(c, part[i], out=hit)
+            hit &= model.named
+            np.greater(hit[1], hit[0], out=hit[1])
+            np.equal(hit[0], hit[1], out=rest)  # neither, as they are never both
+            model.classes.take(places[i], mode="clip", out=first[i])
+            model.classes.take(places[i] + lanes, mode="clip", out=width[i])
+            model.update(part[i], hit, k[i], rest)
+        a, b = shares[:, 0], shares[:, 1]
+        begin = np.where(hits[:, 0], 0, a + np.where(rests, b, 0)).view(_U)
+        size = np.where(hits[:, 0], a, np.where(hits[:, 1], b, 65536 - a - b)).view(_U)
+        width = np.where(rests, width - first, 1).astype(_U)
+        first = (first * rests).astype(_U)
+        fine, bits = rests * _U(15), np.maximum(k - 1, 0).astype(_U) * rests
+        offsets = (ranks[t : t + TOGETHER] - base.take(k)).view(_U) * rests
+        for i in range(m):
+            r = coder.range >> _U(16)
+            delta = r * begin[i]
+            r *= size[i]
+            r >>= fine[i]
+            delta += r * first[i]
+            r *= width[i]
+            r >>= bits[i]
+            delta += r * offsets[i]
+            coder.range = r
+            coder.add(delta)
+            coder.settle()
     # one word more names a number inside the last range; what follows reads as zeros
     coder.add((_U(0) - coder.low) & (_LEAST_RANGE - _U(1)))
     coder.range[:] = 0

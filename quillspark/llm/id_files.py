@@ -22,6 +22,7 @@ whose ranks are read by a faster library where they lie beside it; both give the
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,10 @@ def files(docs: DataFrame, path: str | None = None, end: int = END, file_ids: in
         docs_held: list[pa.Array] = []
         total = 0
 
+        def ended(ids: list[int]) -> np.ndarray:
+            ids.append(end)
+            return np.frombuffer(array("i", ids), np.int32)
+
         def file() -> pa.RecordBatch:
             ids = np.concatenate(held)
             lengths = pa.array([[len(x) for x in held]], pa.list_(pa.int64()))
@@ -59,7 +64,7 @@ def files(docs: DataFrame, path: str | None = None, end: int = END, file_ids: in
 
         for batch in batches:
             for a in range(0, batch.num_rows, TEXTS):
-                found = [np.array([*ids, end], np.int32) for ids in encode([t or "" for t in batch.column(1).slice(a, TEXTS).to_pylist()])]
+                found = [ended(ids) for ids in encode([t or "" for t in batch.column(1).slice(a, TEXTS).to_pylist()])]
                 held += found
                 docs_held.append(batch.column(0).slice(a, TEXTS))
                 total += sum(map(len, found))
