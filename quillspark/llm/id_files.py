@@ -22,7 +22,6 @@ whose ranks are read by a faster library where they lie beside it; both give the
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +30,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import _idcoder
+from quillspark.llm import _idcoder, _pieces
 from quillspark.llm._shared import partitions, small_batches, staged, table
-from quillspark.llm.best_fit_packing import encoder, tokenizer_path
+from quillspark.llm.best_fit_packing import tokenizer_path
 
 END = 2
 FILE_IDS = 1 << 23
-#: Texts that are encoded at once, rows of a batch that crosses to Python.
+#: Texts after which a file may end, rows of a batch that crosses to Python.
 TEXTS, ROWS = 64, 1000
+#: Bytes of batches whose texts are encoded together, once they are so many.
+TOGETHER = 1 << 24
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches with rows, in groups of at least TOGETHER bytes but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= TOGETHER:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def files(docs: DataFrame, path: str | None = None, end: int = END, file_ids: int = FILE_IDS, block: int = _idcoder.BLOCK) -> DataFrame:
@@ -46,32 +60,35 @@ def files(docs: DataFrame, path: str | None = None, end: int = END, file_ids: in
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, first = encoder(path), TaskContext.get().partitionId(), 0, 0
+        part, seq, first = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
+        held_lengths: list[np.ndarray] = []
         docs_held: list[pa.Array] = []
         total = 0
 
-        def ended(ids: list[int]) -> np.ndarray:
-            ids.append(end)
-            return np.frombuffer(array("i", ids), np.int32)
-
         def file() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            lengths = pa.array([[len(x) for x in held]], pa.list_(pa.int64()))
+            lengths = pa.array([np.concatenate(held_lengths)], pa.list_(pa.int64()))
             doc_ids = pa.array([[x for a in docs_held for x in a.to_pylist()]], pa.list_(pa.int64()))
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), doc_ids, lengths, pa.array([_idcoder.encode(ids, block)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "first", "n_ids", "doc_ids", "lengths", "data"])
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, TEXTS):
-                found = [ended(ids) for ids in encode([t or "" for t in batch.column(1).slice(a, TEXTS).to_pylist()])]
-                held += found
-                docs_held.append(batch.column(0).slice(a, TEXTS))
-                total += sum(map(len, found))
-                if total >= file_ids:
-                    yield file()
-                    first += total
-                    held, docs_held, total, seq = [], [], 0, seq + 1
+        for group in groups(batches):
+            ids, lengths = _pieces.encode(pa.concat_arrays([batch.column(1).cast(pa.large_string()) for batch in group]), path, end)
+            at = row = 0
+            for batch in group:
+                for a in range(0, batch.num_rows, TEXTS):
+                    docs_held.append(batch.column(0).slice(a, TEXTS))
+                    held_lengths.append(lengths[row : row + len(docs_held[-1])])
+                    row += len(docs_held[-1])
+                    n = int(held_lengths[-1].sum())
+                    held.append(ids[at : at + n])
+                    at += n
+                    total += n
+                    if total >= file_ids:
+                        yield file()
+                        first += total
+                        held, held_lengths, docs_held, total, seq = [], [], [], 0, seq + 1
         if held:
             yield file()
 

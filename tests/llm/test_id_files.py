@@ -1,11 +1,14 @@
 """Files of ids: exact round trips, damage, places in the corpus."""
 
+import json
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillspark.llm import _idcoder, id_files
+from quillspark.llm import _idcoder, _pieces, id_files
 
 ROWS = [
     (5, "The cat sat on the mat, the cat sat on the mat again. " * 30), (3, None), (9, ""), (-2, "#"), (3, "same id"), (None, "no id"),
@@ -77,3 +80,45 @@ def test_events_of_many_steps_are_prepared_at_once(monkeypatch):
     monkeypatch.undo()
     assert len(calls) < 1000 and (_idcoder.decode(data) == ids).all()
     assert zlib.crc32(data) == 452601070
+
+
+def test_pieces_equal_whole_texts():
+    """Texts that are cut have the ids that the tokenizers library gives the whole texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(id_files.tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(5)
+    spaces = [*[" "] * 8, "  ", "\n", "\t", "\r\n", " \n", "\n ", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff"]
+    others = [*"aB.,!?'-_09", "the", "'s", "'S", "'re", "-'ll", "\u2019", "\xe9", "\u65e5\u672c", "\u0663", "\xbd", "\u03a9", "\u0436", "\x00", "\x7f", "<|endoftext|>", "\U0001f642"]
+    texts = ["".join(rng.choice(spaces if rng.random() < 0.4 else others) for _ in range(rng.randrange(14))) for _ in range(8000)] + [None, "", " ", "  ", "\n"]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for some, expected in ((pa.array(texts), want), (pa.array(texts, pa.large_string())[7:], want[7:])):
+        ids, lengths = _pieces.encode(some, id_files.tokenizer_path(), 2)
+        assert lengths.tolist() == [len(x) for x in expected]
+        assert ids.tolist() == [i for x in expected for i in x]
+
+
+def test_each_distinct_piece_is_encoded_once(monkeypatch):
+    """Words that come again, in whatever text of a group, cost no more tokenizing."""
+    of, given = _pieces.encoder, []
+    monkeypatch.setattr(_pieces, "encoder", lambda path: lambda texts: given.extend(texts) or of(path)(texts))
+    texts = [" ".join(f"word{chr(97 + (i * k) % 23)}{'.,'[k % 2]}" for k in range(200)) for i in range(50)]
+    ids, lengths = _pieces.encode(pa.array(texts), id_files.tokenizer_path(), 2)
+    assert len(lengths) == 50 and len(ids) == lengths.sum() > 50 * 200
+    assert len(given) == len(set(given)) <= 2 * 23 + 2
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in ("a", "b" * 40, "c" * 70, "d")]
+    monkeypatch.setattr(id_files, "TOGETHER", 40)
+    assert [len(g) for g in id_files.groups(iter(batches))] == [2, 1, 1]
+
+
+def test_texts_of_other_patterns_stay_whole(tmp_path):
+    with open(id_files.tokenizer_path(), encoding="utf-8") as f:
+        told = json.load(f)
+    assert _pieces.may_cut(id_files.tokenizer_path())
+    for name, change in (("a", {"pre_tokenizer": None}), ("b", {"normalizer": {"type": "Lowercase"}}), ("c", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}})):
+        (tmp_path / name).write_text(json.dumps(told | change))
+        assert not _pieces.may_cut(str(tmp_path / name))
+    data = np.frombuffer(b"a b. c", np.uint8)
+    assert _pieces.cut(data, np.array([0, 6]), False).tolist() == [0, 6]
+    assert _pieces.cut(data, np.array([0, 6]), True).tolist() == [0, 1, 3, 4, 6]
