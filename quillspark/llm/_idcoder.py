@@ -40,8 +40,8 @@ SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 6
 #: The log odds (units of 1/256) that each order begins with: order 2 by its confidence (0: no
 #: candidate), order 1 by its own and, from 8 on, where it names another id, order 0 by the class.
 _START = [[-300, -160, 60, 220, 340, 460, 580, 700], [-200, -80, 40, 120, 180, 240, 300, 360, -60, -100, -140, -180, -220, -260, -300, -340], [0] * 32]
-#: By confidence, from 8 on where the id came: whether the slot keeps its id, and its next confidence.
-_KEEP = np.array([0, 0, 0, 1, 1, 1, 1, 1] + [1] * 8, np.uint32) * np.uint32(0xFFFFFFF8)
+#: By confidence, from 8 on where the id came: where the slot begins to keep its id, and its next confidence.
+_KEPT, _ID = np.uint32(3), np.uint32(0xFFFFFFF8)
 _NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.uint32)
 #: Log odds are held with so many bits more; error (of 16 bits) moves them by this power of two less.
 _FINE, _RATE = 4, 5
@@ -57,13 +57,11 @@ class Model:
 
     def __init__(self, lanes: int, rank_class: np.ndarray, start: np.ndarray):
         """rank_class: the class of every id; start: where the classes begin, of 32768."""
-        self.lanes, self.id_class = lanes, np.append(rank_class, 0).astype(np.int32)
-        self.n_ids = len(rank_class)
+        self.lanes, self.id_row = lanes, np.append(rank_class, 0).astype(np.int32) * np.int32(lanes)
         lane = np.arange(lanes)
         # the slots of both contexts in one row; a slot holds an id and, in three bits, its confidence
         self.slots = np.full(2 * lanes << SLOT_BITS, _EMPTY << 3, np.uint32)
         self.slot_base = (np.arange(2 * lanes) << SLOT_BITS).reshape(2, lanes)
-        self.context = np.empty((2, lanes), np.uint32)
         self.one = np.zeros(lanes, np.uint32)
         self.two = np.zeros(lanes, np.uint32)
         # log odds by event, order, state and lane in one row, and what finds their place
@@ -72,7 +70,6 @@ class Model:
         sizes = [len(row) for row in _START]
         first = np.cumsum([0, *sizes, *sizes])[:6].reshape(2, 3).T
         self.place = first[:, :, None] * lanes + lane
-        self.state = np.empty((3, 2, lanes), np.int64)
         self.n_classes = len(start)
         self.classes = np.zeros((self.n_classes + 1, lanes), np.uint16)
         self.classes[:-1] = start[:, None]
@@ -82,65 +79,95 @@ class Model:
         self.span = (32768 - (self.n_classes - inner) * _GAP - inner * _GAP).astype(np.int16)[:, None]
         self.lane = lane
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, shares of 16 bits) of the two events; a share of 0: no candidate."""
-        one, two = self.one, self.two
-        h = self.context
-        np.multiply(one, np.uint32(0x9E3779B1), out=h[1])
-        np.bitwise_xor(h[1], two, out=h[0])
-        h[0] *= np.uint32(0x85EBCA6B)
+    def slots_of(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Places of the slots of both contexts, after ids one and, before them, two."""
+        h = np.empty((*one.shape[:-1], 2, self.lanes), np.uint32)
+        np.multiply(one, np.uint32(0x9E3779B1), out=h[..., 1, :])
+        np.bitwise_xor(h[..., 1, :], two, out=h[..., 0, :])
+        h[..., 0, :] *= np.uint32(0x85EBCA6B)
         h >>= np.uint32(32 - SLOT_BITS)
-        self.slot = h + self.slot_base
-        self.found = self.slots.take(self.slot, mode="clip")
-        self.sure = self.found & np.uint32(7)
-        c = (self.found >> np.uint32(3)).view(np.int32)
-        other = c[0] != c[1]
-        at = self.state
-        at[0] = self.sure[0]
-        at[1] = self.sure[1]
-        at[1, 0] += other.view(np.int8) << 3
-        at[2] = self.id_class.take(c, mode="clip")
-        at *= self.lanes
-        at += self.place
-        self.c, self.at = c, at
-        self.x = self.odds.take(at, mode="clip")
+        return h + self.slot_base
+
+    def states_of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(candidates, where the log odds begin by order and event, whether an event may be) by what the slots hold."""
+        sure = (found & np.uint32(7)).view(np.int32) * np.int32(self.lanes)
+        c = (found >> np.uint32(3)).view(np.int32)
+        other = c[..., 0, :] != c[..., 1, :]
+        at = np.empty((*found.shape[:-2], 3, 2, self.lanes), np.int64)
+        at[..., 0, :, :] = sure[..., :1, :]
+        at[..., 1, :, :] = sure[..., 1:, :]
+        at[..., 1, 0, :] += other * np.int32(8 * self.lanes)
+        at[..., 2, :, :] = self.id_row.take(c, mode="clip")
+        named = sure != 0
+        named[..., 1, :] &= other
+        return c, at, named
+
+    def mix(self, state: np.ndarray) -> np.ndarray:
+        """Shares of 16 bits by the log odds alone, which correct() adapts then; state is used up."""
+        state += self.place
+        self.at = state
+        self.x = self.odds.take(self.at, mode="clip")
         dot = self.x[0] + self.x[1]
         dot += self.x[2]
         dot >>= _FINE
         dot += 2047
         self.q = SQUASH.take(dot, mode="clip")
-        self.named = np.empty((2, self.lanes), bool)
-        np.not_equal(self.sure, 0, out=self.named)
-        self.named[1] &= other
-        self.share = np.minimum(self.q, _MOST) * self.named
-        rest = 65536 - self.share[0]
-        self.share[1] = (self.share[1] >> 1) * (rest >> 1) >> 14
-        return c, self.share
+        return self.q
 
-    def update(self, ids: np.ndarray, hit: np.ndarray, k: np.ndarray, rest: np.ndarray) -> None:
-        """ids are the ids that came, hit which event said so, k their classes where rest."""
-        seen = self.named
-        seen[1] &= ~hit[0]
-        error = hit * np.int32(65535)
-        error -= self.q
+    def correct(self, aims: np.ndarray, seen: np.ndarray) -> None:
+        """Moves the log odds of the last mix towards aims, where the event was coded."""
+        error = aims - self.q
         error *= seen
         error >>= _RATE
         self.x += error
         self.odds[self.at] = self.x
+
+    def shares_of(self, q: np.ndarray, named: np.ndarray) -> np.ndarray:
+        """Shares of 16 bits of both events, of all ids; 0 where there is no candidate."""
+        share = np.minimum(q, _MOST) * named
+        rest = 65536 - share[..., 0, :]
+        rest >>= 1
+        share[..., 1, :] >>= 1
+        share[..., 1, :] *= rest
+        share[..., 1, :] >>= 14
+        return share
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, shares of 16 bits) of the two events; a share of 0: no candidate."""
+        self.slot = self.slots_of(self.one, self.two)
+        self.found = self.slots.take(self.slot, mode="clip")
+        c, state, self.named = self.states_of(self.found)
+        return c, self.shares_of(self.mix(state), self.named)
+
+    def update(self, ids: np.ndarray, hit: np.ndarray, k: np.ndarray, rest: np.ndarray) -> None:
+        """ids are the ids that came, hit which event said so, k their classes where rest."""
+        self.named[1] &= ~hit[0]
+        self.correct(hit * np.int32(65535), self.named)
         u = ids.view(np.uint32)
-        self.sure |= (self.c == ids).astype(np.uint32) << np.uint32(3)
-        keep = _KEEP.take(self.sure, mode="clip")
-        came = u << np.uint32(3)
-        self.slots[self.slot] = (came ^ ((came ^ self.found) & keep)) | _NEXT.take(self.sure, mode="clip")
+        self.remember(self.slot, self.found, u << np.uint32(3))
         self.two, self.one = self.one, u
+        self.adapt(k.astype(np.int16), -rest.astype(np.int16))
+
+    def remember(self, slot: np.ndarray, found: np.ndarray, came: np.ndarray) -> None:
+        """Puts into slots that held found the ids that came, which are shifted by three bits."""
+        found = found ^ came  # under 8 where the id came; the confidence is as it was
+        sure = found & np.uint32(7)
+        sure |= np.left_shift(found < 8, 3, dtype=np.uint32)
+        found &= np.multiply(sure >= _KEPT, _ID, dtype=np.uint32)
+        found ^= came
+        found |= _NEXT.take(sure, mode="clip")
+        self.slots[slot] = found
+
+    def adapt(self, k: np.ndarray, rest: np.ndarray) -> None:
+        """Moves the classes towards k where all bits of rest are set."""
         inner = self.classes[1:-1].view(np.int16)
-        step = k.astype(np.int16) - self.inner
+        step = k - self.inner
         step >>= 15  # all bits where the class begins after k
         step &= self.span
         step += self.low
         step -= inner
         step >>= 5
-        step &= -rest.astype(np.int16)
+        step &= rest
         inner += step
 
 
@@ -155,30 +182,40 @@ def _first(counts: np.ndarray) -> np.ndarray:
 class _Coder:
     def __init__(self, lanes: int, words: int):
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-        self.out, self.n, self.lanes = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64), np.arange(lanes)
+        # words by place and lane, as lanes are at about the same place; at: where each lane writes next
+        self.out, self.at, self.lanes = np.zeros(words * lanes, np.uint16), np.arange(lanes), lanes
+
+    def room(self, words: int) -> None:
+        """Makes room for so many words more."""
+        while self.at.max() + words * self.lanes >= len(self.out):
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)])
 
     def add(self, delta: np.ndarray) -> None:
         low = self.low + delta
-        carry = np.flatnonzero(low < delta)
+        carried = low < delta
         self.low = low
-        at = self.n[carry] - 1
-        while len(carry):
-            word = self.out[carry, at] + np.uint16(1)
-            self.out[carry, at] = word
-            carry, at = carry[word == 0], at[word == 0] - 1
+        if carried.any():
+            at = self.at[carried] - self.lanes
+            while len(at):
+                word = self.out[at] + np.uint16(1)
+                self.out[at] = word
+                at = at[word == 0] - self.lanes
 
     def settle(self) -> None:
+        small = self.range < _LEAST_RANGE
+        # every lane writes; those that are not small write their place again later
+        self.out[self.at] = self.low >> _U(48)
+        self.at += small * self.lanes
+        bits = np.left_shift(small, 4, dtype=_U)
+        self.low <<= bits
+        self.range <<= bits
         small = np.flatnonzero(self.range < _LEAST_RANGE)
         while len(small):
-            if self.n.max() + 2 >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            low, r = self.low[small], self.range[small]
-            self.out[small, self.n[small]] = low >> _U(48)
-            self.n[small] += 1
-            self.low[small] = low << _U(16)
-            r <<= _U(16)
-            self.range[small] = r
-            small = small[r < _LEAST_RANGE]
+            self.out[self.at[small]] = self.low[small] >> _U(48)
+            self.at[small] += self.lanes
+            self.low[small] <<= _U(16)
+            self.range[small] <<= _U(16)
+            small = small[self.range[small] < _LEAST_RANGE]
 
 
 def _lanes_of(n: int, block: int) -> int:
@@ -190,24 +227,38 @@ def _encode_lanes(ids: np.ndarray, ranks: np.ndarray, id_class: np.ndarray, star
     steps, lanes = ids.shape
     model, coder = Model(lanes, id_class, start), _Coder(lanes, steps + 16)
     base = np.array([0, *(1 << np.arange(31))], np.int64)
+    past = np.zeros((2, lanes), np.int32)
     for t in range(0, steps, TOGETHER):
-        # what the model says of some steps, then all that the coder needs of it at once
+        # what the model says of some steps, then all that the coder needs of it at once; what follows
+        # from the ids alone is made for all of the steps
         part = ids[t : t + TOGETHER]
         m = len(part)
+        past = np.concatenate([past, part])
+        slots = model.slots_of(past[1:-1].view(np.uint32), past[:-2].view(np.uint32))
+        past = past[-2:]
+        came, found = part.view(np.uint32) << np.uint32(3), np.empty((m, 2, lanes), np.uint32)
+        for i in range(m):
+            model.slots.take(slots[i], mode="clip", out=found[i])
+            model.remember(slots[i], found[i], came[i])
+        c, states, named = model.states_of(found)
+        hits = c == part[:, None]
+        hits &= named
+        np.greater(hits[:, 1], hits[:, 0], out=hits[:, 1])
+        rests = hits[:, 0] == hits[:, 1]  # neither, as they are never both
+        aims, seen = hits * np.int32(65535), named.copy()
+        seen[:, 1] &= ~hits[:, 0]
+        q = np.empty((m, 2, lanes), np.int32)
         k = id_class.take(part)
-        places = k * np.int64(lanes) + model.lane
-        shares, hits, rests = np.empty((m, 2, lanes), np.int64), np.empty((m, 2, lanes), bool), np.empty((m, lanes), bool)
+        places, k16, moved = k * np.int64(lanes) + model.lane, k.astype(np.int16), -rests.astype(np.int16)
         first, width = np.empty((m, lanes), np.uint16), np.empty((m, lanes), np.uint16)
         for i in range(m):
-            c, shares[i] = model.predict()
-            hit, rest = hits[i], rests[i]
-            np.equal(c, part[i], out=hit)
-            hit &= model.named
-            np.greater(hit[1], hit[0], out=hit[1])
-            np.equal(hit[0], hit[1], out=rest)  # neither, as they are never both
+            q[i] = model.mix(states[i])
+            model.correct(aims[i], seen[i])
             model.classes.take(places[i], mode="clip", out=first[i])
-            model.classes.take(places[i] + lanes, mode="clip", out=width[i])
-            model.update(part[i], hit, k[i], rest)
+            places[i] += lanes
+            model.classes.take(places[i], mode="clip", out=width[i])
+            model.adapt(k16[i], moved[i])
+        shares = model.shares_of(q, named).astype(np.int64)
         a, b = shares[:, 0], shares[:, 1]
         begin = np.where(hits[:, 0], 0, a + np.where(rests, b, 0)).view(_U)
         size = np.where(hits[:, 0], a, np.where(hits[:, 1], b, 65536 - a - b)).view(_U)
@@ -215,6 +266,7 @@ def _encode_lanes(ids: np.ndarray, ranks: np.ndarray, id_class: np.ndarray, star
         first = (first * rests).astype(_U)
         fine, bits = rests * _U(15), np.maximum(k - 1, 0).astype(_U) * rests
         offsets = (ranks[t : t + TOGETHER] - base.take(k)).view(_U) * rests
+        coder.room(4 * m)  # a step takes three words at most
         for i in range(m):
             r = coder.range >> _U(16)
             delta = r * begin[i]
@@ -231,70 +283,90 @@ def _encode_lanes(ids: np.ndarray, ranks: np.ndarray, id_class: np.ndarray, star
     coder.add((_U(0) - coder.low) & (_LEAST_RANGE - _U(1)))
     coder.range[:] = 0
     last = coder.low >> _U(48)
+    counts = (coder.at // max(1, lanes)).tolist()
+    words = np.ascontiguousarray(coder.out.reshape(-1, lanes)[: max(counts, default=0)].T)
     out = []
-    for lane in range(lanes):
-        n = int(coder.n[lane])
-        out.append(coder.out[lane, :n].astype("<u2").tobytes() + int(last[lane]).to_bytes(2, "little"))
+    for lane, n in enumerate(counts):
+        out.append(words[lane, :n].astype("<u2").tobytes() + int(last[lane]).to_bytes(2, "little"))
     return out
 
 
 def _decode_lanes(words: np.ndarray, first: np.ndarray, end: np.ndarray, steps: int, by_rank: np.ndarray, id_class: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """ids [step, lane] of lanes whose words are words[first:end]; words ends in a zero."""
+    """ids [step, lane] of lanes whose words are words[first:end]."""
     lanes = len(first)
     model = Model(lanes, id_class, start)
     base = np.array([0, *(1 << np.arange(31))], np.int64)
+    bits = np.maximum(np.arange(len(base)) - 1, 0).astype(_U)
     out = np.zeros((steps, lanes), np.int32)
-    at, zero = first.copy(), len(words) - 1
+    words, at = _side_by_side(words, first, end), np.arange(lanes)
     v, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     for _ in range(4):
-        v = v << _U(16) | words[np.where(at < end, at, zero)].astype(_U)
-        at += 1
-    hit = np.empty((2, lanes), bool)
+        v = v << _U(16) | words.take(at, mode="clip")
+        at += lanes
     top = len(by_rank) - 1
     for t in range(steps):
         c, share = model.predict()
-        a, b = share[0].astype(_U), share[1].astype(_U)
+        a, b = share.astype(_U)
         r = rng >> _U(16)
         ra = r * a
-        rb = ra + r * b
+        rb = r * b
+        off_a = v >= ra
+        rest = v >= ra + rb
         hit = np.empty((2, lanes), bool)
-        np.less(v, ra, out=hit[0])
-        in_two = v < rb
-        np.logical_and(in_two, ~hit[0], out=hit[1])
-        rest = ~in_two
-        begin = np.where(hit[0], _U(0), np.where(rest, rb, ra))
-        size = np.where(hit[0], a, np.where(hit[1], b, _U(65536) - a - b))
-        v -= begin
-        r *= size
-        r >>= rest * _U(15)
-        s = np.minimum(v // np.maximum(r, _U(1)), _U(32767)).astype(np.uint16)
-        k = np.add.reduce((model.classes[1:-1] <= s).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int32)
-        flat = k * np.int64(lanes) + model.lane
+        np.logical_not(off_a, out=hit[0])
+        np.greater(off_a, rest, out=hit[1])
+        # all bits set where it is not the first candidate, or neither
+        not_a, neither = _U(0) - off_a.astype(_U), _U(0) - rest.astype(_U)
+        v -= (ra & not_a) + (rb & neither)
+        # the share of the event: a, else b, else what is left
+        left = _U(65536) - a - b
+        r *= a + ((b - a) & not_a) + ((left - b) & neither)
+        r >>= neither & _U(15)
+        np.maximum(r, _U(1), out=r)
+        s = np.minimum(v // r, _U(32767)).astype(np.uint16)
+        k = np.add.reduce((model.classes[1:-1] <= s).view(np.uint8), axis=0, dtype=np.uint8)
+        flat = k * np.int64(lanes)
+        flat += model.lane
         low = model.classes.take(flat, mode="clip")
-        width = np.where(rest, model.classes.take(flat + lanes, mode="clip") - low, 1).astype(_U)
-        v -= r * (low * rest)
-        r *= width
-        r >>= (np.maximum(k - 1, 0) * rest).astype(_U)
+        flat += lanes
+        width = (model.classes.take(flat, mode="clip") - low).astype(_U)
+        v -= r * (low & neither)
+        r *= ((width - _U(1)) & neither) + _U(1)
+        r >>= bits.take(k, mode="clip") & neither
         np.maximum(r, _U(1), out=r)
-        off = np.where(rest, v // r, _U(0))
+        off = v // r & neither
         v -= r * off
-        rank = np.minimum(base.take(k, mode="clip") + off.view(np.int64), top)
-        now = np.where(hit[0], c[0], np.where(hit[1], c[1], by_rank.take(rank))).astype(np.int32)
+        off += base.take(k, mode="clip").view(_U)
+        now = by_rank.take(np.minimum(off, _U(top)).view(np.int64))
+        np.copyto(now, c[1], where=hit[1])
+        np.copyto(now, c[0], where=hit[0])
         out[t] = now
+        # every lane reads; those that are not small take nothing of it
+        small = r < _LEAST_RANGE
+        more = np.left_shift(small, 4, dtype=_U)
+        v <<= more
+        v |= words.take(at, mode="clip") * small
+        r <<= more
+        at += small * lanes
         small = np.flatnonzero(r < _LEAST_RANGE)
         while len(small):
-            place = at[small]
-            word = words.take(np.where(place < end[small], place, zero))
-            at[small] = place + 1
-            v[small] = v[small] << _U(16) | word
-            left = r[small] << _U(16)
-            r[small] = left
-            small = small[left < _LEAST_RANGE]
+            v[small] = v[small] << _U(16) | words.take(at[small], mode="clip")
+            at[small] += lanes
+            r[small] <<= _U(16)
+            small = small[r[small] < _LEAST_RANGE]
         rng = r
         model.update(now, hit, k, rest)
     return out
 
 
+def _side_by_side(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """words[first:end] of every lane as [place, lane], with zeros after them, as many as are read there."""
+    rows = np.zeros((len(first), int((end - first).max(initial=0)) + 4), np.uint16)
+    for row, a, b in zip(rows, first.tolist(), end.tolist(), strict=True):
+        row[: b - a] = words[a:b]
+    return np.ascontiguousarray(rows.T)
+
+
 class Corrupt(ValueError):
     """A file or block whose checksum does not hold."""
 
@@ -344,11 +416,12 @@ def decode(data: bytes, blocks: range | None = None) -> np.ndarray:
     sums = np.frombuffer(head, "<u4", lanes, at + 4 * lanes)
     id_class = np.zeros(int(by_rank.max()) + 1, np.int32)
     id_class[by_rank] = class_of(np.arange(n_ids))
-    words = np.append(np.frombuffer(data, "<u2", (len(data) - fixed - size) // 2, fixed + size), np.uint16(0)).astype(np.uint16)
-    end = np.minimum(np.cumsum(sizes), len(words) - 1)
+    words = np.frombuffer(data, "<u2", (len(data) - fixed - size) // 2, fixed + size)
+    end = np.minimum(np.cumsum(sizes), len(words))  # the file may be cut off
+    first = np.maximum(end - sizes, 0)
     chosen = np.arange(lanes) if blocks is None else np.arange(lanes)[blocks.start : blocks.stop]
     steps = min(block, n)
-    grid = _decode_lanes(words, (end - sizes)[chosen], end[chosen], steps, by_rank, id_class, start)
+    grid = _decode_lanes(words, first[chosen], end[chosen], steps, by_rank, id_class, start)
     last = n - (lanes - 1) * block
     rows = np.ascontiguousarray(grid.T)
     for i, lane in enumerate(chosen):

@@ -63,7 +63,7 @@ def encode(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray
     found = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(data)).dictionary_encode()
     of, ids, n = encoder(path), [], []
     for a in range(0, len(found.dictionary), PIECES):
-        some = of(found.dictionary.slice(a, PIECES).to_pylist())
+        some = of(found.dictionary.slice(a, PIECES).to_numpy(zero_copy_only=False).tolist())
         n += map(len, some)
         ids.append(np.fromiter(chain.from_iterable(some), np.int32, sum(n[a:])))
     # the end id is one more piece, after the last of each text

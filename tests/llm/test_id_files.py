@@ -41,6 +41,32 @@ def test_blocks_stand_alone_and_show_damage():
             _idcoder.decode(bytes(broken))
 
 
+def test_rare_ids_among_common_ones():
+    """Steps that take several words of the coder in some lanes and none in others."""
+    rng = np.random.default_rng(6)
+    for n, block in ((5000, 512), (3000, 5000), (70, 1)):
+        ids = np.where(rng.random(n) < 0.02, rng.integers(0, 1 << 20, n), 3).astype(np.int32)
+        assert (_idcoder.decode(_idcoder.encode(ids, block)) == ids).all()
+
+
+def test_what_the_ids_alone_decide_is_made_for_many_steps(monkeypatch):
+    """The encoder asks for slots and states once for several steps, not in each."""
+    calls = []
+    of = _idcoder.Model.__dict__.get("states_of")
+    monkeypatch.setattr(_idcoder.Model, "states_of", lambda self, found: calls.append(len(found)) or of(self, found), raising=False)
+    _idcoder.encode((np.arange(4000) % 97).astype(np.int32), block=1000)
+    assert 0 < len(calls) <= 1000 / 8
+
+
+def test_a_file_that_is_cut_off_is_found():
+    ids = (np.random.default_rng(4).zipf(1.3, 1000) % 5000).astype(np.int32)
+    data = _idcoder.encode(ids, block=128)
+    for n in range(len(data) - 2, len(data) - 1200, -97):
+        with pytest.raises(_idcoder.Corrupt):
+            _idcoder.decode(data[:n])
+    assert (_idcoder.decode(data[:-100], range(0, 5)) == ids[:640]).all()
+
+
 def test_contexts_pay():
     """Repeated runs cost less than their ids do by order 0, and new ones hardly more."""
     rng = np.random.default_rng(2)
