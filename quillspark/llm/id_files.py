@@ -38,19 +38,21 @@ END = 2
 FILE_IDS = 1 << 23
 #: Texts after which a file may end, rows of a batch that crosses to Python.
 TEXTS, ROWS = 64, 1000
-#: Bytes of batches whose texts are encoded together, once they are so many.
+#: Bytes of texts that are encoded together, up to TEXTS of them more.
 TOGETHER = 1 << 24
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Batches with rows, in groups of at least TOGETHER bytes but for the last."""
+def groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of so many rows, in groups that end once they have TOGETHER bytes."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.nbytes for b in held) >= TOGETHER:
-            yield held
-            held = []
+        for a in range(0, batch.num_rows, rows):
+            held.append(batch.slice(a, rows))
+            size += held[-1].nbytes
+            if size >= TOGETHER:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
@@ -73,22 +75,21 @@ def files(docs: DataFrame, path: str | None = None, end: int = END, file_ids: in
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), doc_ids, lengths, pa.array([_idcoder.encode(ids, block)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "first", "n_ids", "doc_ids", "lengths", "data"])
 
-        for group in groups(batches):
-            ids, lengths = _pieces.encode(pa.concat_arrays([batch.column(1).cast(pa.large_string()) for batch in group]), path, end)
+        for group in groups(batches, TEXTS):
+            ids, lengths = _pieces.encode(pa.concat_arrays([some.column(1).cast(pa.large_string()) for some in group]), path, end)
             at = row = 0
-            for batch in group:
-                for a in range(0, batch.num_rows, TEXTS):
-                    docs_held.append(batch.column(0).slice(a, TEXTS))
-                    held_lengths.append(lengths[row : row + len(docs_held[-1])])
-                    row += len(docs_held[-1])
-                    n = int(held_lengths[-1].sum())
-                    held.append(ids[at : at + n])
-                    at += n
-                    total += n
-                    if total >= file_ids:
-                        yield file()
-                        first += total
-                        held, held_lengths, docs_held, total, seq = [], [], [], 0, seq + 1
+            for some in group:
+                docs_held.append(some.column(0))
+                held_lengths.append(lengths[row : row + some.num_rows])
+                row += some.num_rows
+                n = int(held_lengths[-1].sum())
+                held.append(ids[at : at + n])
+                at += n
+                total += n
+                if total >= file_ids:
+                    yield file()
+                    first += total
+                    held, held_lengths, docs_held, total, seq = [], [], [], 0, seq + 1
         if held:
             yield file()
 

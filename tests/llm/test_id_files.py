@@ -135,7 +135,9 @@ def test_each_distinct_piece_is_encoded_once(monkeypatch):
     assert len(given) == len(set(given)) <= 2 * 23 + 2
     batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in ("a", "b" * 40, "c" * 70, "d")]
     monkeypatch.setattr(id_files, "TOGETHER", 40)
-    assert [len(g) for g in id_files.groups(iter(batches))] == [2, 1, 1]
+    assert [len(g) for g in id_files.groups(iter(batches), 64)] == [2, 1, 1]
+    long = pa.RecordBatch.from_arrays([pa.array(["e" * 1000] * 150)], ["text"])  # a batch of long texts is divided
+    assert [[x.num_rows for x in g] for g in id_files.groups(iter([long]), 64)] == [[64], [64], [22]]
 
 
 def test_texts_of_other_patterns_stay_whole(tmp_path):
