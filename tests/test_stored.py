@@ -256,6 +256,31 @@ def test_leiden_finds_planted_communities_and_never_worse():
         assert leiden.local_moves(*leiden._csr(len(k), a, b, w), k.tolist(), g, again, leiden.deque(range(len(k)))) == 0  # none moves any more
 
 
+def test_most_moves_of_a_group_are_made_in_batches(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 3000
+    a, b = rng.integers(0, n, 40_000), rng.integers(0, n, 40_000)
+    a, b = a[a != b], b[a != b]
+    a, b, w = np.concatenate([a, b]), np.concatenate([b, a]), np.ones(2 * len(a))
+    k = np.bincount(a, weights=w, minlength=n)
+    g, moves, found = 1 / k.sum(), [], {}
+    one_by_one = leiden.local_moves
+
+    def counted(*args):
+        moves.append(one_by_one(*args))
+        return moves[-1]
+
+    monkeypatch.setattr(leiden, "local_moves", counted)
+    for few in (1 << 40, 1 << 13):
+        monkeypatch.setattr(leiden, "FEW", few, raising=False)
+        moves.clear()
+        label = leiden.solve(k, a, b, w, g)
+        found[few] = sum(moves), quality(k, a, b, w, label, g)
+        assert parts_of(a, b, label) == len(np.unique(label))
+    assert found[1 << 13][0] < found[1 << 40][0] / 4
+    assert found[1 << 13][1] > 0.97 * found[1 << 40][1]
+
+
 def test_refinement_keeps_parts_connected():
     c, a, b = planted(4)
     w = np.ones(len(a))
