@@ -102,3 +102,31 @@ def test_a_model_gets_bounded_calls(spark):
 
     out = spark.range(3000).coalesce(1).select(models.complete("x", F.col("id").cast("string"), lambda task, p: [str(len(p))] * len(p)).alias("a"))
     assert max(int(r["a"]["value"]) for r in out.collect()) <= models.CALL
+
+
+def test_postings_are_not_shuffled_for_blocks_of_queries(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import retrieval
+
+    for name, n in (("ROW_BLOCK", 5), ("TERM_BLOCK", 12), ("SLICE", 3)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["w%d" % j for j in range(30)], k=rng.randrange(12))) if i % 7 else None) for i in range(90)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    words = {q: rng.sample(["W%d" % j for j in range(33)], 4) for q in range(40)}
+    asked = spark.createDataFrame(list(words.items()), "query long, words array<string>")
+    found = retrieval.bm25_topk_each(docs, asked, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Join" not in plan  # documents are gone through where they lie
+    got = found.collect()
+    for q in range(0, 40, 4):
+        want = retrieval.bm25_topk(docs, words[q], 5).collect()
+        assert sorted((r["rank"], r["id"], r["score"]) for r in got if r["query"] == q) == sorted((r["rank"], r["id"], r["score"]) for r in want)
+    ranked = [got_ for got_ in (found, found.withColumn("id", F.col("id") + 1))]
+    local = retrieval.local_each(docs, asked, [(df.select("query", "id", "rank"), 1.0) for df in ranked], 8, 0.2, 4)
+    joins = local._jdf.queryExecution().executedPlan().toString()
+    assert "term#" not in joins  # no row for each posting
+    assert 0 < local.count() <= 160
